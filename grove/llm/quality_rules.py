@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from grove.llm._shared import stored, table
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 TERMINALS = (".", "!", "?", "…", ":", ";", '"', "”", "»", "。", "！", "？")
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_lower", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_lower", "n_marks", "n_runs")
+RUN = re.compile(r"[#*$%&|<>]{2,}")
 
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
@@ -41,11 +43,12 @@ def counts(text: str | None) -> tuple[int, ...]:
     text = text or ""
     raw = text.encode()
     words = raw.split()
+    symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     return (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
-        sum(map(text.count, SYMBOLS)),
+        symbols,
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
@@ -53,6 +56,7 @@ def counts(text: str | None) -> tuple[int, ...]:
         len(raw) - len(raw.translate(None, UPPER)),
         len(raw) - len(raw.translate(None, LOWER)),
         text.count("!") + text.count("|"),
+        len(RUN.findall(text)) if symbols > 1 else 0,
     )
 
 
@@ -78,7 +82,8 @@ def rules() -> dict[str, Column]:
         "length": _vote(F.lit(True), n >= 100, n < 20),
         "word_length": _vote(some, mean.between(3, 10), (mean < 2) | (mean > 15)),
         "symbols": _vote(some, share("n_symbols", "n_words") <= 0.02, share("n_symbols", "n_words") > 0.1),
-        "lines_again": _vote(F.col("n_lines") >= 2, share("n_dup_lines", "n_lines") <= 0.1, share("n_dup_lines", "n_lines") > 0.3),
+        "symbol_runs": _vote(some, share("n_runs", "n_words") <= 0.005, share("n_runs", "n_words") > 0.05),
+        "lines_again": _vote(F.col("n_lines") >= 2, share("n_dup_lines", "n_lines") <= 0.2, share("n_dup_lines", "n_lines") > 0.5),
         "words_again": _vote(n >= 3, share("n_repeat_words", "n_words") <= 0.15, share("n_repeat_words", "n_words") > 0.3),
         "capitals": _vote(letters >= 10, upper <= 0.15, upper > 0.3),
         "marks": _vote(some, share("n_marks", "n_words") <= 0.05, share("n_marks", "n_words") > 0.2),
@@ -86,27 +91,29 @@ def rules() -> dict[str, Column]:
     }
 
 
+#: How many rules() there are.
+RULES = 9
 #: Each vote as a number.
 VOTES = {"g": 1, "b": -1, "-": 0}
 
 
 def numbers(patterns: list[str]) -> np.ndarray:
-    return np.array([[VOTES[c] for c in p] for p in patterns], float).reshape(len(patterns), len(patterns[0]) if patterns else 8)
+    return np.array([[VOTES[c] for c in p] for p in patterns], float).reshape(len(patterns), len(patterns[0]) if patterns else RULES)
 
 
 def fit(patterns: list[str], weights: list[int], *, rounds: int = 200, prior: float = 0.9) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over counted vote patterns: (share of good documents, P(g | good, votes) and P(b | bad, votes) by rule).
 
-    The start takes rules to be right about good documents and to see a quarter of the bad ones; pseudo-counts
+    The start takes rules to be wrong about one good document in a thousand and to see a quarter of the bad ones; pseudo-counts
     of that start keep each accuracy off 0 and 1, and its side of good and bad.
     """
     votes, w = numbers(patterns), np.array(weights, float)
     k = votes.shape[1]
-    good, bad, share = np.full(k, 0.99), np.full(k, 0.25), prior
+    good, bad, share = np.full(k, 0.999), np.full(k, 0.25), prior
     for _ in range(rounds if len(patterns) else 0):
         p = posterior(votes, share, good, bad)
         a, b = w * p, w * (1 - p)
-        new_good = ((votes == 1).T @ a + 9.9) / ((votes != 0).T @ a + 10)
+        new_good = ((votes == 1).T @ a + 9.99) / ((votes != 0).T @ a + 10)
         new_bad = ((votes == -1).T @ b + 2.5) / ((votes != 0).T @ b + 10)
         new_share = (a.sum() + 90) / (w.sum() + 100)
         moved = max(np.abs(new_good - good).max(), np.abs(new_bad - bad).max(), abs(new_share - share))
@@ -128,7 +135,7 @@ def quality(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text_col: s
     base_failed: under min_words words, or over max_repeat % of words in repeated 3-word windows. quality is the
     posterior probability of a good document given all votes; kept: not base_failed and quality >= threshold.
     Accuracies are estimated from the votes of all documents that pass the base. Only counts by vote pattern
-    (3^8 at most) reach the driver, and as many rows are broadcast. Null texts count as empty, and fail; null
+    (3^9 at most) reach the driver, and as many rows are broadcast. Null texts count as empty, and fail; null
     and repeated keys stay as they are; an empty table gives an empty one. Columns of docs but the keys and the
     text are not read; the keys must not be named as a result column.
     """

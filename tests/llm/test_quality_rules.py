@@ -44,7 +44,7 @@ def test_em_finds_accuracies():
 
 def test_no_votes():
     share, good, bad = fit([], [])
-    assert 0 < share < 1 and len(good) == len(bad) == 8
+    assert 0 < share < 1 and len(good) == len(bad) == 9
 
 
 def test_odd_rows(spark):
