@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,18 +13,29 @@ from pyspark.sql import functions as F
 from grove.llm._shared import crc_mod, table
 
 #: The bounded sample that dictionaries are made of: texts of each language, and characters of each, from its middle.
-SAMPLE_TEXTS, SAMPLE_CHARS = 256, 512
+SAMPLE_TEXTS, SAMPLE_CHARS = 128, 512
 #: Languages at most: what the driver gathers and each task is sent is bounded by this and the sample.
 MOST_LANGUAGES = 1000
 #: Texts are compressed in stretches of so many bytes, as in longer ones the text itself takes the dictionary's place.
 STRETCH = 4096
-#: Stretches up to SHORT bytes are compressed with the slower parser that finds shorter matches.
-SHORT, SHORT_LEVEL, LEVEL = 400, 19, 3
+#: Texts up to SHORT bytes, and those whose margin is under NARROW, are compressed with the parser that finds the shortest matches.
+SHORT, NARROW, FAST, FINE = 400, 0.06, 5, 19
+#: Goes before each stretch: bytes that no dictionary holds, without which a short stretch is stored as it is, whatever the dictionary.
+PAD = bytes(range(64)) * 2
 UNKNOWN = "und"
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The words of a text in lower case, without digits and signs."""
+    return f"{NO_LETTERS.sub(' ', text.lower()).strip()} ".encode()
 
 
 def dictionaries(train: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
-    """Raw content for each language: excerpts of SAMPLE_TEXTS distinct texts, those with the smallest hashes of the text."""
+    """Raw content for each language: excerpts of SAMPLE_TEXTS distinct texts, those with the smallest hashes of the text.
+
+    Languages are in order of their rows, the most first, then of code points. Rows without language or text teach nothing.
+    """
     rows = train.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     ranked = rows.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= SAMPLE_TEXTS)
     chosen = ranked.select("l", "h").limit(MOST_LANGUAGES * SAMPLE_TEXTS)
@@ -34,16 +46,17 @@ def dictionaries(train: DataFrame, *, lang_col: str = "lang", text_col: str = "t
         out.setdefault(r.l, []).append(r.t)
     if len(out) >= MOST_LANGUAGES:
         raise ValueError(f"{MOST_LANGUAGES} languages or more")
-    return {lang: "\n".join(texts).encode() for lang, texts in out.items()}
+    many = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGUAGES).collect()}
+    return {lang: b"".join(map(letters, out[lang])) for lang in sorted(out, key=lambda x: (-many[x], x))}
 
 
 class Classifier:
     def __init__(self, content: dict[str, bytes]):
         import zstandard as z
 
-        self.languages = sorted(content)
+        self.languages = list(content)
         self.by_level = {}
-        for level in (LEVEL, SHORT_LEVEL):
+        for level in (FAST, FINE):
             made = []
             for lang in self.languages:
                 d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -51,20 +64,22 @@ class Classifier:
                 made.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
             self.by_level[level] = made
 
-    def sizes(self, text: str) -> np.ndarray:
+    def sizes(self, raw: bytes, level: int) -> np.ndarray:
         """Bytes of the whole text under each language's dictionary."""
-        raw = text.encode()
         total = np.zeros(len(self.languages), np.int64)
         for i in range(0, len(raw), STRETCH):
-            part = raw[i : i + STRETCH]
-            total += [len(c.compress(part)) for c in self.by_level[SHORT_LEVEL if len(part) <= SHORT else LEVEL]]
+            part = PAD + raw[i : i + STRETCH]
+            total += [len(c.compress(part)) for c in self.by_level[level]]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): margin is how much larger the second smallest is, as a share of the smallest."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        sizes = self.sizes(text)
+        raw = letters(text)
+        sizes = self.sizes(raw, FINE if len(raw) <= SHORT else FAST)
+        if len(raw) > SHORT and len(sizes) > 1 and np.diff(np.partition(sizes, 1)[:2])[0] < NARROW * sizes.min():
+            sizes = self.sizes(raw, FINE)
         best, low = int(sizes.argmin()), float(sizes.min())
         likely = np.exp2(-(sizes - low) / (1 + 0.02 * low))
         others = np.delete(sizes, best)
@@ -87,7 +102,7 @@ def _predict(content: dict[str, bytes], least_margin: float):
 def identify(docs: DataFrame, content: dict[str, bytes], *, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", least_margin: float = 0.01) -> DataFrame:
     """(keys, lang_pred, score, margin, rejected), one row per row of docs.
 
-    lang_pred is the language whose dictionary makes the whole text smallest, ties to the first by code point; `und`, score 0
+    lang_pred is the language whose dictionary makes the whole text smallest, ties to the language with most rows; `und`, score 0
     and rejected, for texts that are null, empty or without a letter, and where no language is learned. rejected: the margin to
     the second smallest is under least_margin of the smallest. score is 1 over the sum of 2^-(excess bytes / (1 + 2 % of the
     smallest)), so 1 for a clear case and near 1 / languages for none. Null and repeated keys stay; other columns are not read.

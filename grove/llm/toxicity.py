@@ -56,7 +56,7 @@ class Model:
         return float(-np.expm1(clean)), found
 
 
-def fit(texts: list[str | None], labels: list[int], weights: list[float], *, rounds: int = 150, l1: float = 2e-4, rate: float = 0.15) -> Model:
+def fit(texts: list[str | None], labels: list[int], weights: list[float], *, rounds: int = 250, l1: float = 1e-5, rate: float = 0.15) -> Model:
     """Weights and bias that minimise the noisy-or log loss: proximal Adam over all sampled documents at once."""
     bags = [[bag(t, s) for s in sentences(t)] for t in texts]
     seen = Counter(w for doc in bags for w in {w for s in doc for w in s})
