@@ -70,10 +70,10 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
 
     def seek(s: Column, x: Column) -> Column:
         p = after(s["p"], x)
-        passed = s["sum"] > aim
-        return F.struct(p.alias("p"), F.when(passed, s["sum"]).otherwise(s["sum"] + p).alias("sum"), F.when(passed, s["at"]).otherwise(x + 1).alias("at"))
+        passed = s["sum"] > s["aim"]
+        return F.struct(p.alias("p"), F.when(passed, s["sum"]).otherwise(s["sum"] + p).alias("sum"), F.when(passed, s["at"]).otherwise(x + 1).alias("at"), s["aim"].alias("aim"))
 
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), a.alias("at"))
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), a.alias("at"), aim.alias("aim"))
     return F.aggregate(steps, start, seek)["at"]
 
 
