@@ -196,15 +196,17 @@ def _names(batch: pa.RecordBatch, leave: str) -> list[str]:
     return [c for c in batch.schema.names if c != leave]
 
 
-def _encode(path: str):
+def _encode(path: str, check: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in text_batches(batches, "_text"):
-            ids = [t.encode(x) for x in batch.column("_text").to_pylist()]
+            texts = batch.column("_text").to_pylist()
+            ids = [t.encode(x) for x in texts]
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             keys = _names(batch, "_text")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), lists], [*keys, "ids"])
+            same = [pa.array([t.decode(np.frombuffer(i, "<u4").tolist()) == (x or "") for i, x in zip(ids, texts, strict=True)], pa.bool_())] if check else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), lists, *same], [*keys, "ids", *["restored"] * check])
 
     return run
 
@@ -245,13 +247,13 @@ def _rows(docs: DataFrame, keys: tuple[str, ...], text_col: str) -> tuple[DataFr
     return rows, [f"`{k}` {types[k]}" for k in keys]
 
 
-def encode(docs: DataFrame, model: str, *, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, *, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", check: bool = False) -> DataFrame:
     """(keys, ids array<int>), one row per row of docs: the library's ids of each whole text, without begin or end.
 
-    Null and empty texts have no ids. Null and repeated keys stay; other columns are not read.
+    With check a column `restored` says whether the ids decode to the text (null: to the empty text). Null and empty texts have no ids. Null and repeated keys stay; other columns are not read.
     """
     rows, kinds = _rows(docs, keys, text_col)
-    return rows.mapInArrow(_encode(model), ", ".join([*kinds, "ids array<int>"]))
+    return rows.mapInArrow(_encode(model, check), ", ".join([*kinds, "ids array<int>", *["restored boolean"] * check]))
 
 
 def decode(rows: DataFrame, model: str, *, keys: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
