@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from grove.plans import trees
+
+PARTS = [trees]
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in PARTS for k, v in p.ORACLES.items()}
