@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from grove.plans import trees
+from grove.plans import histories, stores, trees
 
-PARTS = [trees]
+PARTS = [trees, histories, stores]
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PARTS for k, v in p.ORACLES.items()}

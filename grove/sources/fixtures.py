@@ -42,7 +42,7 @@ def revision_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     entries = F.array(
         F.struct(F.lit("created-by").alias("key"), F.lit("string").alias("type"), F.col("o_custkey").cast("string").alias("str"), none.cast("long").alias("num")),
-        F.struct(F.lit("timestamp").alias("key"), F.lit("numeric").alias("type"), none.cast("string").alias("str"), F.unix_millis("o_orderdate").alias("num")),
+        F.struct(F.lit("timestamp").alias("key"), F.lit("numeric").alias("type"), none.cast("string").alias("str"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("num")),
         F.struct(F.lit("change-request").alias("key"), F.lit("string").alias("type"), F.col("o_orderpriority").alias("str"), none.cast("long").alias("num")),
     )
     return orders.select("revision", F.explode(entries).alias("e")).select("revision", "e.*")
@@ -83,7 +83,7 @@ def as_events(events: DataFrame) -> DataFrame:
     """Notifications from the events table or stream."""
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("event_type"))
     resource = F.get_json_object("props", "$.k").cast("long") % 20
-    return events.select("event_id", "ts", (F.col("user_id") % 5).alias("repository"), kind.alias("kind"), (F.col("user_id") % 7).alias("branch"), F.col("event_id").alias("number"), F.col("user_id").alias("owner"), resource.alias("resource"))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).alias("repository"), kind.alias("kind"), (F.col("user_id") % 7).alias("branch"), F.col("event_id").alias("number"), F.col("user_id").alias("owner"), resource.alias("resource"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

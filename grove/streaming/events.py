@@ -11,9 +11,13 @@ from grove.sources.fixtures import as_events
 
 
 def source(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:
-    """The events of Parquet files at a path, as they come."""
+    """The events of the Parquet files at a path, as they come; a single file is a folder's only file by its name."""
     schema = spark.read.parquet(path).schema
-    return as_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return as_events(stream.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString()))
+    return as_events(stream.parquet(path))
 
 
 def subscribed(events: DataFrame, repository: int, kinds: tuple[str, ...] = ()) -> DataFrame:
