@@ -58,12 +58,15 @@ class Model:
 
 def fit(texts: list[str | None], labels: list[int], weights: list[float], *, rounds: int = 250, l1: float = 1e-5, rate: float = 0.15) -> Model:
     """Weights and bias that minimise the noisy-or log loss: proximal Adam over all sampled documents at once."""
-    bags = [[bag(t, s) for s in sentences(t)] for t in texts]
-    seen = Counter(w for doc in bags for w in {w for s in doc for w in s})
+    seen = Counter(w for t in texts for w in {w for s in sentences(t) for w in bag(t, s)})
     words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= LEAST_DOCS]
     place = {w: i for i, w in enumerate(words)}
-    rows = [[place[w] for w in s if w in place] for doc in bags for s in doc]
-    doc_of = np.repeat(np.arange(len(bags)), [len(doc) for doc in bags])
+    rows, doc_of = [], []
+    for n, t in enumerate(texts):
+        for s in sentences(t):
+            rows.append([place[w] for w in bag(t, s) if w in place])
+            doc_of.append(n)
+    doc_of = np.array(doc_of, np.int64)
     sentence_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.array([i for r in rows for i in r], np.int64)
     y, share = np.array(labels), np.array(weights) / np.sum(weights)
@@ -72,7 +75,7 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float], *, rou
     for step in range(1, rounds + 1):
         z = bias + np.bincount(sentence_of, w[at], len(rows))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(doc_of, -np.log1p(np.exp(np.clip(z, -30, 30))), len(bags)))
+        clean = np.exp(np.bincount(doc_of, -np.log1p(np.exp(np.clip(z, -30, 30))), len(texts)))
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
         g = pull[doc_of] * p
         grad = np.append(np.bincount(at, g[sentence_of], len(words)), g.sum())
@@ -94,7 +97,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_OF_CLASS) for y in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))
-    rows = docs.join(chosen, docs[id_col] == chosen["i"]).where(F.length(F.col(text_col)) <= SAMPLE_CHARS).select(F.col(text_col).alias("t"), "y", "i").collect()
+    given = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") <= SAMPLE_CHARS)
+    rows = given.join(chosen, "i").select("t", "y", "i").collect()
     rows.sort(key=lambda r: (r.i, r.t, r.y))
     count = Counter(r.y for r in rows)
     if len(count) < 2:
