@@ -168,9 +168,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     # Rows that share id and text share their draws: each gets its own of them by number.
     number = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0)))
     drawn = mix(keyed, keys=("doc_id", "_hash")).where(F.size("draws") > 0)
-    numbered = drawn.select(F.col("doc_id").alias("_i"), F.col("_hash").alias("_h"), "size", "draws").withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.desc(F.size("draws")))))
+    numbered = drawn.select(F.col("doc_id").alias("_i"), F.col("_hash").alias("_h"), F.col("size").alias("_size"), F.col("draws").alias("_draws"))
+    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.desc(F.size("_draws")))))
     rows = keyed.withColumn("_n", number)
-    met = rows.join(numbered, rows["doc_id"].eqNullSafe(numbered["_i"]) & (rows["_hash"] == numbered["_h"]) & (rows["_n"] == numbered["_n"])).select(*(rows[c] for c in docs.columns), numbered["size"].alias("_size"), F.explode("draws").alias("_draw"))
+    met = rows.join(numbered, rows["doc_id"].eqNullSafe(numbered["_i"]) & (rows["_hash"] == numbered["_h"]) & (rows["_n"] == numbered["_n"])).select(*(rows[c] for c in docs.columns), "_size", F.explode("_draws").alias("_draw"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("_draw.words").cast("int")), " ")
     text = F.when(F.col("_draw.words") < F.col("_size"), cut).otherwise(F.col("text"))
     out = met.withColumn("_text", text)

@@ -52,3 +52,21 @@ def test_stages(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert sorted(library.encode(r.text) for r in before.collect()) == sorted(r.ids for r in after.collect())
     assert all(r.restored for r in after.collect())
+
+
+def test_odd_rows_and_no_rows(spark):
+    text = " ".join(f"Word{i} and more of it." for i in range(40))
+    extra = ["size", "draws", "fingerprint", "component_id", "ids", "votes", "quality", "block", "rank", "id", "th", "at", "shard"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    more = ("x",) * len(extra)
+    rows = [(1, text, "en", "a", 5, *more), (1, text, "en", "a", 5, *more), (None, text + " tail", None, None, None, *((None,) * len(extra))), (2, None, None, None, None, *more), (3, "", "en", "b", 0, *more), (4, "long " * 30000 + text, "en", "a", 1, *more), (5, text.replace("Word3 ", "x "), "en", "b", 1, *more)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            found = out.collect()
+            assert docs.take(1) or not found
+            if i < 4:
+                assert out.columns == docs.columns
+                assert {r.size for r in found} <= {"x", None}
+            else:
+                assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "restored"] and all(r.restored for r in found)
