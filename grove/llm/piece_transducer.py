@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from grove.llm._shared import table, text_batches
 
 MARK = "▁"
 #: Stretches and pairs of pieces remembered by a worker; beyond that the memory is emptied. Results don't depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Kinds of pieces, of models and of their settings in a model file (numbers of its fields).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -78,24 +79,31 @@ class Transducer:
             raise ValueError("a normaliser that keeps characters and spaces is asked for")
         self.prefix = bool(normalizer.get(DUMMY_PREFIX, 1))
         self.fallback = bool(trainer.get(BYTE_FALLBACK, 0))
+        #: Spaces stand for the mark on this side, so that texts keep their compact form.
+        self.text = [t.replace(MARK, " ") for t in self.text]
         self.vocabulary = {t: i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == NORMAL}
-        self.longest = max(map(len, self.vocabulary), default=1)
+        #: Arcs by text: the piece's id + 1, or 0 for what only begins pieces.
+        self.arcs = {t[:n]: 0 for t in self.vocabulary for n in range(1, len(t))} | {t: i + 1 for t, i in self.vocabulary.items()}
         self.unknown = self.kind.index(UNKNOWN)
         self.byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
-        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, k in zip(self.text, self.kind, strict=True)]
+        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.encode() for t, k in zip(self.text, self.kind, strict=True)]
         #: Characters side by side in some piece; between others every path has a state.
         self.inside = {(a, b) for t in self.vocabulary for a, b in zip(t, t[1:], strict=False)}
-        if any(b == MARK != a for a, b in self.inside):
-            self.cut = re.compile(r"(?s).+")
-        elif any("\n" in pair for pair in self.inside):
-            self.cut = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-        else:
-            self.cut = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.cut = self._cut()
+        self.follows: dict[int, bool] = {}
         self.paths: dict[str, bytes] = {}
 
+    def _cut(self) -> re.Pattern:
+        """What takes a text apart where no piece reaches across: before spaces, at line ends, between words and signs."""
+        if any(b == " " != a for a, b in self.inside):
+            return re.compile(r"(?s).+")
+        signs = [c for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" if not any((a == c and b.isalpha()) or (b == c and a.isalpha()) for a, b in self.inside)]
+        alone = "".join(map(re.escape, signs))
+        line = "" if any("\n" in pair for pair in self.inside) else "\n"
+        return re.compile(rf" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{alone}{line} ]|$)| *[^ {line}]+| +|\n")
+
     def normalise(self, text: str) -> str:
-        return ((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else ""
+        return ((" " if self.prefix else "") + text.replace(MARK, " ")) if text else ""
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the neighbours whose joined text has the highest score, the first of equals, again and again."""
@@ -110,59 +118,56 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def can_follow(self, a: str, b: str) -> bool:
-        """Whether the arc of b after a has a finite weight (a empty: at the start)."""
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) > REMEMBERED:
-                self.follows.clear()
-            known = self.follows[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def can_follow(self, before: int, arc: int) -> bool:
+        """Whether the arc after the one before (0: at the start) has a finite weight."""
+        if len(self.follows) > REMEMBERED:
+            self.follows.clear()
+        pieces = [self.text[x - 1] for x in (before, arc) if x]
+        known = self.follows[before << 32 | arc] = self.merged("".join(pieces)) == pieces
         return known
 
-    def shortest(self, text: str) -> list[str]:
-        """Pieces of the shortest path over a stretch; characters outside the vocabulary are pieces of their own.
+    def shortest(self, text: str) -> bytes:
+        """Ids of the shortest path over a stretch.
 
-        At most one path to a place has a finite cost, so a place takes the first finite arc that ends there.
+        At most one path to a place has a finite cost, so a place takes the first finite arc that ends there. Where there
+        is no path (a character that is no piece), merges by rank decide.
         """
-        n, vocabulary, follows = len(text), self.vocabulary, self.follows
-        last: list[str | None] = ["", *[None] * n]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                before = last[start]
-                if before is None:
-                    continue
-                arc = text[start:end]
-                if arc in vocabulary or end - start == 1:
-                    finite = follows.get((before, arc))
-                    if finite or finite is None and self.can_follow(before, arc):
-                        last[end] = arc
-                        break
+        n, arcs, follows = len(text), self.arcs, self.follows
+        last, back = [0, *[-1] * n], [0] * (n + 1)
+        for start in range(n):
+            before = last[start]
+            if before < 0:
+                continue
+            pair = before << 32
+            for end in range(start + 1, n + 1):
+                arc = arcs.get(text[start:end])
+                if arc is None:
+                    break
+                if arc and last[end] < 0:
+                    finite = follows.get(pair | arc)
+                    if finite is None:
+                        finite = self.can_follow(before, arc)
+                    if finite:
+                        last[end], back[end] = arc, start
+        if last[n] < 0:
+            return self.ids(self.merged(text))
         out, at = [], n
         while at:
-            arc = last[at]
-            if arc is None:  # no path that the weights allow: merges by rank decide
-                return self.merged(text)
-            out.append(arc)
-            at -= len(arc)
-        return out[::-1]
-
-    def stretches(self, chunk: str) -> Iterator[str]:
-        start = 0
-        for i in range(1, len(chunk)):
-            if (chunk[i - 1], chunk[i]) not in self.inside:
-                yield chunk[start:i]
-                start = i
-        yield chunk[start:]
+            out.append(last[at] - 1)
+            at = back[at]
+        return array("I", out[::-1]).tobytes()
+
+    def stretches(self, chunk: str) -> list[str]:
+        cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1) if pair not in self.inside]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
 
     def path(self, chunk: str) -> bytes:
-        known = self.paths.get(chunk)
-        if known is None:
-            if len(self.paths) > REMEMBERED:
-                self.paths.clear()
-            parts = list(self.stretches(chunk))
-            known = self.ids(self.shortest(chunk)) if len(parts) == 1 else b"".join(map(self.path, parts))
-            self.paths[chunk] = known
-        return known
+        parts = self.stretches(chunk)
+        ids = self.shortest(chunk) if len(parts) == 1 else b"".join([self.paths.get(p) or self.path(p) for p in parts])
+        if len(self.paths) > REMEMBERED:
+            self.paths.clear()
+        self.paths[chunk] = ids
+        return ids
 
     def ids(self, parts: list[str]) -> bytes:
         out: list[int] = []
