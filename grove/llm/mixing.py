@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.llm._shared import WORD, table
+from grove.llm._shared import WORD, stored, table
 
 #: Weights of the sources in order of their names, repeating, and the share of all words that the mix takes.
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
@@ -123,26 +123,29 @@ def mix(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), source_col: str
         raise ValueError("shards must be a power of two")
     ident = F.coalesce(F.col(keys[0]).cast("string"), F.lit(""))
     key = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
-    rows = docs.select(*keys, F.col(source_col).alias("source"), key.alias("source_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.lit(SEED), ident)).alias("digest"))
-    per_source = max(1, -(-docs.count() // BLOCK_ROWS))
+    # Texts are read once: what follows goes by stored sizes, and each small table is stored too, which keeps plans short.
+    sized = docs.select(*keys, F.col(source_col).alias("source"), key.alias("source_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.lit(SEED), ident)).alias("digest"))
+    sized = stored(sized, "sizes")
+    per_source = max(1, -(-sized.count() // BLOCK_ROWS))
     place = F.conv(F.substr("digest", F.lit(1), F.lit(8)), 16, 10).cast("long")
-    rows = rows.withColumn("block", F.shiftright(place * per_source, 32))
-    blocks = rows.groupBy("source_key", "block").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    rows = sized.withColumn("block", F.shiftright(place * per_source, 32))
+    blocks = stored(rows.groupBy("source_key", "block").agg(F.sum("size").alias("words"), F.first("source").alias("source")), "blocks")
     sums = blocks.groupBy("source_key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
-    aims = targets(sums.select("source", "source_size")).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "source_size", "target")
+    aims = stored(targets(sums.select("source", "source_size")).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "source_size", "target"), "targets")
     up_to = F.sum("words").over(Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
     ordered = blocks.withColumn("offset", up_to - F.col("words")).join(aims, "source_key")
     quota = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     drawn = ordered.withColumn("full", whole).withColumn("rest", quota - F.col("full") * F.col("source_size"))
     passes = F.col("full") + F.when((F.col("offset") < F.col("rest")) & (F.col("words") > 0), 1).otherwise(0)
-    drawn = drawn.withColumn("passes", F.when(F.col("words") > 0, passes).otherwise(0))
+    drawn = stored(drawn.withColumn("passes", F.when(F.col("words") > 0, passes).otherwise(0)), "drawn")
     units = drawn.where("passes > 0").select("source_key", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"))
-    ranked = units.withColumn("rank", F.row_number().over(Window.partitionBy("source_key").orderBy("pass", F.md5(F.concat_ws("|", F.lit(SEED), "source_key", F.col("block").cast("string"), F.col("pass").cast("string"))))) - 1)
+    lot = F.md5(F.concat_ws("|", F.lit(SEED), "source_key", F.col("block").cast("string"), F.col("pass").cast("string")))
+    ranked = stored(units.withColumn("rank", F.row_number().over(Window.partitionBy("source_key").orderBy("pass", lot)) - 1), "units")
     dealt = quotas(ranked.groupBy("source_key").agg(F.count("*").alias("draws")), shards)
     slices = dealt.select("source_key", "shard", F.explode(F.sequence("first", F.col("last") - 1)).alias("rank"))
     placed = ranked.join(slices, ["source_key", "rank"]).groupBy("source_key", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("at"))
-    known = drawn.select("source_key", "block", "offset", "full", "rest", "source_size", "target").join(placed, ["source_key", "block"], "left")
+    known = stored(drawn.select("source_key", "block", "offset", "full", "rest", "source_size", "target").join(placed, ["source_key", "block"], "left"), "placed")
     within = F.sum("size").over(Window.partitionBy("source_key", "block").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     start = F.col("offset") + F.col("within")
     joined = rows.withColumn("within", within).join(known, ["source_key", "block"])
