@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 from grove.session import checkpointed
 
 
-def first_parents(revs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, revision, distance): all revisions along first parents from each of starts (revision), itself at 0."""
-    jumps = revs.where("parent_self is not null").select(F.col("revision").alias("x"), F.col("parent_self").alias("y"))
-    step = 1
+def jumps(revs: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(step, (x, y)) for steps 1, 2, 4 ... : the revision y that many first parents before x. The last one is the longest there is."""
+    out, step = [], 1
+    table = checkpointed(revs.where("parent_self is not null").select(F.col("revision").alias("x"), F.col("parent_self").alias("y")))
+    while not table.isEmpty():
+        out.append((step, table))
+        second = table.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        table = checkpointed(table.join(second, "y").select("x", F.col("z").alias("y")))
+        step *= 2
+    return out
+
+
+def first_parents(revs: DataFrame, starts: DataFrame, tables: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
+    """(start, revision, distance): all revisions along first parents from each of starts (revision), itself at 0.
+
+    tables: the jumps of revs, where several walks share them.
+    """
     reach = starts.select(F.col("revision").alias("start"), "revision", F.lit(0).cast("long").alias("distance"))
-    while not jumps.isEmpty():
-        further = reach.join(jumps, reach["revision"] == jumps["x"]).select("start", F.col("y").alias("revision"), (F.col("distance") + step).alias("distance"))
+    for step, table in tables if tables is not None else jumps(revs):
+        further = reach.join(table, reach["revision"] == table["x"]).select("start", F.col("y").alias("revision"), (F.col("distance") + step).alias("distance"))
         reach = checkpointed(reach.unionByName(further))
-        second = jumps.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        jumps = checkpointed(jumps.join(second, "y").select("x", F.col("z").alias("y")))
-        step *= 2
     return reach
 
 
@@ -55,7 +65,8 @@ def ancestors(revs: DataFrame, starts: DataFrame) -> DataFrame:
 
     A round goes along first parents from all new revisions at once, then over the merges found: as many rounds as merges nest.
     """
-    seen = checkpointed(first_parents(revs, starts).select("start", "revision").distinct())
+    tables = jumps(revs)
+    seen = checkpointed(first_parents(revs, starts, tables).select("start", "revision").distinct())
     merges = revs.where("parent_other is not null").select("revision", F.col("parent_other").alias("other"))
     frontier = seen
     while True:
@@ -63,7 +74,7 @@ def ancestors(revs: DataFrame, starts: DataFrame) -> DataFrame:
         over = checkpointed(over)
         if over.isEmpty():
             return seen
-        walk = first_parents(revs, over.select("revision").distinct()).select(F.col("start").alias("via"), "revision")
+        walk = first_parents(revs, over.select("revision").distinct(), tables).select(F.col("start").alias("via"), "revision")
         frontier = over.withColumnRenamed("revision", "via").join(walk, "via").select("start", "revision").distinct().join(seen, ["start", "revision"], "left_anti")
         frontier = checkpointed(frontier)
         seen = checkpointed(seen.unionByName(frontier))
@@ -71,8 +82,10 @@ def ancestors(revs: DataFrame, starts: DataFrame) -> DataFrame:
 
 def common_ancestors(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(revision, number) reachable from both."""
-    one, two = (ancestors(revs, x).select("revision") for x in (a, b))
-    return revs.join(one.intersect(two), "revision", "left_semi").select("revision", "number")
+    one, two = a.select("revision").distinct(), b.select("revision").distinct()
+    reach = ancestors(revs, one.unionByName(two).distinct())
+    own = lambda x: reach.join(x.select(F.col("revision").alias("start")), "start", "left_semi").select("revision")
+    return revs.join(own(one).intersect(own(two)), "revision", "left_semi").select("revision", "number")
 
 
 def merge_base(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -82,7 +95,8 @@ def merge_base(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 def divergence(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(revision, ahead, behind): the nearest revision on both first-parent chains with its distance from each."""
-    one, two = first_parents(revs, a), first_parents(revs, b)
+    tables = jumps(revs)
+    one, two = first_parents(revs, a, tables), first_parents(revs, b, tables)
     met = one.select("revision", F.col("distance").alias("ahead")).join(two.select("revision", F.col("distance").alias("behind")), "revision")
     return met.orderBy("ahead", "behind").limit(1)
 
