@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: tiled exact comparison of fingerprints."""
+"""SimHash near-duplicates: tiled exact comparison of fingerprints; in the pipeline, of the candidates' shingles too."""
 
 from __future__ import annotations
 
@@ -192,22 +192,113 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: 128 bits of 5-word shingles. At a similarity of 0.8 the angle of the shingle vectors is acos(2 * 0.8 / 1.8), so 19.4 bits
-#: differ in the mean, with a deviation of 4.1: this radius finds 19 of 20 such pairs, and nearly all that are more alike.
-#: Unrelated texts differ by 64 bits, with a deviation of 5.7.
-STAGE = {"shingle": 5, "bits": 128, "radius": 26}
+#: The pipeline's stage: 192 bits of distinct 5-word shingles. At a similarity of 0.8 the angle of the shingle vectors is
+#: acos(2 * 0.8 / 1.8), so 29.1 bits differ in the mean, with a deviation of 5.0; unrelated texts differ by 96 with a deviation of
+#: 6.9. The radius, 3.8 deviations over the first and 6.9 under the second, finds candidates: the shingles decide.
+STAGE = {"shingle": 5, "bits": 192, "radius": 48}
+#: Least similarity of near-duplicates, as a fraction: shingles of both texts over shingles of either.
+LEAST_ALIKE = (4, 5)
+#: Candidates of a block: two blocks' shingles meet in one task.
+MEMBERS = 512
+
+
+def _shingle_sets(size: int, words: int = 0):
+    """Replaces the text by the digest of its set of shingles and a fingerprint of `words` words or, with none, by the set itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column("_text")]
+            keys = [c for c in batch.schema.names if c != "_text"]
+            if words:
+                texts = pa.array(["".join(f"{x:016x}" for x in fingerprint(f, words).tolist()) for f in found], pa.string())
+                made = {"fingerprint": texts, "digest": pa.array([xxhash.xxh3_128_hexdigest(f.tobytes()) for f in found], pa.string())}
+            else:
+                made = {"shingles": pa.array([f.tobytes() for f in found], pa.binary())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *made.values()], [*keys, *made])
+
+    return run
+
+
+def exact_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of shingles alike by LEAST_ALIKE at least, whose fingerprints are within the radius: a forest of their components.
+
+    Similarity is counted, in whole numbers. Pairs that links found before already join are passed over. With side (bool)
+    only pairs of one of each side are looked at.
+    """
+    n, sizes, (top, bottom) = len(sets), np.array([len(s) for s in sets], np.int64), LEAST_ALIKE
+    kinds, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    held = np.split(flat, np.cumsum(sizes)[:-1])
+    mark, root, left, right = np.zeros(len(kinds), bool), list(range(n)), [], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x in range(n - 1):
+        rest = slice(x + 1, n)
+        near = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1, dtype=np.int64) <= radius
+        near &= bottom * np.minimum(sizes[rest], sizes[x]) >= top * np.maximum(sizes[rest], sizes[x])
+        if side is not None:
+            near &= side[rest] != side[x]
+        mark[held[x]] = True
+        for y in (np.flatnonzero(near) + x + 1).tolist():
+            a, b = find(x), find(y)
+            if a == b:
+                continue
+            both = int(np.count_nonzero(mark[held[y]]))
+            if bottom * both >= top * int(sizes[x] + sizes[y] - both):
+                root[max(a, b)] = min(a, b)
+                left.append(x)
+                right.append(y)
+        mark[held[x]] = False
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _verify(radius: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        digests = rows.column("digest").combine_chunks()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")]
+        side = None if i == j else rows.column("block").to_numpy() == j
+        a, b = exact_links(_numbers(rows.column("fingerprint").combine_chunks()), sets, radius, side)
+        return pa.table({"a": digests.take(pa.array(a)), "b": digests.take(pa.array(b))})
+
+    return run
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest id (null ids last), then text hash.
 
-    Of rows equal in both one stays.
+    A group is a component of links between documents whose sets of shingles are alike by LEAST_ALIKE at least. Fingerprints
+    only find candidates: components of these are cut to blocks of bounded size (small ones share a block), and in each
+    pair of a component's blocks every pair within the radius is held against the shingles. Texts without words are one
+    group. Of rows equal in id and text one stays.
     """
+    size, words, radius = STAGE["shingle"], STAGE["bits"] // 64, STAGE["radius"]
     keyed = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text")})
-    classes = near_duplicates(keyed, keys=("_id", "_hash"), **STAGE)
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    first = classes.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_hash"))).alias("s")).select(F.col("s._id").alias("i"), F.col("s._hash").alias("h"))
-    stay = keyed.join(first.hint("shuffle_hash"), keyed["_id"].eqNullSafe(first["i"]) & keyed["_hash"].eqNullSafe(first["h"]), "left_semi")
+    ident = f"_id {dict(keyed.dtypes)['_id']}, _hash long"
+    made = keyed.select("_id", "_hash", F.col("text").alias("_text")).mapInArrow(_shingle_sets(size, words), f"{ident}, fingerprint string, digest string")
+    first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_hash"))).alias("first")
+    nodes = stored(made.groupBy("digest").agg(F.min("fingerprint").alias("fingerprint"), first), "shingle-sets")
+    near = components(links(nodes.select("fingerprint").distinct(), radius)).withColumnRenamed("node", "fingerprint")
+    rooted = stored(nodes.join(near, "fingerprint", "left").withColumn("root", F.coalesce("component", "fingerprint")), "candidates")
+    groups = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    small = groups.agg(F.sum(F.when(F.col("n") <= MEMBERS, F.col("n")))).first()[0] or 0
+    shared = max(LEAST_BLOCKS, -(-small // MEMBERS))
+    whole = F.col("n") <= MEMBERS
+    group = F.when(whole, F.pmod(F.xxhash64("root"), F.lit(shared)).cast("string")).otherwise(F.col("root")).alias("g")
+    blocks = F.when(whole, 1).otherwise(F.ceil(F.col("n") / MEMBERS)).cast("int").alias("blocks")
+    members = rooted.join(groups, "root").select(F.col("first._id").alias("i"), F.col("first._hash").alias("h"), "digest", "fingerprint", group, blocks)
+    members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    texts = keyed.join(members, keyed["_id"].eqNullSafe(members["i"]) & keyed["_hash"].eqNullSafe(members["h"])).select(*(members[c] for c in ("digest", "fingerprint", "g", "blocks", "block")), keyed["text"].alias("_text")).dropDuplicates(["digest"])
+    sets = texts.mapInArrow(_shingle_sets(size), "digest string, fingerprint string, g string, blocks int, block int, shingles binary")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = met.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "fingerprint", "block", "shingles")
+    linked = components(pairs.groupBy("g", "i", "j").applyInArrow(_verify(radius), "a string, b string")).withColumnRenamed("node", "digest")
+    named = nodes.join(linked, "digest", "left").groupBy(F.coalesce("component", "digest").alias("g"))
+    least = named.agg(F.min("first").alias("s")).select(F.col("s._id").alias("i"), F.col("s._hash").alias("h"))
+    stay = keyed.join(least.hint("shuffle_hash"), keyed["_id"].eqNullSafe(least["i"]) & keyed["_hash"].eqNullSafe(least["h"]), "left_semi")
     return _one_of_each(stay).select(*docs.columns)
 
 

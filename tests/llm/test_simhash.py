@@ -112,3 +112,57 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.fingerprint for r in keep_one(docs).collect()) == ["b", "d"]
     assert keep_one(docs).columns == docs.columns
     assert keep_one(docs.limit(0)).collect() == []
+
+
+def brute_sets(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_only_texts_alike_at_four_fifths_are_one_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 16, raising=False)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for family in range(12):
+        base = [rng.choice(words) for _ in range(200)]
+        for _ in range(8 if family else 60):  # shares of shingles in common from 0.5 to 1, on both sides of 0.8
+            new = list(base)
+            at = rng.randrange(0, 100)
+            for k in range(at, at + rng.choice([0, 1, 5, 12, 16, 18, 25, 45])):
+                new[k] = rng.choice(words)
+            texts.append(" ".join(new))
+            base = new if rng.random() < 0.5 else base
+    line = "one line that is said again and again "
+    texts += [line * 300 + " ".join(words[:40]), line * 300 + " ".join(words[50:90])]  # the line outweighs the rest: fingerprints of repeats are equal
+    texts += ["", " \n"]
+    sets = [brute_sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted({find(i) for i in range(len(texts))})
+    assert 20 < len(want) < len(texts) - 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == want
+
+
+def test_exact_links_at_the_bound():
+    whole = np.arange(9, dtype=np.uint64)
+    sets = [whole, whole[:8], np.append(whole[:8], np.uint64(99)), whole[:7], np.zeros(0, np.uint64)]
+    same = np.zeros((5, 3), np.uint64)
+    link = lambda *at, **more: list(zip(*(x.tolist() for x in simhash.exact_links(same[: len(at)], [sets[i] for i in at], 48, **more)), strict=True))
+    assert link(0, 2) == [(0, 1)]  # 8 of 10
+    assert link(0, 3) == [] and link(0, 4) == []  # 7 of 9
+    assert link(0, 1, 3) == [(0, 1), (1, 2)]
+    assert link(0, 1, 3, side=np.array([True, True, False])) == [(1, 2)]
+    far = np.array([[0, 0, 0], [2**49 - 1, 0, 0]], np.uint64)
+    assert simhash.exact_links(far, [whole, whole], 48)[0].tolist() == []
