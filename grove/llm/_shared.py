@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -22,21 +22,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new temporary one, on one machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='grove-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Folders that stored() has written since the last cleared().
+WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> int:
+    """Deletes what stored() has written so far, for a caller that has no more use for any result; how many folders."""
+    jvm, conf, many = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(WRITTEN)
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return many
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with marks added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """(row, more): all columns of df in one struct, so that names given to others can't clash with them. row.* unpacks it."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *more)
+
+
+def spread(rows: DataFrame, few: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
+    """rows joined with few (one row a key): a key's rows are dealt to `salts` tasks by a hash of `by`, its row of few goes to each."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(each, [key, "_salt"]).drop("_salt")
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds about `limit` bytes at most (one row at least)."""
     for batch in batches:
@@ -57,6 +96,6 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def crc_mod(column: str, divisor: int):
-    """crc32 of the id as text, modulo divisor (null: null)."""
-    return F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")) % F.lit(divisor)
+def crc_mod(column: str, divisor: int) -> Column:
+    """crc32 of the id as text, modulo divisor (null: -1, which is no remainder)."""
+    return F.coalesce(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")) % F.lit(divisor), F.lit(-1))

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from grove.llm._shared import stored, table
+from grove.llm._shared import packed, stored, table
 
 #: Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -67,6 +68,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], [*keys, *COUNTS])
 
 
+def _voted(rows: DataFrame, min_words: int, max_repeat: int) -> DataFrame:
+    """rows with COUNTS of their _text in its place, base_failed and votes."""
+    kept = StructType([f for f in rows.schema.fields if f.name != "_text"] + [StructField(c, LongType()) for c in COUNTS])
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    return rows.mapInArrow(_count, kept).select("*", failed.alias("base_failed"), F.concat(*rules().values()).alias("votes"))
+
+
 def _vote(known: Column, good: Column, bad: Column) -> Column:
     return F.when(~known, "-").when(bad, "b").when(good, "g").otherwise("-")
 
@@ -129,6 +137,21 @@ def posterior(votes: np.ndarray, share: float, good: np.ndarray, bad: np.ndarray
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+def _scores(voted: DataFrame) -> DataFrame:
+    """(votes, quality): the posterior of each pattern of votes that occurs, 3^9 at most, by EM over those of rows that pass the base."""
+    found = voted.groupBy("votes").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n")).collect()
+    patterns = sorted((r.votes, r.n) for r in found)
+    names = [p for p, _ in patterns]
+    share, good, bad = fit(names, [n for _, n in patterns])
+    values = posterior(numbers(names), share, good, bad)
+    return voted.sparkSession.createDataFrame(list(zip(names, values.tolist(), strict=True)), "votes string, quality double")
+
+
+def _judged(voted: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
+    kept = ~F.col("base_failed") & (F.col("quality") >= threshold)
+    return voted.join(F.broadcast(scores), "votes").withColumn("kept", kept)
+
+
 def quality(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """(keys, COUNTS, base_failed, votes, quality, kept), one row per row of docs.
 
@@ -139,30 +162,19 @@ def quality(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text_col: s
     and repeated keys stay as they are; an empty table gives an empty one. Columns of docs but the keys and the
     text are not read; the keys must not be named as a result column.
     """
-    spark = docs.sparkSession
     rows = docs.select(*keys, F.col(text_col).alias("_text"))
-    types = dict(rows.dtypes)
-    counted = rows.mapInArrow(_count, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{c} long" for c in COUNTS)]))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    voted = stored(counted.select("*", failed.alias("base_failed"), F.concat(*rules().values()).alias("votes")), "votes")
-    found = voted.groupBy("votes").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n")).collect()
-    patterns = sorted((r.votes, r.n) for r in found)
-    names = [p for p, _ in patterns]
-    share, good, bad = fit(names, [n for _, n in patterns])
-    values = posterior(numbers(names), share, good, bad)
-    scores = spark.createDataFrame(list(zip(names, values.tolist(), strict=True)), "votes string, quality double")
-    joined = voted.join(F.broadcast(scores), "votes")
-    return joined.select(*keys, *COUNTS, "base_failed", "votes", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+    voted = stored(_voted(rows, min_words, max_repeat), "votes")
+    return _judged(voted, _scores(voted), threshold).select(*keys, *COUNTS, "base_failed", "votes", "quality", "kept")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, as they are.
+def keep(docs: DataFrame, *, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+    """The rows of docs that quality() keeps, as they are: repeated rows and null ids too, and whatever the other columns are called.
 
-    The verdict depends on the text alone; a row is matched by id and the text's hash, so ids may repeat or be null.
+    Texts are counted twice, once for the rules' accuracies and once for the verdicts, so that no row needs to be found again.
     """
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text")})
-    gone = quality(keyed, keys=("_key", "_hash")).where(~F.col("kept")).select("_key", "_hash").distinct()
-    return keyed.join(gone.hint("shuffle_hash"), ["_key", "_hash"], "left_anti").select(*docs.columns)
+    scores = _scores(_voted(docs.select(F.col("text").alias("_text")), min_words, max_repeat))
+    voted = _voted(packed(docs, F.col("text").alias("_text")), min_words, max_repeat)
+    return _judged(voted, scores, threshold).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,51 @@ def test_odd_rows(spark):
     assert keep(docs.limit(0)).collect() == []
 
 
+def test_columns_may_have_any_names(spark):
+    text = " ".join(f"Word{i} says{i} some{i} thing{i}." for i in range(30))
+    names = ["_key", "_hash", "_id", "_text", "row", "votes", "n_words", "kept", "quality"]
+    docs = spark.createDataFrame([(1, text, *names), (1, "short", *names), (None, text, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = keep(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, text, *names), (None, text, *names)], key=str)
+
+
+def slow_em(patterns, weights):
+    """The same estimates, a document and a rule at a time."""
+    docs = [p for p, n in zip(patterns, weights) for _ in range(n)]
+    k = len(patterns[0])
+    good, bad, share = [0.999] * k, [0.25] * k, 0.9
+    for _ in range(200):
+        p = []
+        for d in docs:
+            yes, no = share, 1 - share
+            for i, c in enumerate(d):
+                if c == "g":
+                    yes, no = yes * good[i], no * (1 - bad[i])
+                elif c == "b":
+                    yes, no = yes * (1 - good[i]), no * bad[i]
+            p.append(yes / (yes + no))
+        good, old = [(sum(x for x, d in zip(p, docs) if d[i] == "g") + 9.99) / (sum(x for x, d in zip(p, docs) if d[i] != "-") + 10) for i in range(k)], good
+        bad = [(sum(1 - x for x, d in zip(p, docs) if d[i] == "b") + 2.5) / (sum(1 - x for x, d in zip(p, docs) if d[i] != "-") + 10) for i in range(k)]
+        share = (sum(p) + 90) / (len(docs) + 100)
+        if max(abs(a - b) for a, b in zip(good, old)) < 1e-12:
+            break
+    return share, good, bad
+
+
+def test_verdicts_against_a_slow_fit(spark):
+    rows = quality(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    able = [r.votes for r in rows if not r.base_failed]
+    names = sorted(set(able))
+    share, good, bad = slow_em(names, [able.count(n) for n in names])
+    for r in rows:
+        yes, no = share, 1 - share
+        for i, c in enumerate(r.votes):
+            yes, no = (yes * good[i], no * (1 - bad[i])) if c == "g" else (yes * (1 - good[i]), no * bad[i]) if c == "b" else (yes, no)
+        assert abs(r.quality - yes / (yes + no)) < 1e-4
+        assert r.kept == (not r.base_failed and yes / (yes + no) >= 0.5)
+
+
 def test_labels_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

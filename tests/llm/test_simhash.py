@@ -1,14 +1,17 @@
 """op10 against brute force."""
 
+import itertools
 import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from grove.llm import simhash
+from grove.llm import _components, simhash
 from grove.llm._components import components
 from grove.llm.simhash import fingerprint, keep_one, near_duplicates, shingle_hashes, tile_links
 
@@ -78,7 +81,9 @@ def test_tiles_lose_no_link_and_are_skipped(monkeypatch):
     assert len({*zip(found.tolist(), want)}) == len(set(found.tolist())) == len(set(want))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(_components, "FEW", few)
     edges = [("a", "b"), ("c", "b"), ("d", "e"), ("e", "d"), ("z", "y"), ("y", "x"), ("x", "w"), ("w", "v"), ("q", "q"), *((f"h{i}", "h") for i in range(50))]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a string, b string")).collect()))
     want = {**dict.fromkeys("abc", "a"), **dict.fromkeys("de", "d"), **dict.fromkeys("vwxyz", "v"), "q": "q", "h": "h", **{f"h{i}": "h" for i in range(50)}}
@@ -86,6 +91,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
 
 
+def test_pairs_of_blocks_are_dropped_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_BLOCK", 20)
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    rng = random.Random(9)
+    prints = sorted(set(clouds(rng, 1200, 3)))
+    counts = [(bin(p >> 32).count("1"), bin(p & 0xFFFFFFFF).count("1")) for p in prints]
+    classes = {c: counts.count(c) for c in set(counts)}
+    found, where = simhash.bins([(c, n, list(c), list(c)) for c, n in classes.items()], 20)
+    met = simhash.met_bins(found, 2)
+    many = np.array([b[2] for b in found])
+    assert (many @ met @ many) < 0.5 * many.sum() ** 2  # most pairs of blocks aren't made
+    for a, b in itertools.combinations(classes, 2):  # and none that is needed is dropped
+        assert met[where[a], where[b]] or sum(abs(x - y) for x, y in zip(a, b)) > 2
+    nodes = spark.createDataFrame([(f"{p:016x}",) for p in prints], "fingerprint string").select(F.col("fingerprint").alias("node"), "fingerprint", simhash._ones(64))
+    assert {(r.fingerprint, tuple(r.marks)) for r in nodes.collect()} == {(f"{p:016x}", c) for p, c in zip(prints, counts)}
+    got = {r.node: r.component for r in components(simhash.links(nodes, 2, 2)).collect()}
+    want = brute_components(prints, 2)
+    assert [got.get(f"{p:016x}", f"{p:016x}") for p in prints] == [f"{prints[i]:016x}" for i in want]
+
+
 def test_against_brute_force(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     more = spark.createDataFrame([(900, None, 1), (901, "", 1), (902, " \n", 1), (None, "A b C", 1), (903, "a b c", 1), (903, "a b c", 1), (904, "one", 1), (None, "alone in this", 1)], "doc_id long, text string, fingerprint int")
@@ -163,6 +188,7 @@ def test_exact_links_at_the_bound():
     assert link(0, 2) == [(0, 1)]  # 8 of 10
     assert link(0, 3) == [] and link(0, 4) == []  # 7 of 9
     assert link(0, 1, 3) == [(0, 1), (1, 2)]
-    assert link(0, 1, 3, side=np.array([True, True, False])) == [(1, 2)]
+    assert link(0, 1, 3, side=np.array([False, False, True])) == [(1, 2)]  # pairs with one on the side
+    assert link(0, 1, 3, label=np.array([0, 0, 1])) == [(1, 2)] and link(0, 1, 3, label=np.array([0, 0, 0])) == []
     far = np.array([[0, 0, 0], [2**49 - 1, 0, 0]], np.uint64)
     assert simhash.exact_links(far, [whole, whole], 48)[0].tolist() == []
