@@ -1,16 +1,25 @@
-"""Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame functions alone."""
+"""Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame functions alone.
+
+A source's documents are cut to blocks of bounded size by a digest. Each pass over a source draws its blocks; the last pass, which
+takes only a part of the source's words, is shared among its blocks too. The tree splits the exact numbers of draws, all sources
+together, among the output shards: at each node they are halved without replacement. A shard's quota of a source then is that
+many places of the source's permuted draws, so that shards draw disjoint blocks. What a shard takes of a last pass is its own blocks'
+share of it, block after block in their permuted order: the tree thus decides which documents are taken, and where they go.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.llm._shared import WORD, stored, table
+from grove.llm._shared import WORD, packed, spread, stored, table
 
 #: Weights of the sources in order of their names, repeating, and the share of all words that the mix takes.
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
-#: Documents of the average block of a source that holds all; a power of two of output shards.
-BLOCK_ROWS, SHARDS = 2048, 16
+#: Documents of a source's average block, and blocks of a source at least; output shards at least, a power of two, and draws of a shard at most, on the average.
+BLOCK_ROWS, LEAST_BLOCKS, SHARDS, SHARD_DRAWS = 2048, 64, 16, 1024
+#: Ranges that a source's permuted draws are ranked in.
+LOTS = 256
 SEED = "mix-1"
 #: Deviations of the hypergeometric distribution that are looked at: what is beyond has a probability below 1e-30.
 DEVIATIONS = 12
@@ -89,127 +98,155 @@ def split(counts: Column, drawn: Column, salt: Column) -> Column:
     return F.aggregate(counts, start, step)["out"]
 
 
-def quotas(blocks: DataFrame, shards: int) -> DataFrame:
-    """(source_key, first, last, shard): places of each source's permuted draws of blocks that go to each shard, from (source_key, draws).
+def shards_for(draws: int) -> int:
+    """The least power of two of shards, SHARDS at least, that have SHARD_DRAWS draws at most on the average."""
+    n = SHARDS
+    while n * SHARD_DRAWS < draws:
+        n *= 2
+    return n
+
+
+def quotas(draws: DataFrame, shards: int) -> DataFrame:
+    """(source_key, first, last, shard): places of each source's permuted draws that go to each shard, from (source_key, draws).
 
     The tree halves the shards; at each node the draws, all sources together, are halved without replacement, so that
-    shards hold as many draws within one and a source's part of each is what a draw by lot would give.
+    shards hold as many draws within one and a source's part of each is what a draw by lot would give. A node has a number for each
+    source; nodes are written to the shared folder every few levels.
     """
     entries = F.array_sort(F.collect_list(F.struct("source_key", "draws")))
-    node = blocks.agg(entries.alias("e")).select(F.lit(1).alias("node"), F.col("e.source_key").alias("keys"), F.col("e.draws").alias("counts"))
-    for _ in range(shards.bit_length() - 1):
+    node = draws.agg(entries.alias("e")).select(F.lit(1).cast("long").alias("node"), F.col("e.source_key").alias("keys"), F.col("e.draws").alias("counts"))
+    for level in range(shards.bit_length() - 1):
         half = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
         left = node.withColumn("left", split(F.col("counts"), F.floor((half + 1) / 2), F.col("node")))
         right = F.zip_with("counts", "left", lambda x, y: x - y)
         sides = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("counts")))
         node = left.select("keys", F.explode(sides).alias("s")).select("keys", F.col("s.node").alias("node"), F.col("s.counts").alias("counts"))
+        if level % 4 == 3 and level < shards.bit_length() - 2:
+            node = stored(node, "nodes")
     leaf = node.select((F.col("node") - shards).alias("shard"), F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("shard", F.col("x.keys").alias("source_key"), F.col("x.counts").alias("n"))
     last = F.sum("n").over(Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     return leaf.select("source_key", "shard", (last - F.col("n")).alias("first"), last.alias("last")).where("last > first")
 
 
-def mix(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), source_col: str = "source", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """(keys, size, source_size, target, draws), one row per row of docs; the first key is the id.
-
-    size is the text's number of words (null: 0). draws is an array of (pass, shard, slot, words): a pass takes all
-    words of a document or, in the one where its source's target is reached, the first so many. A source's documents are in
-    the order of a digest of their id; blocks of them, of bounded size, are the units that the tree deals to shards,
-    which is a power of two. slot orders a shard's draws by lot. Reruns agree.
+def ranked(units: DataFrame) -> DataFrame:
+    """units (source_key, lot, ...) with rank: places from 0 in order of lot, a digest, within each source.
 
-    Null sources are one source, the last; rows that share an id are taken in order of size; null ids share one digest.
-    Sources without words have target 0. An empty table gives an empty one. Other columns are not read.
+    Ranges of lots are ranked on their own, and begin where the counts of those before end: no task has all of a source.
     """
-    if shards < 1 or shards & (shards - 1):
-        raise ValueError("shards must be a power of two")
-    ident = F.coalesce(F.col(keys[0]).cast("string"), F.lit(""))
-    key = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
-    # Texts are read once: what follows goes by stored sizes, and each small table is stored too, which keeps plans short.
-    sized = docs.select(*keys, F.col(source_col).alias("source"), key.alias("source_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.lit(SEED), ident)).alias("digest"))
-    sized = stored(sized, "sizes")
-    per_source = max(1, -(-sized.count() // BLOCK_ROWS))
+    ranged = units.withColumn("part", F.conv(F.substr("lot", F.lit(1), F.lit(4)), 16, 10).cast("int") % LOTS)
+    sizes = ranged.groupBy("source_key", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = sizes.select("source_key", "part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("source_key", "part").orderBy("lot", "block", "pass")) - 1
+    return ranged.withColumn("own", own).join(starts, ["source_key", "part"]).withColumn("rank", (F.col("before") + F.col("own")).cast("long")).drop("before", "own", "part")
+
+
+def _sized(docs: DataFrame, ident: str, source_col: str, text_col: str, *more: Column | str) -> DataFrame:
+    """(more, source, source_key, size, digest): what places a document. The digest is of id, source and text."""
+    source = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(ident).cast("string"), F.lit("")), source, F.xxhash64(text_col).cast("string")))
+    return docs.select(*more, F.col(source_col).alias("source"), source.alias("source_key"), size.alias("size"), digest.alias("digest"))
+
+
+def _blocks(sized: DataFrame, sums: DataFrame) -> DataFrame:
+    """sized with each document's block of its source: a range of digests."""
     place = F.conv(F.substr("digest", F.lit(1), F.lit(8)), 16, 10).cast("long")
-    rows = sized.withColumn("block", F.shiftright(place * per_source, 32))
-    blocks = stored(rows.groupBy("source_key", "block").agg(F.sum("size").alias("words"), F.first("source").alias("source")), "blocks")
-    sums = blocks.groupBy("source_key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
+    met = spread(sized, sums.select("source_key", "blocks"), "source_key", F.col("digest"))
+    return met.withColumn("block", F.shiftright(place * F.col("blocks"), 32)).drop("blocks")
+
+
+def plan(sized: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(sums, drawn, shards): each source's (source_key, blocks, ...), and each block's draws, (source_key, block, source_size, target, at) with at an
+    array of (pass, shard, words): words null takes all of the block's documents, else the first so many of its words.
+    """
+    per_source = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("long")
+    sums = stored(sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"), per_source.alias("blocks")), "sources")
     aims = stored(targets(sums.select("source", "source_size")).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "source_size", "target"), "targets")
-    up_to = F.sum("words").over(Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    ordered = blocks.withColumn("offset", up_to - F.col("words")).join(aims, "source_key")
+    blocks = stored(_blocks(sized, sums).groupBy("source_key", "block").agg(F.sum("size").alias("words")), "blocks")
     quota = F.floor(F.col("target") + 0.5)
-    whole = F.when(F.col("source_size") > 0, F.floor(quota / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
-    drawn = ordered.withColumn("full", whole).withColumn("rest", quota - F.col("full") * F.col("source_size"))
-    passes = F.col("full") + F.when((F.col("offset") < F.col("rest")) & (F.col("words") > 0), 1).otherwise(0)
-    drawn = stored(drawn.withColumn("passes", F.when(F.col("words") > 0, passes).otherwise(0)), "drawn")
-    units = drawn.where("passes > 0").select("source_key", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"))
+    full = F.when(F.col("source_size") > 0, F.floor(quota / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
+    aims = aims.withColumn("full", full).withColumn("rest", quota - F.col("full") * F.col("source_size"))
+    known = spread(blocks, aims, "source_key", F.col("block"))
+    passes = F.when(F.col("words") > 0, F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)).otherwise(0)
     lot = F.md5(F.concat_ws("|", F.lit(SEED), "source_key", F.col("block").cast("string"), F.col("pass").cast("string")))
-    ranked = stored(units.withColumn("rank", F.row_number().over(Window.partitionBy("source_key").orderBy("pass", lot)) - 1), "units")
-    dealt = quotas(ranked.groupBy("source_key").agg(F.count("*").alias("draws")), shards)
+    units = known.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), passes)))
+    units = stored(ranked(units.withColumn("lot", lot)), "units")
+    draws = stored(units.groupBy("source_key").agg(F.count("*").alias("draws")), "draws")
+    if shards is None:
+        shards = shards_for(draws.agg(F.sum("draws")).first()[0] or 0)
+    dealt = quotas(draws, shards)
     slices = dealt.select("source_key", "shard", F.explode(F.sequence("first", F.col("last") - 1)).alias("rank"))
-    placed = ranked.join(slices, ["source_key", "rank"]).groupBy("source_key", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("at"))
-    known = stored(drawn.select("source_key", "block", "offset", "full", "rest", "source_size", "target").join(placed, ["source_key", "block"], "left"), "placed")
+    placed = stored(units.join(slices, ["source_key", "rank"]), "placed")
+    # The last pass: a shard's part of the words is that of its blocks, and goes to them in order of rank.
+    partial = placed.where(F.col("pass") > F.col("full"))
+    parts = partial.groupBy("source_key", "shard").agg(F.sum("words").alias("own"), F.first("rest").alias("rest"), F.first("source_size").alias("source_size"))
+    up_to = F.sum("own").over(Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    share = lambda x: F.floor(F.col("rest") * (x / F.col("source_size")))
+    parts = parts.withColumn("up_to", up_to).select("source_key", "shard", (share(F.col("up_to")) - share(F.col("up_to") - F.col("own"))).alias("part"))
+    before = F.sum("words").over(Window.partitionBy("source_key", "shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    own = partial.withColumn("before", before).join(parts, ["source_key", "shard"])
+    own = own.withColumn("take", F.least(F.greatest(F.col("part") - F.col("before"), F.lit(0)), F.col("words"))).where("take > 0")
+    own = own.select("source_key", "block", F.struct("pass", "shard", F.when(F.col("take") < F.col("words"), F.col("take")).alias("words")).alias("x"))
+    whole = placed.where(F.col("pass") <= F.col("full")).select("source_key", "block", F.struct("pass", "shard", F.lit(None).cast("long").alias("words")).alias("x"))
+    at = whole.unionByName(own).groupBy("source_key", "block").agg(F.array_sort(F.collect_list("x")).alias("at"))
+    return sums, stored(known.select("source_key", "block", "source_size", "target").join(at, ["source_key", "block"], "left"), "drawn"), shards
+
+
+def _draws(sized: DataFrame, sums: DataFrame, drawn: DataFrame) -> DataFrame:
+    """sized with source_size, target and draws."""
     within = F.sum("size").over(Window.partitionBy("source_key", "block").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    start = F.col("offset") + F.col("within")
-    joined = rows.withColumn("within", within).join(known, ["source_key", "block"])
-    part = F.least(F.greatest(F.col("rest") - start, F.lit(0)), F.col("size"))
-    words = lambda x: F.when(x["pass"] <= F.col("full"), F.col("size")).otherwise(part)
+    joined = _blocks(sized, sums).join(drawn, ["source_key", "block"]).withColumn("within", within)
+    words = lambda x: F.when(x["words"].isNull(), F.col("size")).otherwise(F.least(F.greatest(x["words"] - F.col("within"), F.lit(0)), F.col("size")))
     slot = lambda x: F.md5(F.concat_ws("|", F.lit(SEED), F.col("digest"), x["shard"].cast("string"), x["pass"].cast("string")))
-    draws = F.transform(F.coalesce("at", F.array().cast("array<struct<pass: bigint, shard: bigint>>")), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), slot(x).alias("slot"), words(x).alias("words")))
-    return joined.select(*keys, "size", "source_size", "target", F.filter(draws, lambda x: x["words"] > 0).alias("draws"))
+    none = F.array().cast("array<struct<pass: bigint, shard: bigint, words: bigint>>")
+    draws = F.transform(F.coalesce("at", none), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), slot(x).alias("slot"), words(x).alias("words")))
+    return joined.withColumn("draws", F.filter(draws, lambda x: x["words"] > 0))
+
+
+def _checked(shards: int | None) -> None:
+    if shards is not None and (shards < 1 or shards & (shards - 1)):
+        raise ValueError("shards must be a power of two")
+
+
+def mix(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), source_col: str = "source", text_col: str = "text", shards: int | None = None) -> DataFrame:
+    """(keys, size, source_size, target, draws), one row per row of docs; the first key is the id.
+
+    size is the text's number of words (null: 0). draws is an array of (pass, shard, slot, words): a pass takes all
+    words of a document or, in the last block that a shard takes of a last pass, the first so many. slot orders a shard's draws by lot.
+    shards: a power of two (None: by the number of draws). Reruns agree, whatever the order of rows.
+
+    Null sources are one source, the last. Rows alike in id, source and text are drawn in any order. Sources
+    without words have target 0. An empty table gives an empty one. Other columns are not read.
+    """
+    _checked(shards)
+    # Texts are read once: what follows goes by stored sizes.
+    sized = stored(_sized(docs, keys[0], source_col, text_col, F.struct(*keys).alias("row")), "sizes")
+    sums, drawn, _ = plan(sized, shards)
+    return _draws(sized, sums, drawn).select("row.*", "size", "source_size", "target", "draws")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """taken is over all draws; shards has the words that each shard takes of the document."""
     out = mix(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.transform("draws", lambda x: F.struct(x["shard"].alias("shard"), x["words"].alias("words")))
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row per draw, whose text is the whole or, where a source's target is reached, the words drawn.
+def mixed(docs: DataFrame, *, shards: int | None = None) -> DataFrame:
+    """docs as the mix takes them: a row per draw, whose text is the whole or, where a shard's part of its source ends, the words drawn.
 
-    Documents that aren't drawn go, and those drawn twice come twice; all columns stay, n_chars follows the text.
+    Documents that aren't drawn go, and those drawn twice come twice; all columns stay, n_chars follows the text. A shard's rows
+    lie in one partition, shuffled by lot. Texts are read twice: for the sizes, and to be dealt to their blocks,
+    so that no row needs to be found again; rows that share id and text are as any others. Other columns may have any names.
     """
-    keyed = docs.withColumn("_hash", F.hash("text"))
-    # Rows that share id and text share their draws: each gets its own of them by number.
-    number = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0)))
-    drawn = mix(keyed, keys=("doc_id", "_hash")).where(F.size("draws") > 0)
-    numbered = drawn.select(F.col("doc_id").alias("_i"), F.col("_hash").alias("_h"), F.col("size").alias("_size"), F.col("draws").alias("_draws"))
-    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.desc(F.size("_draws")))))
-    rows = keyed.withColumn("_n", number)
-    met = rows.join(numbered, rows["doc_id"].eqNullSafe(numbered["_i"]) & (rows["_hash"] == numbered["_h"]) & (rows["_n"] == numbered["_n"])).select(*(rows[c] for c in docs.columns), "_size", F.explode("_draws").alias("_draw"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    text = F.when(F.col("_draw.words") < F.col("_size"), cut).otherwise(F.col("text"))
-    out = met.withColumn("_text", text)
-    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*((made[c].alias(c)) if c in made else F.col(c) for c in docs.columns))
-
-
-SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
-  FROM documents
-), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
-  FROM d GROUP BY source
-), r AS (
-  SELECT *, 2 * source_size / weight AS ratio FROM s
-), l AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
-             - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-            / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
-  FROM r
-), f AS (
-  SELECT level FROM l WHERE level * weight < 2 * source_size ORDER BY ratio, source NULLS LAST LIMIT 1
-), t AS (
-  SELECT source, source_size, least(coalesce((SELECT level FROM f) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size)::DOUBLE AS target FROM l
-), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0
-            ELSE (quota // source_size) * size + least(greatest(quota % source_size - start, 0), size) END AS BIGINT) AS taken
-FROM p
-"""
+    _checked(shards)
+    rows = packed(docs, "doc_id", "source", "text")
+    sums, drawn, shards = plan(stored(_sized(rows, "doc_id", "source", "text"), "sizes"), shards)
+    out = _draws(_sized(rows, "doc_id", "source", "text", "row", "text"), sums, drawn).select("row", "text", "size", F.explode("draws").alias("draw"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("draw.words").cast("int")), " ")
+    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("text"))
+    out = out.select("row", text.alias("text"), "draw").repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.slot")
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -18,5 +18,4 @@ QUERIES = {
 }
 ORACLES = {
     "op1_topk_search": topk_search.SQL,
-    "op3_mix_sources": mixing.SQL,
 }
