@@ -64,16 +64,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def packed(df: DataFrame, *more: Column) -> DataFrame:
-    """(row, more): all columns of df in one struct, so that names given to others can't clash with them. row.* unpacks it."""
-    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *more)
+def packed(df: DataFrame, *more: Column, leave: str = "") -> DataFrame:
+    """(row, more): all columns of df (but one) in a struct, so that names given to others can't clash with them. row.* unpacks it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != leave)).alias("row"), *more)
 
 
-def spread(rows: DataFrame, few: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
+def spread(rows: DataFrame, few: DataFrame, key: str | list[str], by: Column, salts: int = 16) -> DataFrame:
     """rows joined with few (one row a key): a key's rows are dealt to `salts` tasks by a hash of `by`, its row of few goes to each."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(each, [key, "_salt"]).drop("_salt")
+    return salted.join(each, [*([key] if isinstance(key, str) else key), "_salt"]).drop("_salt")
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:

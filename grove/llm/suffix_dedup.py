@@ -2,10 +2,13 @@
 
 A suffix is retained where its first K words are the minimiser of some stretch of `least` words: the smallest hash of the
 stretch's K-grams, the first of equals. Each stretch of `least` words thus belongs to one retained suffix, at a place
-that its own words fix, and a passage that occurs twice has its stretches belong to suffixes of equal beginnings. Sorting
-by beginning brings those together; suffixes that stand alone go. Each other suffix is then extended to the left and right,
-as far as stretches belong to it: where the whole extension is equal, all stretches match; where extensions differ, their
-stretches are compared one by one. The union of matching stretches of a document is exactly what occurs again.
+that its own words fix, and a passage that occurs twice has its stretches belong to suffixes of equal beginnings (their anchor).
+Suffixes whose whole extension, to the left and right as far as stretches belong to them, is equal match as they are: they are
+counted together. Of the others with an anchor in common, one of each extension is sorted by its words to the right, and again
+by its words to the left, from the anchor on. In sorted order the longest agreement with any other suffix is that with a
+neighbour; partitions are ranges of the order, and the suffixes at their borders are compared in a pass of their own. A suffix
+can share a stretch with another only within both agreements: these stretches, no others, are matched by digest, as the two
+agreements can be with different suffixes. The union of a document's matching stretches is exactly what occurs again.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from grove.llm._shared import stored, table, text_batches
+from grove.llm._shared import packed, partitions, spread, stored, table, text_batches
 from grove.llm._words import Runs, word_hashes, word_spans
 
 #: Words of a passage at least, and of a suffix's beginning.
@@ -25,8 +30,9 @@ LEAST, K = 50, 10
 #: Texts are taken into numpy so many bytes at a time.
 AT_ONCE = 1 << 20
 
-SUFFIXES = "anchor long, context long, id long, th int, at long"
-STRETCHES = "w1 long, w2 long, id long, th int, start int, n long"
+SUFFIXES = "anchor long, context long, id long, th long, at long"
+CONTENTS = "anchor long, id long, th long, at long, n long, to_right binary, to_left binary"
+STRETCHES = "w1 long, w2 long, id long, th long, start int, n long"
 SPAN = "struct<start: int, end: int>"
 
 
@@ -40,7 +46,7 @@ class Texts:
         self.start, self.end = word_spans(self.raw)
         self.text = np.searchsorted(self.text_start, self.start, "right") - 1
         self.first = np.searchsorted(self.start, self.text_start[:-1], "left")
-        self.runs = Runs(word_hashes(self.raw, self.start, self.end))
+        self.words = word_hashes(self.raw, self.start, self.end)
 
 
 def suffixes(texts: Texts, least: int, k: int) -> tuple[np.ndarray, ...]:
@@ -50,8 +56,8 @@ def suffixes(texts: Texts, least: int, k: int) -> tuple[np.ndarray, ...]:
     if n < least:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    grams = np.arange(n - k + 1)
-    value = texts.runs.hash(grams, grams + k)
+    grams, runs = np.arange(n - k + 1), Runs(texts.words)
+    value = runs.hash(grams, grams + k)
     width, reach = least - k + 1, 1
     best, place = value, grams
     while reach * 2 <= width:
@@ -68,7 +74,7 @@ def suffixes(texts: Texts, least: int, k: int) -> tuple[np.ndarray, ...]:
     new[1:] = (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + 1)
     at = np.flatnonzero(new)
     low, high, place = begin[at], begin[np.append(at[1:], len(begin)) - 1], place[at]
-    context = texts.runs.hash(low, high + least, 1) ^ (place - low).astype(np.uint64)
+    context = runs.hash(low, high + least, 1) ^ (place - low).astype(np.uint64)
     return place, low, high, value[place], context
 
 
@@ -99,60 +105,158 @@ LOW = "cast(shiftright(at, 24) - (shiftright(at, 12) & 4095) as int)"
 HIGH = "cast(shiftright(at, 24) - (at & 4095) as int)"
 
 
-def _stretches(least: int):
+def _contents(least: int, k: int):
+    """Each of a document's own suffixes with the hashes of its words, outwards from the anchor."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", AT_ONCE):
             texts = Texts(batch.column("text"))
+            onward, back, n = texts.words.astype(">u8").tobytes(), texts.words[::-1].astype(">u8").tobytes(), len(texts.words)
             lists = batch.column("own")
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
-            low, high = (at >> 24) - ((at >> 12) & 4095), (at >> 24) - (at & 4095)
-            many = high - low + 1
-            which = np.repeat(np.arange(len(at)), many)
-            begin = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            first = texts.first[row[which]] + begin
-            w1, w2 = (texts.runs.hash(first, first + least, i).view(np.int64) for i in (0, 1))
-            take = pa.array(row[which])
-            columns = [pa.array(w1), pa.array(w2), batch.column("id").take(take), batch.column("th").take(take), pa.array(begin.astype(np.int32)), pa.array(n[which])]
-            yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "id", "th", "start", "n"])
+            at = flat.field("at").to_numpy()
+            place = (at >> 24) + texts.first[row]
+            low, high = place - ((at >> 12) & 4095), place - (at & 4095)
+            right = [onward[8 * a : 8 * b] for a, b in zip((place + k).tolist(), (high + least).tolist(), strict=True)]
+            left = [back[8 * a : 8 * b] for a, b in zip((n - place).tolist(), (n - low).tolist(), strict=True)]
+            take = pa.array(row)
+            columns = [flat.field("anchor"), batch.column("id").take(take), batch.column("th").take(take), flat.field("at"), flat.field("n"), pa.array(right, pa.binary()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "id", "th", "at", "n", "to_right", "to_left"])
+
+    return run
+
+
+def agreement(anchors: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Words that each row has in common with the next, from the first on; -1 where the anchors differ."""
+    n = len(words)
+    length = np.fromiter(map(len, words), np.int64, n) // 8
+    width = int(length.max(initial=0))
+    grid = np.frombuffer(b"".join(w.ljust(8 * width, b"\0") for w in words), np.uint64).reshape(n, width) if width else np.zeros((n, 0), np.uint64)
+    both = np.minimum(length[:-1], length[1:])
+    equal = (grid[:-1] == grid[1:]) & (np.arange(width) < both[:, None])
+    common = np.where(equal.all(axis=1), width, equal.argmin(axis=1)) if width else np.zeros(max(0, n - 1), np.int64)
+    return np.where(anchors[:-1] == anchors[1:], common, -1)
+
+
+def neighbours(column: str):
+    """Adds `reach` to rows that come sorted by anchor and the column's words: the most words in common with the row before or after.
+
+    `border` numbers the first and last row of each partition, in the order of partitions; it is null elsewhere.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before, border = None, -1, 2 * TaskContext.get().partitionId()
+
+        def out(rows: pa.Table, reach: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+            mark = np.full(rows.num_rows, -1, np.int64)
+            if last and rows.num_rows:
+                mark[-1] = border + 1
+            if first and rows.num_rows:
+                mark[0] = border
+            more = rows.append_column("reach", pa.array(reach.astype(np.int32))).append_column("border", pa.array(mark, pa.int64(), mask=mark < 0))
+            yield from more.to_batches()
+
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            common = agreement(rows.column("anchor").to_numpy(), rows.column(column).to_pylist())
+            reach = np.maximum(np.append(before, common[:-1]), common) if len(common) else np.zeros(0, np.int64)
+            yield from out(rows.slice(0, len(common)), reach, first and len(common) > 0, False)
+            first = first and not len(common)
+            held, before = rows.slice(len(common)), int(common[-1]) if len(common) else before
+        if held is not None:
+            yield from out(held, np.array([before]), first, True)
+
+    return run
+
+
+def reached(contents: DataFrame, column: str, name: str) -> DataFrame:
+    """contents with the longest agreement (name, in words) of each row's column with any other row of its anchor."""
+    ordered = contents.repartitionByRange(partitions(contents), "anchor", column, "id", "th", "at").sortWithinPartitions("anchor", column, "id", "th", "at")
+    kinds = ", ".join(f"{c} {t}" for c, t in contents.dtypes) + ", reach int, border long"
+    compared = stored(ordered.mapInArrow(neighbours(column), kinds), f"by-{name}")
+    # Two rows of each partition that has any: compared over the partitions' borders in one task.
+    edges = compared.where("border is not null").select("anchor", column, F.col("border").alias("at")).coalesce(1).sortWithinPartitions("at")
+    over = edges.mapInArrow(neighbours(column), f"anchor long, {column} binary, at long, reach int, border long").select(F.col("at").alias("border"), F.col("reach").alias("over"))
+    both = F.greatest("reach", F.coalesce("over", F.lit(-1)))
+    return compared.join(F.broadcast(over), "border", "left").select(*contents.columns, both.alias(name))
+
+
+def _stretches(least: int, k: int):
+    """Digests of a suffix's stretches that lie within both of its agreements."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, right, left = (batch.column(c).to_numpy() for c in ("at", "right", "left"))
+            fewest, most = np.maximum(at & 4095, least - k - right), np.minimum((at >> 12) & 4095, left)
+            rows = np.flatnonzero(fewest <= most)
+            if not len(rows):
+                continue
+            anchors = batch.column("anchor").to_numpy().view(np.uint64)
+            words, middle = [], []
+            n = 0
+            for r in rows.tolist():
+                before = np.frombuffer(batch.column("to_left")[r].as_py(), ">u8")[::-1]
+                after = np.frombuffer(batch.column("to_right")[r].as_py(), ">u8")
+                middle.append(n + len(before))
+                words += [before.astype(np.uint64), anchors[r : r + 1], after.astype(np.uint64)]
+                n += len(before) + 1 + len(after)
+            # The anchor counts as one word: equal stretches have it in the same place.
+            runs = Runs(np.concatenate(words))
+            many = most[rows] - fewest[rows] + 1
+            which = np.repeat(np.arange(len(rows)), many)
+            to_left = fewest[rows][which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            first = np.array(middle, np.int64)[which] - to_left
+            w1, w2 = (runs.hash(first, first + least - k + 1, i).view(np.int64) for i in (0, 1))
+            take = pa.array(rows[which])
+            begin = (at[rows][which] >> 24) - to_left
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), batch.column("id").take(take), batch.column("th").take(take), pa.array(begin.astype(np.int32)), batch.column("n").take(take)], ["w1", "w2", "id", "th", "start", "n"])
 
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What a document goes by: its id or, where that is null, a negative hash of the text; a hash of the text whose last bit says that the id is null."""
+    none = F.col(id_col).isNull()
+    own = F.xxhash64(F.lit("null"), text_col).bitwiseOR(F.lit(-(2**63)))
+    return F.coalesce(F.col(id_col).cast("long"), own), F.xxhash64(text_col).bitwiseAND(F.lit(-2)).bitwiseOR(none.cast("long"))
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K) -> DataFrame:
-    """(id, th, repeated, removable): of each document that shares a stretch of `least` words, the spans of words
+    """(id, key, th, repeated, removable): of each document that shares a stretch of `least` words, the spans of words
     (arrays of start and end) that lie in stretches which occur twice or more, in one document or several, and of those
     the spans that lie in a stretch which isn't the first of its equals by id, hash of the text and place.
 
-    Words are compared as they are. th is hash(text). Rows that share id and text are one document: their stretches
-    count for each row, but all keep the same part. Null ids come before all others; null and short texts share nothing.
-    Whole texts are used; other columns are not read. A class of equal stretches is only ever counted, never listed.
+    Words are compared as they are. (key, th) are 127 bits that tell documents apart: see _key. Rows that share id and text are one
+    document: their stretches count for each row, but all keep the same part. Null ids come before ids that aren't negative, in order of a hash;
+    null and short texts share nothing. Whole texts are used; other columns are not read. A class of equal stretches is only ever counted, never listed.
     """
     if not k <= least <= 2048:
         raise ValueError("a passage has k words at least and 2048 at most")
-    rows = _keyed(docs, id_col, text_col)
+    own_id, own_text = _key(id_col, text_col)
+    rows = docs.select(own_id.alias("id"), own_text.alias("th"), F.col(text_col).alias("text"))
     kept = stored(rows.mapInArrow(_retain(least, k), SUFFIXES), "suffixes")
-    again = kept.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    live = stored(kept.join(again, "anchor", "left_semi"), "live")
-    groups = stored(live.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("first")), "extensions")
+    groups = stored(kept.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("first")), "extensions")
     # Where a beginning has one extension alone, every stretch of it matches and the first place is known.
     mixed = groups.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    apart = groups.join(mixed, "anchor", "left_semi").select("first.id", "first.th", F.struct(F.col("first.at").alias("at"), "n").alias("own"))
-    wanted = apart.groupBy("id", "th").agg(F.collect_list("own").alias("own")).select(F.col("id").alias("i"), F.col("th").alias("t"), "own")
-    met = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["i"]) & (rows["th"] == wanted["t"])).select("id", "th", "text", "own")
-    stretches = stored(met.mapInArrow(_stretches(least), STRETCHES), "stretches")
+    apart = groups.join(mixed, "anchor", "left_semi").select("first.id", "first.th", F.struct("anchor", F.col("first.at").alias("at"), "n").alias("own"))
+    wanted = apart.groupBy("id", "th").agg(F.collect_list("own").alias("own"))
+    met = rows.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "th", "text", "own")
+    contents = met.mapInArrow(_contents(least, k), CONTENTS)
+    both = reached(reached(contents, "to_right", "right"), "to_left", "left")
+    stretches = stored(both.mapInArrow(_stretches(least, k), STRETCHES), "stretches")
     same = stretches.groupBy("w1", "w2").agg(F.sum("n").alias("c"), F.min(F.struct("id", "th", "start")).alias("first")).where("c > 1")
     place = lambda x: F.struct("id", "th", x)
-    by_one = stretches.join(same.select("w1", "w2", "first"), ["w1", "w2"]).select("id", "th", F.col("start").alias("low"), F.col("start").alias("high"), (~place("start").eqNullSafe(F.col("first"))).alias("later"))
+    by_one = spread(stretches, same.select("w1", "w2", "first"), ["w1", "w2"], F.col("id"), 8).select("id", "th", F.col("start").alias("low"), F.col("start").alias("high"), (~place("start").eqNullSafe(F.col("first"))).alias("later"))
     several = groups.where("n > 1").select("anchor", "context", "first")
-    by_all = live.join(several, ["anchor", "context"]).select("id", "th", F.expr(LOW).alias("low"), F.expr(HIGH).alias("high"), (~place("at").eqNullSafe(F.col("first"))).alias("later"))
+    by_all = spread(kept, several, ["anchor", "context"], F.col("id"), 8).select("id", "th", F.expr(LOW).alias("low"), F.expr(HIGH).alias("high"), (~place("at").eqNullSafe(F.col("first"))).alias("later"))
     found = by_one.union(by_all).groupBy("id", "th").agg(F.collect_set(F.struct("low", "high", "later")).alias("found"))
-    return found.mapInArrow(_merge(least), f"id long, th int, repeated array<{SPAN}>, removable array<{SPAN}>")
+    merged = found.mapInArrow(_merge(least), f"id long, th long, repeated array<{SPAN}>, removable array<{SPAN}>")
+    shown = F.when(F.col("th").bitwiseAND(F.lit(1)) == 0, F.col("id"))
+    return merged.select(shown.alias("id"), F.col("id").alias("key"), "th", "repeated", "removable")
 
 
 def union(low: np.ndarray, high: np.ndarray) -> list[dict]:
@@ -211,15 +315,14 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """docs with each repeated passage cut from the texts, but for its first occurrence; n_chars follows the text.
 
-    A document of which no word is left goes; all others stay, and a text without such a passage stays as it is.
+    A document of which no word is left goes; all others stay, and a text without such a passage stays as it is. Other columns
+    may have any names.
     """
-    cut = repeats(docs, least=least).where(F.size("removable") > 0).select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("removable").alias("_spans"))
-    rest = docs.select(*(F.col(c).alias("_text") if c == "text" else F.col(c) for c in docs.columns))
-    met = rest.join(cut.hint("shuffle_hash"), rest["doc_id"].cast("long").eqNullSafe(cut["_i"]) & (F.hash("_text") == cut["_t"]), "left").drop("_i", "_t")
-    was_cut = F.col("_spans").isNotNull()
-    kinds = dict(met.dtypes)
-    names = [c for c in met.columns if c not in ("_text", "_spans")]
-    done = met.select(*names, was_cut.alias("_cut"), "_text", "_spans").mapInArrow(_cut, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_cut boolean", "_text string"]))
-    left = done.where(~F.col("_cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    text = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return left.select(*(text[c].alias(c) if c in text and (c == "text" or "n_chars" in docs.columns) else F.col(c) for c in docs.columns))
+    cut = repeats(docs, least=least).where(F.size("removable") > 0).select("key", "th", F.col("removable").alias("_spans"))
+    own_id, own_text = _key("doc_id", "text")
+    rest = packed(docs, own_id.alias("key"), own_text.alias("th"), F.col("text").alias("_text"), leave="text")
+    met = rest.join(cut, ["key", "th"], "left").select("row", F.col("_spans").isNotNull().alias("cut"), "_text", "_spans")
+    done = met.mapInArrow(_cut, StructType([met.schema["row"], met.schema["cut"], StructField("_text", StringType())]))
+    left = done.where(~F.col("cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return left.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
