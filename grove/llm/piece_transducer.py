@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model is compiled to three transducers: the normaliser (a leading space, spaces to the space mark, all else as it is),
-the pieces, and byte fallback (an unknown character becomes the pieces of its UTF-8 bytes). For an input they are composed
-to an acyclic graph: a state is a place in the text with the piece that ended there, an arc a piece that starts there.
-Weights are of the tropical semiring: a piece costs 1, and a piece after one that it can't follow costs infinity; the
-encoding is the shortest path. One piece can follow another if merging their joined text by rank gives just these two.
-In a model of merges (BPE) that leaves one finite path for each text, the library's; weights of pieces alone would not, as
+The model is compiled to transducers: the normaliser (a leading space, and each character's replacement), the pieces (a trie that reads
+characters and writes a piece's id when it returns to its root), and byte fallback (from the root, a character that is no
+piece writes the pieces of its UTF-8 bytes). For an input they are composed to an acyclic graph: a state is a place in the text
+with the piece that ended there, an arc a piece or a character's bytes. Weights are of the tropical semiring: each id that an arc
+writes costs 1, a byte arc UNKNOWN_COST more, and a piece after one that it can't follow BARRED more; costs are relaxed from place to
+place, and the encoding is the shortest path. One piece can follow another if merging their joined text by rank gives just these
+two. In a model of merges (BPE) one path is free of such pairs, the library's; weights of pieces alone would not do, as
 merges are by rank and not by the sum of scores. The graph falls apart where no piece has two characters side by side, so
 texts are composed stretch by stretch, and paths of stretches seen before are remembered.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from grove.llm._shared import table, text_batches
 
 MARK = "▁"
-#: Stretches and pairs of pieces remembered by a worker; beyond that the memory is emptied. Results don't depend on it.
-REMEMBERED = 800_000
+#: Bytes (about) of stretches with their paths, and pairs of pieces, that a worker remembers; beyond that the memory is emptied. Stretches
+#: of more characters than LONGEST aren't remembered. Results don't depend on it.
+REMEMBERED, PAIRS, LONGEST = 192 << 20, 800_000, 64
+#: Costs of a byte arc beside its ids, and of a piece after one that it can't follow: over any sum of others.
+UNKNOWN_COST, BARRED = 1 << 10, 1 << 50
 #: Kinds of pieces, of models and of their settings in a model file (numbers of its fields).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -63,6 +66,57 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normaliser:
+    """One state before a text and one within: an arc into the text writes the prefix, one for each character its replacement."""
+
+    def __init__(self, prefix: str, arcs: dict[str, str]):
+        self.prefix, self.arcs = prefix, str.maketrans(arcs)
+
+    def compose(self, text: str) -> str:
+        """What the transducer writes for a text (none for the empty one)."""
+        return self.prefix + text.translate(self.arcs) if text else ""
+
+
+class Pieces:
+    """A trie: arcs read a character; the arc from a state back to the root writes the id of the piece that was read.
+
+    Characters that are no piece have byte arcs, from the root to the root: they write the pieces of their bytes, or the unknown piece.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], byte: dict[int, int] | None, unknown: int):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.writes: list[int] = [-1]
+        self.byte, self.unknown = byte, unknown
+        for text, i in vocabulary.items():
+            state = 0
+            for c in text:
+                after = self.arcs[state].get(c)
+                if after is None:
+                    after = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.writes.append(-1)
+                state = after
+            self.writes[state] = i
+
+    def from_root(self, text: str, start: int) -> list[tuple[int, int]]:
+        """(end, id) of each path from the root to the root that reads text from start on."""
+        arcs, writes, state, out = self.arcs, self.writes, 0, []
+        for end in range(start, len(text)):
+            state = arcs[state].get(text[end])
+            if state is None:
+                break
+            if writes[state] >= 0:
+                out.append((end + 1, writes[state]))
+        return out
+
+    def bytes_of(self, c: str) -> list[int] | None:
+        """What the byte arc of a character writes; none for a character that is a piece."""
+        state = self.arcs[0].get(c)
+        if state is not None and self.writes[state] >= 0:
+            return None
+        return [self.unknown] if self.byte is None else [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
+
+
 class Transducer:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -77,21 +131,20 @@ class Transducer:
             raise ValueError("a model of merges without user-defined pieces is asked for")
         if normalizer.get(CHARSMAP) or normalizer.get(REMOVE_SPACES, 1) or not normalizer.get(ESCAPE_SPACES, 1):
             raise ValueError("a normaliser that keeps characters and spaces is asked for")
-        self.prefix = bool(normalizer.get(DUMMY_PREFIX, 1))
-        self.fallback = bool(trainer.get(BYTE_FALLBACK, 0))
         #: Spaces stand for the mark on this side, so that texts keep their compact form.
+        self.normaliser = Normaliser(" " if normalizer.get(DUMMY_PREFIX, 1) else "", {MARK: " "})
         self.text = [t.replace(MARK, " ") for t in self.text]
         self.vocabulary = {t: i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == NORMAL}
-        #: Arcs by text: the piece's id + 1, or 0 for what only begins pieces.
-        self.arcs = {t[:n]: 0 for t in self.vocabulary for n in range(1, len(t))} | {t: i + 1 for t, i in self.vocabulary.items()}
         self.unknown = self.kind.index(UNKNOWN)
-        self.byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
+        byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
+        self.pieces = Pieces(self.vocabulary, byte if trainer.get(BYTE_FALLBACK, 0) else None, self.unknown)
         self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.encode() for t, k in zip(self.text, self.kind, strict=True)]
         #: Characters side by side in some piece; between others every path has a state.
         self.inside = {(a, b) for t in self.vocabulary for a, b in zip(t, t[1:], strict=False)}
         self.cut = self._cut()
         self.follows: dict[int, bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.held = 0
 
     def _cut(self) -> re.Pattern:
         """What takes a text apart where no piece reaches across: before spaces, at line ends, between words and signs."""
@@ -102,9 +155,6 @@ class Transducer:
         line = "" if any("\n" in pair for pair in self.inside) else "\n"
         return re.compile(rf" *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{alone}{line} ]|$)| *[^ {line}]+| +|\n")
 
-    def normalise(self, text: str) -> str:
-        return ((" " if self.prefix else "") + text.replace(MARK, " ")) if text else ""
-
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the neighbours whose joined text has the highest score, the first of equals, again and again."""
         parts = list(text)
@@ -118,44 +168,52 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def can_follow(self, before: int, arc: int) -> bool:
-        """Whether the arc after the one before (0: at the start) has a finite weight."""
-        if len(self.follows) > REMEMBERED:
-            self.follows.clear()
-        pieces = [self.text[x - 1] for x in (before, arc) if x]
-        known = self.follows[before << 32 | arc] = self.merged("".join(pieces)) == pieces
+    def can_follow(self, before: int, piece: int) -> bool:
+        """Whether merging the two pieces' joined text gives the two."""
+        key = before << 32 | piece
+        known = self.follows.get(key)
+        if known is None:
+            if len(self.follows) > PAIRS:
+                self.follows.clear()
+            pair = [self.text[before], self.text[piece]]
+            known = self.follows[key] = self.merged("".join(pair)) == pair
         return known
 
-    def shortest(self, text: str) -> bytes:
-        """Ids of the shortest path over a stretch.
+    def shortest(self, text: str, most: int = BARRED) -> tuple[int, bytes]:
+        """(cost, ids) of the shortest path over a stretch of those that cost less than most; cost most if there is none.
 
-        At most one path to a place has a finite cost, so a place takes the first finite arc that ends there. Where there
-        is no path (a character that is no piece), merges by rank decide.
+        reach[place] has, for each piece that ends there (-1: none, or bytes, which any piece can follow), the least cost and the arc it came by.
         """
-        n, arcs, follows = len(text), self.arcs, self.follows
-        last, back = [0, *[-1] * n], [0] * (n + 1)
+        n, root, follow = len(text), self.pieces, self.can_follow
+        reach: list[dict[int, tuple[int, int, int, list[int]]]] = [{} for _ in range(n + 1)]
+        reach[0][-1] = (0, 0, -1, [])
         for start in range(n):
-            before = last[start]
-            if before < 0:
+            here = reach[start]
+            if not here:
                 continue
-            pair = before << 32
-            for end in range(start + 1, n + 1):
-                arc = arcs.get(text[start:end])
-                if arc is None:
-                    break
-                if arc and last[end] < 0:
-                    finite = follows.get(pair | arc)
-                    if finite is None:
-                        finite = self.can_follow(before, arc)
-                    if finite:
-                        last[end], back[end] = arc, start
-        if last[n] < 0:
-            return self.ids(self.merged(text))
-        out, at = [], n
+            for end, piece in root.from_root(text, start):
+                there = reach[end]
+                for before, (cost, *_) in here.items():
+                    total = cost + 1
+                    if before >= 0 and not follow(before, piece):
+                        total += BARRED
+                    if total < most and (piece not in there or total < there[piece][0]):
+                        there[piece] = (total, start, before, [piece])
+            ids = root.bytes_of(text[start])
+            if ids is not None:
+                before, (cost, *_) = min(here.items(), key=lambda x: (x[1][0], x[0]))
+                total, there = cost + len(ids) + UNKNOWN_COST, reach[start + 1]
+                if total < most and (-1 not in there or total < there[-1][0]):
+                    there[-1] = (total, start, before, ids)
+        if not reach[n]:
+            return most, b""
+        at, last = n, min(reach[n].items(), key=lambda x: (x[1][0], x[0]))[0]
+        cost, out = reach[n][last][0], []
         while at:
-            out.append(last[at] - 1)
-            at = back[at]
-        return array("I", out[::-1]).tobytes()
+            _, start, before, ids = reach[at][last]
+            out += ids[::-1]
+            at, last = start, before
+        return cost, np.array(out[::-1], "<u4").tobytes()
 
     def stretches(self, chunk: str) -> list[str]:
         cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1) if pair not in self.inside]
@@ -163,32 +221,29 @@ class Transducer:
 
     def path(self, chunk: str) -> bytes:
         parts = self.stretches(chunk)
-        ids = self.shortest(chunk) if len(parts) == 1 else b"".join([self.paths.get(p) or self.path(p) for p in parts])
-        if len(self.paths) > REMEMBERED:
-            self.paths.clear()
-        self.paths[chunk] = ids
+        if len(parts) == 1:
+            cost, ids = self.shortest(chunk)
+            if cost >= BARRED:  # every path has a barred pair: the one with the fewest
+                ids = self.shortest(chunk, 1 << 62)[1]
+        else:
+            ids = b"".join([self.paths.get(p) or self.path(p) for p in parts])
+        if len(chunk) <= LONGEST:
+            self.held += 160 + 4 * len(chunk) + len(ids)
+            if self.held > REMEMBERED:
+                self.paths.clear()
+                self.held = 0
+            self.paths[chunk] = ids
         return ids
 
-    def ids(self, parts: list[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            if (i := self.vocabulary.get(p)) is not None:
-                out.append(i)
-            elif self.fallback:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers (null or empty: none)."""
         known, path = self.paths.get, self.path
-        return b"".join([known(c) or path(c) for c in self.cut.findall(self.normalise(text or ""))])
+        return b"".join([known(c) or path(c) for c in self.cut.findall(self.normaliser.compose(text or ""))])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: the pieces' characters and bytes, without the leading space that the normaliser adds."""
         raw = b"".join(map(self.raw.__getitem__, ids))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return (raw[1:] if self.normaliser.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -255,7 +310,7 @@ def _rows(docs: DataFrame, keys: tuple[str, ...], text_col: str) -> tuple[DataFr
 def encode(docs: DataFrame, model: str, *, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", check: bool = False) -> DataFrame:
     """(keys, ids array<int>), one row per row of docs: the library's ids of each whole text, without begin or end.
 
-    With check a column `restored` says whether the ids decode to the text (null: to the empty text). Null and empty texts have no ids. Null and repeated keys stay; other columns are not read.
+    With check a column `restored` says whether the ids decode to the text (null: to the empty text). Null and empty texts have no ids. Null and repeated keys stay; they must not be named as a result column; other columns are not read.
     """
     rows, kinds = _rows(docs, keys, text_col)
     return rows.mapInArrow(_encode(model, check), ", ".join([*kinds, "ids array<int>", *["restored boolean"] * check]))

@@ -9,7 +9,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grove.llm.piece_transducer import Transducer, decode, encode, round_trip
+from grove.llm.piece_transducer import BARRED, UNKNOWN_COST, Normaliser, Transducer, decode, encode, round_trip
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -48,6 +48,58 @@ def test_without_remembered_paths(monkeypatch):
     assert np.frombuffer(small.encode(text), "<u4").tolist() == LIBRARY.encode(text)
 
 
+def test_bytes_are_arcs_of_the_graph():
+    """Characters that are no piece, within words and alone: one path through pieces and bytes, without a barred pair."""
+    for text in (" ab\U00012000cd", " \x00\x01", " the\U00012345re \U00012000", " \U00012000"):
+        cost, ids = OURS.shortest(text)
+        assert UNKNOWN_COST < cost < BARRED
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text[1:])
+        again = b"".join(OURS.raw[i] for i in np.frombuffer(ids, "<u4"))
+        assert again.decode() == text
+    assert OURS.pieces.bytes_of("a") is None and len(OURS.pieces.bytes_of("\U00012000")) == 4
+
+
+def test_costs_are_relaxed():
+    """The path found costs least of all paths that there are, listed one by one."""
+
+    def paths(text, at=0, before=-1):
+        if at == len(text):
+            yield 0, []
+        for end, piece in OURS.pieces.from_root(text, at):
+            step = 1 + (BARRED if before >= 0 and not OURS.can_follow(before, piece) else 0)
+            for cost, rest in paths(text, end, piece):
+                yield cost + step, [piece, *rest]
+
+    for word in (" there", " stretch", "xylophone", "aaaaaaa", " 12  34", "----"):
+        listed = sorted(paths(word))
+        cost, ids = OURS.shortest(word)
+        assert (cost, np.frombuffer(ids, "<u4").tolist()) == listed[0]
+        assert len(listed) > 1 and listed[0][0] < BARRED <= listed[1][0]  # one path alone has no barred pair
+
+
+def test_a_barred_pair_is_dear_but_passable(monkeypatch):
+    small = Transducer(PATH)
+    monkeypatch.setattr(small, "can_follow", lambda before, piece: False)
+    text = " there"
+    assert small.shortest(text)[0] < BARRED  # one piece has no pair
+    text = " therexyz"
+    assert small.shortest(text) == (BARRED, b"")
+    cost, ids = small.shortest(text, 1 << 62)
+    assert b"".join(small.raw[i] for i in np.frombuffer(ids, "<u4")).decode() == text and BARRED < cost
+
+
+def test_normaliser():
+    n = Normaliser("_", {"a": "bb", "c": ""})
+    assert n.compose("xac") == "_xbb" and n.compose("") == ""
+
+
+def test_long_unbroken_texts_are_not_remembered():
+    small = Transducer(PATH)
+    text = "x1y" * 3000
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == LIBRARY.encode(text)
+    assert all(len(p) <= 64 for p in small.paths)
+
+
 def test_frames(spark):
     docs = spark.createDataFrame([*((i, t, 7) for i, t in enumerate(ODD)), (None, "no id", 7), (3, "   ", 7)], "doc_id long, text string, ids int")
     coded = encode(docs, PATH)
