@@ -23,8 +23,8 @@ WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\
 #: Printable ASCII without the apostrophe, ASCII white space and Latin-1 letters: NFC and the pattern are plain on these.
 PLAIN = re.compile(r"[\x09-\x0d\x20-&(-~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-#: Pieces remembered by a worker; beyond that the memory is emptied. Results don't depend on it.
-REMEMBERED = 600_000
+#: Pieces remembered by a worker, of so many characters at most; beyond that the memory is emptied. Results don't depend on it.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -119,7 +119,11 @@ class Encoder:
             self.memory.clear()
             new = set().union(*cut)
         self._learn(new)
-        return [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
+        out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.memory[p]
+        return out
 
 
 @lru_cache(maxsize=2)

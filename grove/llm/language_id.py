@@ -14,12 +14,12 @@ from grove.llm._shared import crc_mod, table
 
 #: The bounded sample that dictionaries are made of: texts of each language, and characters of each, from its middle.
 SAMPLE_TEXTS, SAMPLE_CHARS = 128, 512
-#: Languages at most: what the driver gathers and each task is sent is bounded by this and the sample.
-MOST_LANGUAGES = 1000
+#: Languages that are learned at most, those with the most rows: what the driver gathers and each task is sent is bounded by this and the sample.
+MOST_LANGUAGES, SALTS = 1000, 32
 #: Texts are compressed in stretches of so many bytes, as in longer ones the text itself takes the dictionary's place.
 STRETCH = 4096
-#: Texts up to SHORT bytes, and those whose margin is under NARROW, are compressed with the parser that finds the shortest matches.
-SHORT, NARROW, FAST, FINE = 400, 0.06, 5, 19
+#: The level that all texts are compressed at.
+LEVEL = 7
 #: Goes before each stretch: bytes that no dictionary holds, without which a short stretch is stored as it is, whatever the dictionary.
 PAD = bytes(range(64)) * 2
 UNKNOWN = "und"
@@ -34,52 +34,49 @@ def letters(text: str) -> bytes:
 def dictionaries(train: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
     """Raw content for each language: excerpts of SAMPLE_TEXTS distinct texts, those with the smallest hashes of the text.
 
-    Languages are in order of their rows, the most first, then of code points. Rows without language or text teach nothing.
+    Languages are in order of their rows, the most first, then of code points; of more than MOST_LANGUAGES the first are learned. Rows
+    without language or text teach nothing.
     """
     rows = train.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    ranked = rows.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= SAMPLE_TEXTS)
-    chosen = ranked.select("l", "h").limit(MOST_LANGUAGES * SAMPLE_TEXTS)
+    learned = [r.l for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()]
+    if not learned:
+        return {}
+    names = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in learned], "l string"))
+    least = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= SAMPLE_TEXTS).drop("r")
+    # The smallest of a language are among the smallest of its parts, each of which is one task's.
+    hashes = rows.join(names, "l", "left_semi").select("l", "h").distinct().withColumn("part", F.pmod(F.xxhash64("h"), F.lit(SALTS)))
+    chosen = least(least(hashes, "l", "part").drop("part"), "l").limit(MOST_LANGUAGES * SAMPLE_TEXTS)
     start = F.greatest(F.lit(1), ((F.length("t") - SAMPLE_CHARS) / 2).cast("int"))
-    parts = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", F.substr("t", start, F.lit(SAMPLE_CHARS)).alias("t")).dropDuplicates(["l", "h"])
+    parts = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", F.substr("t", start, F.lit(SAMPLE_CHARS)).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
     out: dict[str, list] = {}
     for r in sorted(parts.collect(), key=lambda r: (r.l, r.h)):
         out.setdefault(r.l, []).append(r.t)
-    if len(out) >= MOST_LANGUAGES:
-        raise ValueError(f"{MOST_LANGUAGES} languages or more")
-    many = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGUAGES).collect()}
-    return {lang: b"".join(map(letters, out[lang])) for lang in sorted(out, key=lambda x: (-many[x], x))}
+    return {lang: b"".join(map(letters, out[lang])) for lang in learned if lang in out}
 
 
 class Classifier:
     def __init__(self, content: dict[str, bytes]):
         import zstandard as z
 
-        self.languages = list(content)
-        self.by_level = {}
-        for level in (FAST, FINE):
-            made = []
-            for lang in self.languages:
-                d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                made.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.by_level[level] = made
-
-    def sizes(self, raw: bytes, level: int) -> np.ndarray:
+        self.languages, self.packers = list(content), []
+        for lang in self.languages:
+            d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.packers.append(z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def sizes(self, raw: bytes) -> np.ndarray:
         """Bytes of the whole text under each language's dictionary."""
         total = np.zeros(len(self.languages), np.int64)
         for i in range(0, len(raw), STRETCH):
             part = PAD + raw[i : i + STRETCH]
-            total += [len(c.compress(part)) for c in self.by_level[level]]
+            total += [len(c.compress(part)) for c in self.packers]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): margin is how much larger the second smallest is, as a share of the smallest."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        raw = letters(text)
-        sizes = self.sizes(raw, FINE if len(raw) <= SHORT else FAST)
-        if len(raw) > SHORT and len(sizes) > 1 and np.diff(np.partition(sizes, 1)[:2])[0] < NARROW * sizes.min():
-            sizes = self.sizes(raw, FINE)
+        sizes = self.sizes(letters(text))
         best, low = int(sizes.argmin()), float(sizes.min())
         likely = np.exp2(-(sizes - low) / (1 + 0.02 * low))
         others = np.delete(sizes, best)
@@ -105,7 +102,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], *, keys: tuple[str, ...
     lang_pred is the language whose dictionary makes the whole text smallest, ties to the language with most rows; `und`, score 0
     and rejected, for texts that are null, empty or without a letter, and where no language is learned. rejected: the margin to
     the second smallest is under least_margin of the smallest. score is 1 over the sum of 2^-(excess bytes / (1 + 2 % of the
-    smallest)), so 1 for a clear case and near 1 / languages for none. Null and repeated keys stay; other columns are not read.
+    smallest)), so 1 for a clear case and near 1 / languages for none. Null and repeated keys stay; they must not be named as a result column; other columns are not read.
     """
     rows = docs.select(*keys, F.col(text_col).alias("_text"))
     types = dict(rows.dtypes)

@@ -52,14 +52,13 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     version = file_digest(tokenizer) if not _model_file(tokenizer) else _piece_digest(tokenizer)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content_digest", F.sha2("text", 256))
     known = _cached(spark, cache, version)
-    # Of each content one row is encoded; only ids and digests are aggregated, and of the texts only those of misses move.
-    first = rows.groupBy("content_digest").agg(F.min(F.struct(F.length("text"), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("at"))
-    misses = first.join(known, "content_digest", "left_anti") if known is not None else first
-    wanted = misses.select("content_digest", F.col("at.col2").alias("key"))
-    texts = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(wanted.hint("shuffle_hash"), ["content_digest", "key"], "left_semi")
-    counted = texts.select("content_digest", "text").mapInArrow(_encode_counts(tokenizer), "content_digest string, n_tokens long")
+    # One row of each content is encoded: copies meet in the tasks that read them, before any text moves.
+    texts = rows.select("content_digest", "text").dropDuplicates(["content_digest"])
+    if known is not None:
+        texts = texts.join(known, "content_digest", "left_anti")
+    counted = texts.mapInArrow(_encode_counts(tokenizer), "content_digest string, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache)
-    # Rows that repeat both id and text have left more than one equal count.
+    # Where two runs have appended the same content, their counts are equal.
     counts = _cached(spark, cache, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     slim = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
     return slim.join(counts, "content_digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -38,19 +38,20 @@ def _encode(path: str, end_id: int | None):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stride: int = 1000, compression: str = "zstd") -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stride: int = 1000, stripe: int = 64 << 20, compression: str = "zstd") -> None:
     """Encodes every text of docs (null: empty) and writes the ids to ORC files under path, in ascending id order.
 
     Ids are range-partitioned, one file a partition, and sorted within; null ids come first, rows that share
-    an id are in order of their text. end_id is appended to each document (None: nothing is). Each file has
-    stripes that can be read in parallel, a row index every `stride` rows, and Bloom filters on doc_id, so
-    a reader that filters on doc_id skips stripes and row groups. An empty table gives files without rows.
+    an id are in order of a hash of their text, by which they are partitioned too. end_id is appended to each document (None: nothing
+    is). Each file has stripes of `stripe` bytes that can be read in parallel, a row index every `stride` rows, and Bloom filters on
+    doc_id, so a reader that filters on doc_id skips stripes and row groups. An empty table gives files without rows.
     Other columns of docs are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(files or partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(files or partitions(docs), *order).sortWithinPartitions(*order, "text")
     ids = ordered.mapInArrow(_encode(tokenizer, end_id), FILE_SCHEMA)
-    ids.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", stride).option("orc.create.index", "true").option("compression", compression).orc(path)
+    ids.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", stride).option("orc.create.index", "true").option("orc.stripe.size", stripe).option("orc.rows.between.memory.checks", 100).option("compression", compression).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

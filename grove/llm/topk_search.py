@@ -20,7 +20,7 @@ FAN = 32
 #: Shards at least, so that a small table still keeps all cores busy.
 LEAST_SHARDS = 12
 
-LISTS = "query_id long, cell int, vec_id array<long>, score array<long>"
+LISTS = "query_id long, query long, cell int, vec_id array<long>, score array<long>"
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -51,8 +51,8 @@ def _tile(k: int):
     def run(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
         cell, found = key[0].as_py(), {}
         for dim in set(queries.column("dim").to_pylist()) & set(shard.column("dim").to_pylist()):
-            qid, q = _matrix(queries, dim)
-            vid, rows = _matrix(shard, dim)
+            qid, q, which = _matrix(queries, dim)
+            vid, rows, _ = _matrix(shard, dim)
             for i in range(0, len(qid), TILE_QUERIES):
                 tops: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qid[i : i + TILE_QUERIES])
                 for j in range(0, len(vid), TILE_ROWS):
@@ -66,20 +66,20 @@ def _tile(k: int):
                             new_ids = ids
                         other = new_ids != qid[i + n]
                         tops[n] = merge(np.concatenate([top_ids, new_ids[other]]), np.concatenate([top_scores, some[other]]), k)
-                found.update({(dim, i + n): (qid[i + n], t) for n, t in enumerate(tops)})
-        rows_out = [(q, t[0].tolist(), t[1].tolist()) for q, t in found.values()]
-        names = ["query_id", "cell", "vec_id", "score"]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = [[r[0] for r in rows_out], [cell] * len(rows_out), [r[1] for r in rows_out], [r[2] for r in rows_out]]
+                found.update({(dim, i + n): (qid[i + n], which[i + n], t) for n, t in enumerate(tops)})
+        rows_out = [(q, w, t[0].tolist(), t[1].tolist()) for q, w, t in found.values()]
+        names = ["query_id", "query", "cell", "vec_id", "score"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = [[r[0] for r in rows_out], [r[1] for r in rows_out], [cell] * len(rows_out), [r[2] for r in rows_out], [r[3] for r in rows_out]]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
 
     return run
 
 
-def _matrix(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = rows.filter(pa.compute.equal(rows.column("dim"), dim))
     flat = own.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return own.column("id").to_numpy(), flat.reshape(own.num_rows, dim)
+    return own.column("id").to_numpy(), flat.reshape(own.num_rows, dim), own.column("query").to_numpy()
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -88,7 +88,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     Both sides have id_col, a long, and vector_col, an array of numbers, of which floor(scale * x) is taken in
     each component. Ties go to the smaller id; a query with fewer than k candidates gets all. Rows whose id or vector
     is null, or whose vector holds null or non-finite components, take no part; vectors meet those of
-    their own length only. Repeated rows are candidates each, and repeated queries one; queries that share an id share a list. Components that don't fit a long are held at
+    their own length only. Repeated rows are candidates each, and repeated queries one; queries that share an id but not the vector have a list each. Components that don't fit a long are held at
     its ends, and sums beyond it wrap. Empty tables give no rows. Other columns are not read.
 
     Shards of vectors and blocks of queries, both of fixed size, meet in a grid of cells: a vector is sent to
@@ -99,18 +99,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     rows, asked = took(vectors), took(queries).dropDuplicates(["id", "q"])
     n, m = vectors.count(), queries.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    dealt = lambda df, many, other, shift: df.withColumn("own", F.pmod(F.xxhash64("id", F.slice("q", 1, 4)), F.lit(many)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-    left = dealt(asked, blocks, shards, 0).select((F.col("met") * blocks + F.col("own")).alias("cell"), "id", "dim", "q")
-    right = dealt(rows, shards, blocks, 1).select((F.col("own") * blocks + F.col("met")).alias("cell"), "id", "dim", "q")
+    # A row's place in its partition tells copies apart, so that they don't meet in one shard.
+    dealt = lambda df, many, other: df.withColumn("query", F.xxhash64("q")).withColumn("own", F.pmod(F.xxhash64("id", "query", F.monotonically_increasing_id()), F.lit(many)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    left = dealt(asked, blocks, shards).select((F.col("met") * blocks + F.col("own")).alias("cell"), "id", "dim", "q", "query")
+    right = dealt(rows, shards, blocks).select((F.col("own") * blocks + F.col("met")).alias("cell"), "id", "dim", "q", "query")
     lists = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_tile(k), LISTS)
     pairs = F.transform(F.arrays_zip("score", "vec_id"), lambda x: F.struct((-x["score"]).alias("s"), x["vec_id"].alias("v")))
-    tops = lists.select("query_id", (F.col("cell") / blocks).cast("int").alias("shard"), pairs.alias("top"))
+    tops = lists.select("query_id", "query", (F.col("cell") / blocks).cast("int").alias("shard"), pairs.alias("top"))
     width = shards
     while True:
         width = -(-width // FAN)
         parent = (F.col("shard") / FAN).cast("int")
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k)
-        tops = tops.groupBy("query_id", parent.alias("shard")).agg(merged.alias("top"))
+        tops = tops.groupBy("query_id", "query", parent.alias("shard")).agg(merged.alias("top"))
         if width <= 1:
             break
     ranked = tops.select("query_id", F.posexplode("top").alias("at", "hit"))

@@ -1,12 +1,16 @@
 """op4 and op9 against the library itself."""
 
+import glob
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from grove.llm._tokenizer import Encoder
@@ -65,7 +69,8 @@ def test_files(spark, tmp_path, end):
     docs = rows(spark, ODD).unionByName(spark.createDataFrame([(None, "no id", ""), (3, "again", "")], "doc_id long, text string, n_tokens string"))
     write_tokens(docs, WORDS, f"{tmp_path}/t", end_id=end, files=3)
     want, at = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or "")):
+    place = lambda t: int.from_bytes(xxhash.xxh64_digest((t or "").encode(), 42), "big", signed=True)
+    for r in sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, place(r.text))):
         got = ids(r.text) + ([end] if end is not None else [])
         want.append((r.doc_id, at, len(got), zlib.crc32(np.array(got, "<u4").tobytes())))
         at += len(got)
@@ -77,3 +82,52 @@ def test_files(spark, tmp_path, end):
 def test_no_documents(spark, tmp_path):
     write_tokens(rows(spark, ["x"]).limit(0), WORDS, f"{tmp_path}/t")
     assert token_index(spark, f"{tmp_path}/t").collect() == []
+
+
+def test_long_texts(spark, tmp_path):
+    """Texts of megabytes, with and without spaces: counted and written whole."""
+    texts = ["word " * 300_000, "x" * 200_000, "né " * 50_000]
+    docs = rows(spark, texts)
+    want = [len(ids(t)) for t in texts]
+    assert [r.n_tokens for r in token_counts(docs, WORDS, f"file://{tmp_path}/c").orderBy("doc_id").collect()] == want
+    write_tokens(docs, WORDS, f"{tmp_path}/t")
+    found = token_index(spark, f"{tmp_path}/t").orderBy("doc_id").collect()
+    assert [(r.start, r.n_tokens) for r in found] == [(0, want[0] + 1), (want[0] + 1, want[1] + 1), (want[0] + want[1] + 2, want[2] + 1)]
+
+
+def test_copies_are_encoded_once(spark, tmp_path):
+    """Rows that repeat both id and text, and null ids: one miss for each distinct text."""
+    docs = spark.createDataFrame([(None, "again")] * 40 + [(1, "again")] * 40 + [(1, "other")], "doc_id long, text string")
+    found = token_counts(docs, WORDS, f"file://{tmp_path}/c")
+    assert found.count() == 81 and spark.read.parquet(f"{tmp_path}/c").count() == 2
+    more = docs.unionByName(spark.createDataFrame([(2, "new one")] * 3, "doc_id long, text string"))
+    assert token_counts(more, WORDS, f"file://{tmp_path}/c").count() == 84 and spark.read.parquet(f"{tmp_path}/c").count() == 3
+
+
+def test_stripes_and_row_groups(spark, tmp_path):
+    """Files have several stripes, each readable alone, with Bloom filters; a filter on ids reads few rows."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(3 * i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(6000)], "doc_id long, text string")
+    write_tokens(docs, WORDS, f"{tmp_path}/t", files=2, stride=1000, stripe=64 << 10)
+    names = sorted(glob.glob(f"{tmp_path}/t/*.orc"))
+    assert len(names) == 2
+    whole = []
+    for name in names:
+        f = orc.ORCFile(name)
+        assert f.nstripes > 1
+        parts = [f.read_stripe(i).column("doc_id").to_pylist() for i in range(f.nstripes)]
+        assert [x for p in parts for x in p] == f.read().column("doc_id").to_pylist()
+        whole += [x for p in parts for x in p]
+    assert whole == [3 * i for i in range(6000)]
+
+    def scanned(condition):
+        read = read_tokens(spark, f"{tmp_path}/t").where(condition).select("doc_id", "n_tokens")
+        n = len(read.collect())
+        nodes = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(read._jdf.queryExecution().executedPlan().collectLeaves())
+        return n, sum(x.metrics().apply("numOutputRows").value() for x in nodes)
+
+    assert scanned("doc_id >= 0")[1] == 6000
+    found, seen = scanned("doc_id = 7500")
+    assert found == 1 and seen <= 1000  # one row group
+    found, seen = scanned("doc_id = 7501")
+    assert found == 0 and seen <= 1000  # within the range of ids: a Bloom filter may rule it out

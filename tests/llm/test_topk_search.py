@@ -41,6 +41,19 @@ def test_fewer_candidates_than_k_and_none(spark):
     assert top_k(docs, docs.limit(0)).collect() == []
 
 
+def test_queries_that_share_an_id_have_a_list_each(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 0.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, top_k(docs, docs.where("vec_id = 1").union(docs.where("vec_id = 1")), 2).collect()))
+    assert found == brute(rows, [r for r in rows if r[0] == 1], 2)
+
+
+def test_copies_and_long_vectors(spark):
+    rows = [(5, [0.5] * 2000)] * 30 + [(6, [0.5] * 2000), (20, [1.0] * 2000)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, top_k(docs, docs.where("vec_id = 20")).collect())) == brute(rows, [rows[-1]], 5)
+
+
 def test_large_numbers_stay_whole():
     q, rows = np.array([[2**40 + 1, 3]]), np.array([[2**20 + 1, 5], [7, -1]])
     assert products(q, rows).tolist() == [[(2**40 + 1) * (2**20 + 1) + 15, (2**40 + 1) * 7 - 3]]
