@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from grove.llm._shared import table, text_batches
 MARK = "▁"
 #: Bytes (about) of stretches with their paths, and pairs of pieces, that a worker remembers; beyond that the memory is emptied. Stretches
 #: of more characters than LONGEST aren't remembered. Results don't depend on it.
-REMEMBERED, PAIRS, LONGEST = 192 << 20, 800_000, 64
+REMEMBERED, PAIRS, LONGEST = 96 << 20, 400_000, 64
 #: Costs of a byte arc beside its ids, and of a piece after one that it can't follow: over any sum of others.
 UNKNOWN_COST, BARRED = 1 << 10, 1 << 50
 #: Kinds of pieces, of models and of their settings in a model file (numbers of its fields).
@@ -78,42 +79,25 @@ class Normaliser:
 
 
 class Pieces:
-    """A trie: arcs read a character; the arc from a state back to the root writes the id of the piece that was read.
+    """A trie: arcs read a character; the arc from a state back to the root (under the key ENDS) writes the id of the piece that was read.
 
     Characters that are no piece have byte arcs, from the root to the root: they write the pieces of their bytes, or the unknown piece.
     """
 
+    ENDS = ""
+
     def __init__(self, vocabulary: dict[str, int], byte: dict[int, int] | None, unknown: int):
-        self.arcs: list[dict[str, int]] = [{}]
-        self.writes: list[int] = [-1]
+        self.root: dict = {}
         self.byte, self.unknown = byte, unknown
         for text, i in vocabulary.items():
-            state = 0
+            state = self.root
             for c in text:
-                after = self.arcs[state].get(c)
-                if after is None:
-                    after = self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.writes.append(-1)
-                state = after
-            self.writes[state] = i
-
-    def from_root(self, text: str, start: int) -> list[tuple[int, int]]:
-        """(end, id) of each path from the root to the root that reads text from start on."""
-        arcs, writes, state, out = self.arcs, self.writes, 0, []
-        for end in range(start, len(text)):
-            state = arcs[state].get(text[end])
-            if state is None:
-                break
-            if writes[state] >= 0:
-                out.append((end + 1, writes[state]))
-        return out
-
-    def bytes_of(self, c: str) -> list[int] | None:
-        """What the byte arc of a character writes; none for a character that is a piece."""
-        state = self.arcs[0].get(c)
-        if state is not None and self.writes[state] >= 0:
-            return None
+                state = state.setdefault(c, {})
+            state[self.ENDS] = i
+        self.alone = {c for c, state in self.root.items() if self.ENDS in state}
+
+    def bytes_of(self, c: str) -> list[int]:
+        """What the byte arc of a character that is no piece writes."""
         return [self.unknown] if self.byte is None else [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
 
 
@@ -142,7 +126,8 @@ class Transducer:
         #: Characters side by side in some piece; between others every path has a state.
         self.inside = {(a, b) for t in self.vocabulary for a, b in zip(t, t[1:], strict=False)}
         self.cut = self._cut()
-        self.follows: dict[int, bool] = {}
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.paths: dict[str, bytes] = {}
         self.held = 0
 
@@ -170,50 +155,59 @@ class Transducer:
 
     def can_follow(self, before: int, piece: int) -> bool:
         """Whether merging the two pieces' joined text gives the two."""
-        key = before << 32 | piece
-        known = self.follows.get(key)
+        known = self.follows.setdefault(before, {}).get(piece)
         if known is None:
-            if len(self.follows) > PAIRS:
+            if self.pairs > PAIRS:
                 self.follows.clear()
+                self.pairs = 0
             pair = [self.text[before], self.text[piece]]
-            known = self.follows[key] = self.merged("".join(pair)) == pair
+            known = self.follows.setdefault(before, {})[piece] = self.merged("".join(pair)) == pair
+            self.pairs += 1
         return known
 
     def shortest(self, text: str, most: int = BARRED) -> tuple[int, bytes]:
         """(cost, ids) of the shortest path over a stretch of those that cost less than most; cost most if there is none.
 
-        reach[place] has, for each piece that ends there (-1: none, or bytes, which any piece can follow), the least cost and the arc it came by.
+        reach[place] has, for each piece that ends there (-1: none, or bytes, which any piece can follow), the least cost and the arc it came by:
+        costs are relaxed in order of places. A path without a barred pair is what merging gives of the text so far, and there is
+        only one of each place: with BARRED the limit, an arc to a place that has such a path is over the limit and not looked at.
         """
-        n, root, follow = len(text), self.pieces, self.can_follow
-        reach: list[dict[int, tuple[int, int, int, list[int]]]] = [{} for _ in range(n + 1)]
-        reach[0][-1] = (0, 0, -1, [])
+        n, root, ends, alone, free = len(text), self.pieces.root, Pieces.ENDS, self.pieces.alone, most <= BARRED
+        reach: list[dict] = [{} for _ in range(n + 1)]
+        reach[0][-1] = (0, 0, -1)
         for start in range(n):
             here = reach[start]
             if not here:
                 continue
-            for end, piece in root.from_root(text, start):
-                there = reach[end]
-                for before, (cost, *_) in here.items():
-                    total = cost + 1
-                    if before >= 0 and not follow(before, piece):
+            state = root
+            for end in range(start, n):
+                state = state.get(text[end])
+                if state is None:
+                    break
+                piece = state.get(ends)
+                if piece is None or (free and reach[end + 1]):
+                    continue
+                there = reach[end + 1]
+                for before, known in here.items():
+                    total = known[0] + 1
+                    if before >= 0 and not self.can_follow(before, piece):
                         total += BARRED
                     if total < most and (piece not in there or total < there[piece][0]):
-                        there[piece] = (total, start, before, [piece])
-            ids = root.bytes_of(text[start])
-            if ids is not None:
-                before, (cost, *_) = min(here.items(), key=lambda x: (x[1][0], x[0]))
-                total, there = cost + len(ids) + UNKNOWN_COST, reach[start + 1]
+                        there[piece] = (total, start, before)
+            if text[start] not in alone:
+                before, known = min(here.items(), key=lambda x: (x[1][0], x[0]))
+                total, there = known[0] + len(self.pieces.bytes_of(text[start])) + UNKNOWN_COST, reach[start + 1]
                 if total < most and (-1 not in there or total < there[-1][0]):
-                    there[-1] = (total, start, before, ids)
+                    there[-1] = (total, start, before)
         if not reach[n]:
             return most, b""
         at, last = n, min(reach[n].items(), key=lambda x: (x[1][0], x[0]))[0]
         cost, out = reach[n][last][0], []
         while at:
-            _, start, before, ids = reach[at][last]
-            out += ids[::-1]
+            _, start, before = reach[at][last]
+            out += self.pieces.bytes_of(text[start])[::-1] if last < 0 else [last]
             at, last = start, before
-        return cost, np.array(out[::-1], "<u4").tobytes()
+        return cost, array("I", out[::-1]).tobytes()
 
     def stretches(self, chunk: str) -> list[str]:
         cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1) if pair not in self.inside]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +60,19 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = np.array([counts(t.as_py()) for t in batch.column("_text")], np.int64).reshape(-1, len(COUNTS))
-        keys = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], [*keys, *COUNTS])
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+def counted(texts: pa.Array) -> pa.Array:
+    """COUNTS of each text. Texts alone go to Python: the rows' other columns wait in the JVM."""
+    rows = np.array([counts(t.as_py()) for t in texts], np.int64).reshape(-1, len(COUNTS))
+    return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
 
 
 def _voted(rows: DataFrame, min_words: int, max_repeat: int) -> DataFrame:
     """rows with COUNTS of their _text in its place, base_failed and votes."""
-    kept = StructType([f for f in rows.schema.fields if f.name != "_text"] + [StructField(c, LongType()) for c in COUNTS])
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "_text"]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return rows.mapInArrow(_count, kept).select("*", failed.alias("base_failed"), F.concat(*rules().values()).alias("votes"))
+    out = rows.select(*kept, counted("_text").alias("_counts")).select(*kept, "_counts.*")
+    return out.select("*", failed.alias("base_failed"), F.concat(*rules().values()).alias("votes"))
 
 
 def _vote(known: Column, good: Column, bad: Column) -> Column:
