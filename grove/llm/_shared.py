@@ -69,6 +69,11 @@ def packed(df: DataFrame, *more: Column, leave: str = "") -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != leave)).alias("row"), *more)
 
 
+def unpacked(df: DataFrame, made: dict[str, Column]) -> list[Column]:
+    """The columns of df, from the struct that packed() has made and, where named in made, from that."""
+    return [made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+
+
 def spread(rows: DataFrame, few: DataFrame, key: str | list[str], by: Column, salts: int = 16) -> DataFrame:
     """rows joined with few (one row a key): a key's rows are dealt to `salts` tasks by a hash of `by`, its row of few goes to each."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.llm._shared import WORD, packed, spread, stored, table
+from grove.llm._shared import WORD, packed, spread, stored, table, unpacked
 
 #: Weights of the sources in order of their names, repeating, and the share of all words that the mix takes.
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
@@ -242,11 +242,10 @@ def mixed(docs: DataFrame, *, shards: int | None = None) -> DataFrame:
     so that no row needs to be found again; rows that share id and text are as any others. Other columns may have any names.
     """
     _checked(shards)
-    rows = packed(docs, "doc_id", "source", "text")
+    rows = packed(docs, "doc_id", "source", "text", leave="text")
     sums, drawn, shards = plan(stored(_sized(rows, "doc_id", "source", "text"), "sizes"), shards)
     out = _draws(_sized(rows, "doc_id", "source", "text", "row", "text"), sums, drawn).select("row", "text", "size", F.explode("draws").alias("draw"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("draw.words").cast("int")), " ")
     text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("text"))
     out = out.select("row", text.alias("text"), "draw").repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.slot")
-    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return out.select(*unpacked(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))

@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from grove.llm._shared import table, text_batches
 
 MARK = "▁"
-#: Bytes (about) of stretches with their paths, and pairs of pieces, that a worker remembers; beyond that the memory is emptied. Stretches
-#: of more characters than LONGEST aren't remembered. Results don't depend on it.
-REMEMBERED, PAIRS, LONGEST = 96 << 20, 400_000, 64
+#: Bytes (about) of stretches with their paths that a worker remembers of late; beyond that those not used since as many were last put
+#: by are forgotten. Pairs of pieces remembered; beyond that all are forgotten. Stretches of more characters than LONGEST aren't remembered.
+#: Results don't depend on it.
+REMEMBERED, PAIRS, LONGEST = 40 << 20, 250_000, 64
 #: Costs of a byte arc beside its ids, and of a piece after one that it can't follow: over any sum of others.
 UNKNOWN_COST, BARRED = 1 << 10, 1 << 50
 #: Kinds of pieces, of models and of their settings in a model file (numbers of its fields).
@@ -129,6 +130,7 @@ class Transducer:
         self.follows: dict[int, dict[int, bool]] = {}
         self.pairs = 0
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _cut(self) -> re.Pattern:
@@ -214,18 +216,19 @@ class Transducer:
         return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
 
     def path(self, chunk: str) -> bytes:
-        parts = self.stretches(chunk)
-        if len(parts) == 1:
-            cost, ids = self.shortest(chunk)
-            if cost >= BARRED:  # every path has a barred pair: the one with the fewest
-                ids = self.shortest(chunk, 1 << 62)[1]
-        else:
-            ids = b"".join([self.paths.get(p) or self.path(p) for p in parts])
+        ids = self.older.get(chunk)
+        if ids is None:
+            parts = self.stretches(chunk)
+            if len(parts) == 1:
+                cost, ids = self.shortest(chunk)
+                if cost >= BARRED:  # every path has a barred pair: the one with the fewest
+                    ids = self.shortest(chunk, 1 << 62)[1]
+            else:
+                ids = b"".join([self.paths.get(p) or self.path(p) for p in parts])
         if len(chunk) <= LONGEST:
             self.held += 160 + 4 * len(chunk) + len(ids)
             if self.held > REMEMBERED:
-                self.paths.clear()
-                self.held = 0
+                self.older, self.paths, self.held = self.paths, {}, 0
             self.paths[chunk] = ids
         return ids
 

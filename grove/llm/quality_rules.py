@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from grove.llm._shared import packed, stored, table
+from grove.llm._shared import packed, stored, table, text_batches, unpacked
 
 #: Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -60,19 +61,23 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
-def counted(texts: pa.Array) -> pa.Array:
-    """COUNTS of each text. Texts alone go to Python: the rows' other columns wait in the JVM."""
-    rows = np.array([counts(t.as_py()) for t in texts], np.int64).reshape(-1, len(COUNTS))
-    return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
+def _count(keep: bool):
+    """Adds COUNTS of _text, in its place or (keep) beside it."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "_text"):
+            rows = np.array([counts(t.as_py()) for t in batch.column("_text")], np.int64).reshape(-1, len(COUNTS))
+            names = [c for c in batch.schema.names if keep or c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], [*names, *COUNTS])
 
-def _voted(rows: DataFrame, min_words: int, max_repeat: int) -> DataFrame:
-    """rows with COUNTS of their _text in its place, base_failed and votes."""
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != "_text"]
+    return run
+
+
+def _voted(rows: DataFrame, min_words: int, max_repeat: int, keep: bool = False) -> DataFrame:
+    """rows (with _text or, without keep, lacking it) with COUNTS, base_failed and votes."""
+    kept = StructType([f for f in rows.schema.fields if keep or f.name != "_text"] + [StructField(c, LongType()) for c in COUNTS])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    out = rows.select(*kept, counted("_text").alias("_counts")).select(*kept, "_counts.*")
-    return out.select("*", failed.alias("base_failed"), F.concat(*rules().values()).alias("votes"))
+    return rows.mapInArrow(_count(keep), kept).select("*", failed.alias("base_failed"), F.concat(*rules().values()).alias("votes"))
 
 
 def _vote(known: Column, good: Column, bad: Column) -> Column:
@@ -173,8 +178,8 @@ def keep(docs: DataFrame, *, threshold: float = 0.5, min_words: int = 50, max_re
     Texts are counted twice, once for the rules' accuracies and once for the verdicts, so that no row needs to be found again.
     """
     scores = _scores(_voted(docs.select(F.col("text").alias("_text")), min_words, max_repeat))
-    voted = _voted(packed(docs, F.col("text").alias("_text")), min_words, max_repeat)
-    return _judged(voted, scores, threshold).where("kept").select("row.*")
+    voted = _voted(packed(docs, F.col("text").alias("_text"), leave="text"), min_words, max_repeat, keep=True)
+    return _judged(voted, scores, threshold).where("kept").select(*unpacked(docs, {"text": F.col("_text")}))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

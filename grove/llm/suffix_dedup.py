@@ -17,12 +17,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from grove.llm._shared import packed, partitions, spread, stored, table, text_batches
+from grove.llm._shared import packed, partitions, spread, stored, table, text_batches, unpacked
 from grove.llm._words import Runs, word_hashes, word_spans
 
 #: Words of a passage at least, and of a suffix's beginning.
@@ -295,22 +296,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("repeated").alias("n_spans"), _sum("repeated").alias("repeated_words"), _sum("removable").alias("removable_words"), "repeated", "removable")
 
 
-@F.arrow_udf(StringType())
-def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts without spans of words, from each span's first word up to the next word after it; null where spans are null."""
-    out = []
-    for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        if own is None:
-            out.append(None)
-            continue
-        raw = (text or "").encode()
-        start, _ = word_spans(np.frombuffer(raw, np.uint8))
-        start, at, parts = [*start.tolist(), len(raw)], 0, []
-        for s in own:
-            parts.append(raw[at : start[s["start"]]])
-            at = start[s["end"]]
-        out.append(b"".join([*parts, raw[at:]]).decode())
-    return pa.array(out, pa.string())
+def without(text: str | None, spans: list[dict]) -> str:
+    """The text without spans of words, from each span's first word up to the next word after it."""
+    raw = (text or "").encode()
+    start, _ = word_spans(np.frombuffer(raw, np.uint8))
+    start, at, parts = [*start.tolist(), len(raw)], 0, []
+    for s in spans:
+        parts.append(raw[at : start[s["start"]]])
+        at = start[s["end"]]
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_batches(batches, "_text"):
+        spans = batch.column("_spans")
+        texts = batch.column("_text")
+        cut = [without(texts[i].as_py(), spans[i].as_py()) if spans[i].is_valid else None for i in range(batch.num_rows)]
+        done = pa.compute.if_else(spans.is_valid(), pa.array(cut, pa.string()), texts)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), spans.is_valid(), done], ["row", "cut", "_text"])
 
 
 def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
@@ -322,9 +325,7 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     cut = repeats(docs, least=least).where(F.size("removable") > 0).select("key", "th", F.col("removable").alias("_spans"))
     own_id, own_text = _key("doc_id", "text")
     rest = packed(docs, own_id.alias("key"), own_text.alias("th"), F.col("text").alias("_text"), leave="text")
-    cutting = F.col("_spans").isNotNull()
-    # Only texts that are cut go to Python.
-    met = rest.join(cut, ["key", "th"], "left").withColumn("_cut", without(F.when(cutting, F.col("_text")), "_spans"))
-    left = met.where(~cutting | F.col("_cut").rlike(r"[^\x20\x09-\x0D]")).select("row", F.when(cutting, F.col("_cut")).otherwise(F.col("_text")).alias("_text"))
-    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return left.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    met = rest.join(cut, ["key", "th"], "left").select("row", "_text", "_spans")
+    done = met.mapInArrow(_cut, StructType([met.schema["row"], StructField("cut", BooleanType()), StructField("_text", StringType())]))
+    left = done.where(~F.col("cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*unpacked(docs, {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}))

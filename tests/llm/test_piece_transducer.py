@@ -42,7 +42,7 @@ def test_documents():
 
 
 def test_without_remembered_paths(monkeypatch):
-    monkeypatch.setattr("grove.llm.piece_transducer.REMEMBERED", 3)
+    monkeypatch.setattr("grove.llm.piece_transducer.REMEMBERED", 300)
     small = Transducer(PATH)
     text = "The quick brown fox, the lazy dog. " * 3
     assert np.frombuffer(small.encode(text), "<u4").tolist() == LIBRARY.encode(text)
