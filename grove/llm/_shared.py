@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -81,6 +83,30 @@ def spread(rows: DataFrame, few: DataFrame, key: str | list[str], by: Column, sa
     return salted.join(each, [*([key] if isinstance(key, str) else key), "_salt"]).drop("_salt")
 
 
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives a worker's free memory back to the system when a partition ends: workers live on, beside the next stage's."""
+
+    @wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
+def releasing(factory: Callable) -> Callable:
+    """A factory of functions over batches, whose functions are released()."""
+
+    @wraps(factory)
+    def make(*args: object) -> Callable:
+        return released(factory(*args))
+
+    return make
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds about `limit` bytes at most (one row at least)."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.llm._shared import crc_mod, table
+from grove.llm._shared import crc_mod, releasing, table
 
 #: The bounded sample that dictionaries are made of: texts of each language, and characters of each, from its middle.
 SAMPLE_TEXTS, SAMPLE_CHARS = 128, 512
@@ -84,6 +84,7 @@ class Classifier:
         return self.languages[best], float(1 / likely.sum()), margin
 
 
+@releasing
 def _predict(content: dict[str, bytes], least_margin: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(content)

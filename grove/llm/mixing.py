@@ -18,8 +18,8 @@ from grove.llm._shared import WORD, packed, spread, stored, table, unpacked
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 #: Documents of a source's average block, and blocks of a source at least; output shards at least, a power of two, and draws of a shard at most, on the average.
 BLOCK_ROWS, LEAST_BLOCKS, SHARDS, SHARD_DRAWS = 2048, 64, 16, 1024
-#: Ranges that a source's permuted draws are ranked in.
-LOTS = 256
+#: Ranges that a source's permuted draws are ranked in; blocks whose draws are sent to all tasks (50 MB or so), more are joined.
+LOTS, MOST_SENT = 256, 200_000
 SEED = "mix-1"
 #: Deviations of the hypergeometric distribution that are looked at: what is beyond has a probability below 1e-30.
 DEVIATIONS = 12
@@ -141,12 +141,17 @@ def ranked(units: DataFrame) -> DataFrame:
     return ranged.withColumn("own", own).join(starts, ["source_key", "part"]).withColumn("rank", (F.col("before") + F.col("own")).cast("long")).drop("before", "own", "part")
 
 
-def _sized(docs: DataFrame, ident: str, source_col: str, text_col: str, *more: Column | str) -> DataFrame:
-    """(more, source, source_key, size, digest): what places a document. The digest is of id, source and text."""
+def _placed(ident: str, source_col: str, text_col: str) -> tuple[Column, Column]:
+    """(source_key, digest): what places a document. The digest is of id, source and text."""
     source = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(ident).cast("string"), F.lit("")), source, F.xxhash64(text_col).cast("string")))
-    return docs.select(*more, F.col(source_col).alias("source"), source.alias("source_key"), size.alias("size"), digest.alias("digest"))
+    return source.alias("source_key"), digest.alias("digest")
+
+
+def _sized(docs: DataFrame, ident: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(more, source, source_key, size, digest)."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(*more, F.col(source_col).alias("source"), size.alias("size"), *_placed(ident, source_col, text_col))
 
 
 def _blocks(sized: DataFrame, sums: DataFrame) -> DataFrame:
@@ -158,7 +163,7 @@ def _blocks(sized: DataFrame, sums: DataFrame) -> DataFrame:
 
 def plan(sized: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(sums, drawn, shards): each source's (source_key, blocks, ...), and each block's draws, (source_key, block, source_size, target, at) with at an
-    array of (pass, shard, words): words null takes all of the block's documents, else the first so many of its words.
+    array of (pass, shard, cut, words): cut null takes all of the block's documents, else those of smaller digests, and `words` of each with this one.
     """
     per_source = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("long")
     sums = stored(sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"), per_source.alias("blocks")), "sources")
@@ -187,21 +192,29 @@ def plan(sized: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     before = F.sum("words").over(Window.partitionBy("source_key", "shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     own = partial.withColumn("before", before).join(parts, ["source_key", "shard"])
     own = own.withColumn("take", F.least(F.greatest(F.col("part") - F.col("before"), F.lit(0)), F.col("words"))).where("take > 0")
-    own = own.select("source_key", "block", F.struct("pass", "shard", F.when(F.col("take") < F.col("words"), F.col("take")).alias("words")).alias("x"))
-    whole = placed.where(F.col("pass") <= F.col("full")).select("source_key", "block", F.struct("pass", "shard", F.lit(None).cast("long").alias("words")).alias("x"))
-    at = whole.unionByName(own).groupBy("source_key", "block").agg(F.array_sort(F.collect_list("x")).alias("at"))
+    own = stored(own.select("source_key", "block", "pass", "shard", "words", "take"), "last-passes")
+    # Where a block is cut, one a shard and source at most: at the digest up to which its words are taken.
+    cuts = own.where("take < words").select("source_key", "block", "take")
+    alike = _blocks(sized, sums).join(cuts, ["source_key", "block"]).groupBy("source_key", "block", "take", "digest").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    so_far = F.sum("size").over(Window.partitionBy("source_key", "block").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    left = F.col("take") - so_far
+    cut = alike.withColumn("left", left).where("left >= 0 and left < size").select("source_key", "block", F.col("digest").alias("cut"), F.floor(F.col("left") / F.col("n")).alias("least"))
+    entry = lambda cut, words: F.struct("pass", "shard", cut.alias("cut"), words.alias("words")).alias("x")
+    last = own.join(cut, ["source_key", "block"], "left").select("source_key", "block", entry(F.col("cut"), F.col("least")))
+    whole = placed.where(F.col("pass") <= F.col("full")).select("source_key", "block", entry(F.lit(None).cast("string"), F.lit(None).cast("long")))
+    at = whole.unionByName(last).groupBy("source_key", "block").agg(F.array_sort(F.collect_list("x")).alias("at"))
     return sums, stored(known.select("source_key", "block", "source_size", "target").join(at, ["source_key", "block"], "left"), "drawn"), shards
 
 
-def _draws(sized: DataFrame, sums: DataFrame, drawn: DataFrame) -> DataFrame:
-    """sized with source_size, target and draws."""
-    within = F.sum("size").over(Window.partitionBy("source_key", "block").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    joined = _blocks(sized, sums).join(drawn, ["source_key", "block"]).withColumn("within", within)
-    words = lambda x: F.when(x["words"].isNull(), F.col("size")).otherwise(F.least(F.greatest(x["words"] - F.col("within"), F.lit(0)), F.col("size")))
+def _draws(placed: DataFrame, sums: DataFrame, drawn: DataFrame, words: Column) -> DataFrame:
+    """placed (source_key, digest, ...) with source_size, target and draws; words: of a document that is taken whole."""
+    rows = _blocks(placed, sums)
+    met = rows.join(F.broadcast(drawn) if drawn.count() <= MOST_SENT else drawn, ["source_key", "block"])
+    taken = lambda x: F.when(x["cut"].isNull() | (F.col("digest") < x["cut"]), words).when(F.col("digest") == x["cut"], x["words"]).otherwise(0)
     slot = lambda x: F.md5(F.concat_ws("|", F.lit(SEED), F.col("digest"), x["shard"].cast("string"), x["pass"].cast("string")))
-    none = F.array().cast("array<struct<pass: bigint, shard: bigint, words: bigint>>")
-    draws = F.transform(F.coalesce("at", none), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), slot(x).alias("slot"), words(x).alias("words")))
-    return joined.withColumn("draws", F.filter(draws, lambda x: x["words"] > 0))
+    none = F.array().cast("array<struct<pass: bigint, shard: bigint, cut: string, words: bigint>>")
+    draws = F.transform(F.coalesce("at", none), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), slot(x).alias("slot"), taken(x).alias("words")))
+    return met.withColumn("draws", F.filter(draws, lambda x: x["words"] > 0))
 
 
 def _checked(shards: int | None) -> None:
@@ -216,14 +229,14 @@ def mix(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), source_col: str
     words of a document or, in the last block that a shard takes of a last pass, the first so many. slot orders a shard's draws by lot.
     shards: a power of two (None: by the number of draws). Reruns agree, whatever the order of rows.
 
-    Null sources are one source, the last. Rows alike in id, source and text are drawn in any order. Sources
+    Null sources are one source, the last. Rows alike in id, source and text take alike (the fewer words, where they can't). Sources
     without words have target 0. An empty table gives an empty one. Other columns are not read.
     """
     _checked(shards)
     # Texts are read once: what follows goes by stored sizes.
     sized = stored(_sized(docs, keys[0], source_col, text_col, F.struct(*keys).alias("row")), "sizes")
     sums, drawn, _ = plan(sized, shards)
-    return _draws(sized, sums, drawn).select("row.*", "size", "source_size", "target", "draws")
+    return _draws(sized, sums, drawn, F.col("size")).select("row.*", "size", "source_size", "target", "draws")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,14 +251,15 @@ def mixed(docs: DataFrame, *, shards: int | None = None) -> DataFrame:
     """docs as the mix takes them: a row per draw, whose text is the whole or, where a shard's part of its source ends, the words drawn.
 
     Documents that aren't drawn go, and those drawn twice come twice; all columns stay, n_chars follows the text. A shard's rows
-    lie in one partition, shuffled by lot. Texts are read twice: for the sizes, and to be dealt to their blocks,
+    lie in one partition, shuffled by lot. Texts are read twice: for the sizes, and to be dealt to their shards,
     so that no row needs to be found again; rows that share id and text are as any others. Other columns may have any names.
     """
     _checked(shards)
-    rows = packed(docs, "doc_id", "source", "text", leave="text")
-    sums, drawn, shards = plan(stored(_sized(rows, "doc_id", "source", "text"), "sizes"), shards)
-    out = _draws(_sized(rows, "doc_id", "source", "text", "row", "text"), sums, drawn).select("row", "text", "size", F.explode("draws").alias("draw"))
+    sums, drawn, shards = plan(stored(_sized(docs, "doc_id", "source", "text"), "sizes"), shards)
+    rows = packed(docs, F.col("text"), *_placed("doc_id", "source", "text"), leave="text").where(F.col("text").rlike(WORD))
+    all_ = F.lit(2**62)
+    out = _draws(rows, sums, drawn, all_).select("row", "text", F.explode("draws").alias("draw"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("draw.words").cast("int")), " ")
-    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("text"))
+    text = F.when(F.col("draw.words") < all_, cut).otherwise(F.col("text"))
     out = out.select("row", text.alias("text"), "draw").repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.slot")
     return out.select(*unpacked(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))

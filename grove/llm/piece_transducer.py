@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm._shared import table, text_batches
+from grove.llm._shared import releasing, table, text_batches
 
 MARK = "▁"
 #: Bytes (about) of stretches with their paths that a worker remembers of late; beyond that those not used since as many were last put
@@ -253,6 +253,7 @@ def _names(batch: pa.RecordBatch, leave: str) -> list[str]:
     return [c for c in batch.schema.names if c != leave]
 
 
+@releasing
 def _encode(path: str, check: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
@@ -268,6 +269,7 @@ def _encode(path: str, check: bool):
     return run
 
 
+@releasing
 def _decode(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
@@ -279,6 +281,7 @@ def _decode(path: str):
     return run
 
 
+@releasing
 def _round_trip(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from grove.llm._shared import packed, stored, table, text_batches, unpacked
+from grove.llm._shared import packed, releasing, stored, table, text_batches, unpacked
 
 #: Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -61,6 +61,7 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
+@releasing
 def _count(keep: bool):
     """Adds COUNTS of _text, in its place or (keep) beside it."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm._components import components, forest
-from grove.llm._shared import fresh, partitions, spread, stored, table
+from grove.llm._shared import fresh, partitions, releasing, spread, stored, table
 
 SEED = 42
 #: Fingerprints of a block; two blocks meet in one task. A tile is a part of one, compared in one numpy operation.
@@ -53,6 +53,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
+@releasing
 def _fingerprints(size: int, words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +258,7 @@ SCALE, GAP, CLASS = 1000, 225, 25
 MEMBERS, SHINGLES = 1024, 4_000_000
 
 
+@releasing
 def _shingle_sets(size: int, words: int = 0):
     """Replaces the text by its set of shingles' digest, size and a fingerprint of `words` words or, with none, by the set itself."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from grove.llm._shared import packed, partitions, spread, stored, table, text_batches, unpacked
+from grove.llm._shared import packed, partitions, released, releasing, spread, stored, table, text_batches, unpacked
 from grove.llm._words import Runs, word_hashes, word_spans
 
 #: Words of a passage at least, and of a suffix's beginning.
@@ -84,6 +84,7 @@ def _smaller(best: np.ndarray, place: np.ndarray, shift: int, size: int) -> tupl
     return np.where(left, best[:size], best[shift : shift + size]), np.where(left, place[:size], place[shift : shift + size])
 
 
+@releasing
 def _retain(least: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", AT_ONCE):
@@ -106,6 +107,7 @@ LOW = "cast(shiftright(at, 24) - (shiftright(at, 12) & 4095) as int)"
 HIGH = "cast(shiftright(at, 24) - (at & 4095) as int)"
 
 
+@releasing
 def _contents(least: int, k: int):
     """Each of a document's own suffixes with the hashes of its words, outwards from the anchor."""
 
@@ -140,6 +142,7 @@ def agreement(anchors: np.ndarray, words: list[bytes]) -> np.ndarray:
     return np.where(anchors[:-1] == anchors[1:], common, -1)
 
 
+@releasing
 def neighbours(column: str):
     """Adds `reach` to rows that come sorted by anchor and the column's words: the most words in common with the row before or after.
 
@@ -186,6 +189,7 @@ def reached(contents: DataFrame, column: str, name: str) -> DataFrame:
     return compared.join(F.broadcast(over), "border", "left").select(*contents.columns, both.alias(name))
 
 
+@releasing
 def _stretches(least: int, k: int):
     """Digests of a suffix's stretches that lie within both of its agreements."""
 
@@ -270,6 +274,7 @@ def union(low: np.ndarray, high: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(low[new].tolist(), high[np.append(new[1:], len(low)) - 1].tolist(), strict=True)]
 
 
+@releasing
 def _merge(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -307,6 +312,7 @@ def without(text: str | None, spans: list[dict]) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
+@released
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "_text"):
         spans = batch.column("_spans")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm._shared import shared_dir, table, text_batches
+from grove.llm._shared import releasing, shared_dir, table, text_batches
 from grove.llm._tokenizer import encoder, file_digest
 
 CACHE_SCHEMA = "tokenizer_digest string, content_digest string, n_tokens long"
@@ -21,6 +21,7 @@ def _model_file(path: str) -> bool:
     return path.endswith(".model")
 
 
+@releasing
 def _encode_counts(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _model_file(path):

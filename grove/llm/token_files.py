@@ -12,13 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.llm._shared import partitions, shared_dir, table, text_batches
+from grove.llm._shared import partitions, releasing, shared_dir, table, text_batches
 from grove.llm._tokenizer import encoder
 
 #: part and row give the order over all files; ids end with the end id.
 FILE_SCHEMA = "doc_id long, part int, row long, n_tokens long, ids array<int>"
 
 
+@releasing
 def _encode(path: str, end_id: int | None):
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 

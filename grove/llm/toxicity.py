@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm._shared import crc_mod, table
+from grove.llm._shared import crc_mod, releasing, table
 
 #: The bounded sample that weights are learned from: labelled documents of each class, of so many characters at most.
 SAMPLE_OF_CLASS, SAMPLE_CHARS = 3000, 20_000
@@ -109,6 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([r.t for r in rows], [r.y for r in rows], [total[r.y] / count[r.y] for r in rows])
 
 
+@releasing
 def _score(model: Model, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
