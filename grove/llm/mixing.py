@@ -16,8 +16,9 @@ from grove.llm._shared import WORD, packed, spread, stored, table, unpacked
 
 #: Weights of the sources in order of their names, repeating, and the share of all words that the mix takes.
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
-#: Documents of a source's average block, and blocks of a source at least; output shards at least, a power of two, and draws of a shard at most, on the average.
-BLOCK_ROWS, LEAST_BLOCKS, SHARDS, SHARD_DRAWS = 2048, 64, 16, 1024
+#: Documents of a source's average block, and blocks of a source at least; output shards at least, a power of two, and rows of a shard
+#: at most, on the average.
+BLOCK_ROWS, LEAST_BLOCKS, SHARDS, SHARD_ROWS = 256, 64, 16, 32_768
 #: Ranges that a source's permuted draws are ranked in; blocks whose draws are sent to all tasks (50 MB or so), more are joined.
 LOTS, MOST_SENT = 256, 200_000
 SEED = "mix-1"
@@ -98,10 +99,10 @@ def split(counts: Column, drawn: Column, salt: Column) -> Column:
     return F.aggregate(counts, start, step)["out"]
 
 
-def shards_for(draws: int) -> int:
-    """The least power of two of shards, SHARDS at least, that have SHARD_DRAWS draws at most on the average."""
+def shards_for(rows: int) -> int:
+    """The least power of two of shards, SHARDS at least, that have SHARD_ROWS rows at most on the average."""
     n = SHARDS
-    while n * SHARD_DRAWS < draws:
+    while n * SHARD_ROWS < rows:
         n *= 2
     return n
 
@@ -166,7 +167,7 @@ def plan(sized: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     array of (pass, shard, cut, words): cut null takes all of the block's documents, else those of smaller digests, and `words` of each with this one.
     """
     per_source = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("long")
-    sums = stored(sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"), per_source.alias("blocks")), "sources")
+    sums = stored(sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"), F.count("*").alias("docs"), per_source.alias("blocks")), "sources")
     aims = stored(targets(sums.select("source", "source_size")).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "source_size", "target"), "targets")
     blocks = stored(_blocks(sized, sums).groupBy("source_key", "block").agg(F.sum("size").alias("words")), "blocks")
     quota = F.floor(F.col("target") + 0.5)
@@ -179,7 +180,7 @@ def plan(sized: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     units = stored(ranked(units.withColumn("lot", lot)), "units")
     draws = stored(units.groupBy("source_key").agg(F.count("*").alias("draws")), "draws")
     if shards is None:
-        shards = shards_for(draws.agg(F.sum("draws")).first()[0] or 0)
+        shards = shards_for(round(SHARE * (sums.agg(F.sum("docs")).first()[0] or 0)))
     dealt = quotas(draws, shards)
     slices = dealt.select("source_key", "shard", F.explode(F.sequence("first", F.col("last") - 1)).alias("rank"))
     placed = stored(units.join(slices, ["source_key", "rank"]), "placed")
@@ -261,5 +262,5 @@ def mixed(docs: DataFrame, *, shards: int | None = None) -> DataFrame:
     out = _draws(rows, sums, drawn, all_).select("row", "text", F.explode("draws").alias("draw"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("draw.words").cast("int")), " ")
     text = F.when(F.col("draw.words") < all_, cut).otherwise(F.col("text"))
-    out = out.select("row", text.alias("text"), "draw").repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.slot")
+    out = out.select("row", text.alias("text"), "draw").repartitionById(shards, F.col("draw.shard").cast("int")).sortWithinPartitions("draw.shard", "draw.slot")
     return out.select(*unpacked(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))
