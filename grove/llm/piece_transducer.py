@@ -30,7 +30,7 @@ MARK = "▁"
 #: Bytes (about) of stretches with their paths that a worker remembers of late; beyond that those not used since as many were last put
 #: by are forgotten. Pairs of pieces remembered; beyond that all are forgotten. Stretches of more characters than LONGEST aren't remembered.
 #: Results don't depend on it.
-REMEMBERED, PAIRS, LONGEST = 40 << 20, 250_000, 64
+REMEMBERED, PAIRS, LONGEST = 80 << 20, 250_000, 64
 #: Costs of a byte arc beside its ids, and of a piece after one that it can't follow: over any sum of others.
 UNKNOWN_COST, BARRED = 1 << 10, 1 << 50
 #: Kinds of pieces, of models and of their settings in a model file (numbers of its fields).
@@ -159,11 +159,8 @@ class Transducer:
         """Whether merging the two pieces' joined text gives the two."""
         known = self.follows.setdefault(before, {}).get(piece)
         if known is None:
-            if self.pairs > PAIRS:
-                self.follows.clear()
-                self.pairs = 0
             pair = [self.text[before], self.text[piece]]
-            known = self.follows.setdefault(before, {})[piece] = self.merged("".join(pair)) == pair
+            known = self.follows[before][piece] = self.merged("".join(pair)) == pair
             self.pairs += 1
         return known
 
@@ -175,6 +172,9 @@ class Transducer:
         only one of each place: with BARRED the limit, an arc to a place that has such a path is over the limit and not looked at.
         """
         n, root, ends, alone, free = len(text), self.pieces.root, Pieces.ENDS, self.pieces.alone, most <= BARRED
+        if self.pairs > PAIRS:
+            self.follows, self.pairs = {}, 0
+        follows = self.follows
         reach: list[dict] = [{} for _ in range(n + 1)]
         reach[0][-1] = (0, 0, -1)
         for start in range(n):
@@ -182,23 +182,27 @@ class Transducer:
             if not here:
                 continue
             state = root
+            known = [(before, at[0] + 1, follows.setdefault(before, {})) for before, at in here.items()]
             for end in range(start, n):
                 state = state.get(text[end])
                 if state is None:
                     break
                 piece = state.get(ends)
-                if piece is None or (free and reach[end + 1]):
+                if piece is None:
                     continue
                 there = reach[end + 1]
-                for before, known in here.items():
-                    total = known[0] + 1
-                    if before >= 0 and not self.can_follow(before, piece):
-                        total += BARRED
+                if free and there:
+                    continue
+                for before, total, follow in known:
+                    if before >= 0:
+                        can = follow.get(piece)
+                        if not (self.can_follow(before, piece) if can is None else can):
+                            total += BARRED
                     if total < most and (piece not in there or total < there[piece][0]):
                         there[piece] = (total, start, before)
             if text[start] not in alone:
-                before, known = min(here.items(), key=lambda x: (x[1][0], x[0]))
-                total, there = known[0] + len(self.pieces.bytes_of(text[start])) + UNKNOWN_COST, reach[start + 1]
+                before, at = min(here.items(), key=lambda x: (x[1][0], x[0]))
+                total, there = at[0] + len(self.pieces.bytes_of(text[start])) + UNKNOWN_COST, reach[start + 1]
                 if total < most and (-1 not in there or total < there[-1][0]):
                     there[-1] = (total, start, before)
         if not reach[n]:
