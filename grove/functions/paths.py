@@ -53,10 +53,6 @@ def under(path: Column | str, prefix: Column | str) -> Column:
     return (prefix == "") | (path == prefix) | F.startswith(path, F.concat(prefix, F.lit("/")))
 
 
-def overlaps(a: Column | str, b: Column | str) -> Column:
-    return under(a, b) | under(b, a)
-
-
 def remap(path: Column | str, mount: str, target: str) -> Column:
     """A path under a mount with the mount replaced; others stay."""
     path = _col(path)
@@ -124,6 +120,50 @@ def has_conflict_marker(text: Column | str) -> Column:
     return F.coalesce(F.regexp_like(_col(text), F.lit(r"(?m)^(<<<<<<< |>>>>>>> |[|]{7} )")), F.lit(False))
 
 
-def normal_line(line: Column | str, collapse: bool = True) -> Column:
-    """A line with runs of blanks as one, or without, and none at its end."""
-    return F.rtrim(F.regexp_replace(line, r"[ \t\r]+", " " if collapse else ""))
+def salted(salt: str, function: str, *args: Column | str) -> Column:
+    """The key of a function's result: a digest of salt, function and arguments."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(salt), F.lit(function), *(_col(a).cast("string") for a in args)), 256)
+
+
+def decoded(raw: Column | str) -> Column:
+    """Bytes as text: UTF-16 by its byte-order mark, else UTF-8 (a mark of it left out); null where they are neither."""
+    raw = _col(raw)
+    head = F.hex(F.substring(raw, 1, 3))
+    rest = lambda n: F.substring(raw, n + 1, 2**31 - 1)
+    wide = F.when(F.startswith(head, F.lit("FFFE")), F.decode(rest(2), "UTF-16LE")).when(F.startswith(head, F.lit("FEFF")), F.decode(rest(2), "UTF-16BE"))
+    plain = F.when(head == "EFBBBF", rest(3)).otherwise(raw)
+    return F.coalesce(wide, F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")))
+
+
+def stack_points(packed: Column | str) -> Column:
+    """Branch points of a packed stack: records of a 16-byte branch and a 32-byte revision, as an array of (branch, revision) in hex."""
+    packed = F.lower(F.hex(_col(packed)))
+    many = F.floor(F.length(packed) / 96).cast("int")
+    at = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+    cut = lambda i, a, n: F.substr(packed, i * 96 + a, F.lit(n))
+    return F.transform(at, lambda i: F.struct(cut(i, 1, 32).alias("branch"), cut(i, 33, 64).alias("revision")))
+
+
+#: Fixed value: files of a block of a tree's index, as a power of two.
+BLOCK_BITS = 10
+
+
+def block_of(node: Column | str) -> tuple[Column, Column]:
+    """(block, index within it) of a node's number."""
+    return F.shiftright(_col(node), BLOCK_BITS), _col(node).bitwiseAND(F.lit(2**BLOCK_BITS - 1))
+
+
+def url_parts(url: Column | str) -> Column:
+    """A repository's address as (remote, name): the last part of the path is its name; null where there is no scheme or name."""
+    url = F.rtrim(F.col(url) if isinstance(url, str) else url, F.lit("/"))
+    remote = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(?:/[^/]+)*)/[^/]+$", 1)
+    return F.when(F.length(remote) > 0, F.struct(remote.alias("remote"), F.substring_index(url, "/", -1).alias("name")))
+
+
+def wire(digest: Column | str) -> Column:
+    """A digest's hex digits as bytes; F.hex turns them back."""
+    return F.unhex(_col(digest))
+
+
+def epoch_ms() -> Column:
+    return F.unix_millis(F.current_timestamp())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grove.functions.paths import action_code, ancestors, under
+from grove.functions.paths import action_code, under
 
 COLUMNS = ("action", "path", "from_path", "file_id", "hash", "from_hash", "size")
 
@@ -37,27 +37,22 @@ def diff2(before: DataFrame, after: DataFrame, prefix: str = "") -> DataFrame:
 def with_moves(changes: DataFrame) -> DataFrame:
     """Changes with each add and delete of the same non-zero file id made one move.
 
-    Where an id is added or deleted more than once, they pair in order of path. Contents need not be equal.
+    Where an id is added or deleted more than once, they pair in order of path. Contents need not be equal. The changes of an id meet in
+    one shuffle; other changes stay where they are.
     """
-    rank = F.row_number().over(Window.partitionBy("action", "file_id").orderBy("path"))
     able = F.col("action").isin("add", "delete") & (F.coalesce("file_id", F.lit(0)) != 0)
-    ranked = changes.where(able).withColumn("_n", rank)
-    added, gone = ranked.where("action = 'add'"), ranked.where("action = 'delete'")
-    gone = gone.select(F.col("file_id").alias("_i"), F.col("_n").alias("_m"), F.col("path").alias("_from"), F.col("from_hash").alias("_hash"))
-    met = added.join(gone, (added["file_id"] == gone["_i"]) & (added["_n"] == gone["_m"]), "full_outer")
-    moved = F.col("_from").isNotNull() & F.col("path").isNotNull()
-    paired = met.select(
-        F.when(moved, "move").when(F.col("path").isNull(), "delete").otherwise("add").alias("action"),
-        F.coalesce("path", "_from").alias("path"),
-        F.when(moved, F.col("_from")).alias("from_path"),
-        F.coalesce("file_id", "_i").alias("file_id"),
-        "hash",
-        F.coalesce("_hash", "from_hash").alias("from_hash"),
-        "size",
-    )
-    lost = changes.where("action = 'delete'").select(F.col("path").alias("_p"), F.col("size").alias("_size"))
-    sized = paired.join(lost, (paired["path"] == lost["_p"]) & (paired["action"] == "delete"), "left").withColumn("size", F.coalesce("size", "_size"))
-    return sized.select(*COLUMNS).unionByName(changes.where(~able).select(*COLUMNS))
+    rest = [c for c in changes.columns if c not in ("action", "file_id")]
+    rank = F.row_number().over(Window.partitionBy("file_id", "action").orderBy("path"))
+    ranked = changes.where(able).repartition("file_id").withColumn("_n", rank)
+    side = lambda a: F.max(F.when(F.col("action") == a, F.struct(*rest))).alias(f"_{a}")
+    met = ranked.groupBy("file_id", "_n").agg(side("add"), side("delete"))
+    moved = F.col("_add").isNotNull() & F.col("_delete").isNotNull()
+    old = lambda c: F.coalesce(F.col(f"_delete.{c}"), F.col(f"_add.{c}"))
+    new = lambda c: F.coalesce(F.col(f"_add.{c}"), F.col(f"_delete.{c}"))
+    made = {c: old(c) if c.startswith("from_") else new(c) for c in rest}
+    made |= {c: F.col(f"_add.{c}") for c in rest if f"from_{c}" in rest}
+    made |= {"path": new("path"), "from_path": F.when(moved, F.col("_delete.path")), "file_id": F.col("file_id"), "action": F.when(moved, "move").when(F.col("_add").isNull(), "delete").otherwise("add")}
+    return met.select(*(made[c].alias(c) for c in changes.columns)).unionByName(changes.where(~able))
 
 
 def collected(before: DataFrame, after: DataFrame, prefix: str = "") -> DataFrame:
@@ -74,7 +69,7 @@ def multi(before: DataFrame, after: DataFrame, prefixes: list[str]) -> DataFrame
 
 
 def reverse(changes: DataFrame) -> DataFrame:
-    """The changes that undo these: adds and deletes swapped, moves turned round."""
+    """The changes that undo these: adds and deletes swapped, moves turned round. A list of them, in order, is undone in the opposite order."""
     action = F.when(F.col("action") == "add", "delete").when(F.col("action") == "delete", "add").otherwise(F.col("action"))
     move = F.col("action") == "move"
     return changes.select(action.alias("action"), F.when(move, F.col("from_path")).otherwise(F.col("path")).alias("path"), F.when(move, F.col("path")).alias("from_path"), "file_id", F.col("from_hash").alias("hash"), F.col("hash").alias("from_hash"), "size")
@@ -139,12 +134,6 @@ def diff3(base: DataFrame, source: DataFrame, target: DataFrame, *, include_same
     return moved.select("action", "path", "from_path", "file_id", F.when(takes, F.col("_h")).otherwise(F.col("hash")).alias("hash"), "from_hash", "size", (F.col("conflict") | F.coalesce(clash, F.lit(False))).alias("conflict"), "side")
 
 
-def without_covered(changes: DataFrame) -> DataFrame:
-    """Changes without deletes of directories above a conflict."""
-    conflicts = changes.where("conflict").select(F.explode(ancestors("path")).alias("_p")).distinct()
-    return changes.join(conflicts, (changes["path"] == conflicts["_p"]) & (changes["action"] == "delete"), "left_anti")
-
-
 def merged(target: DataFrame, changes: DataFrame) -> DataFrame:
     """The target snapshot with all changes that don't conflict."""
     return apply(target, changes.where("not conflict and side = 'source'"))

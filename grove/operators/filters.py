@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.functions.paths import glob_regex, name, under
@@ -10,6 +10,8 @@ from grove.functions.paths import glob_regex, name, under
 Rule = tuple[str, bool, bool]
 #: Names that are ignored whatever the rules.
 ALWAYS = (".grove",)
+#: Ends of the files that a merge leaves beside a conflict: ignored too.
+SIDECARS = (".mine", ".theirs", ".base")
 
 
 def parse(lines: list[str]) -> list[Rule]:
@@ -37,9 +39,19 @@ def parse(lines: list[str]) -> list[Rule]:
     return rules
 
 
-def rows_as_lines(rows: list[tuple[int, str, bool]]) -> list[str]:
-    """Lines of rule rows (seq, glob, negated)."""
-    return [("!" if negated else "") + glob for _, glob, negated in sorted(rows)]
+def load(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a filter file, in order of lines."""
+    return parse([r.value for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\\r?\\n")).alias("value")).collect()])
+
+
+def readable(tree: DataFrame, allowed: DataFrame, column: str = "repository") -> DataFrame:
+    """Rows of repositories that may be read (repository)."""
+    return tree.join(allowed.select(F.col("repository").alias(column)).distinct(), column, "left_semi")
+
+
+def viewed_links(links: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Links (mount) that a view doesn't exclude, as directories."""
+    return links.where(~excluded("mount", rules, True))
 
 
 def excluded(path: Column | str, rules: list[Rule], is_dir: Column | bool = False) -> Column:
@@ -50,7 +62,8 @@ def excluded(path: Column | str, rules: list[Rule], is_dir: Column | bool = Fals
     for regex, negated, directory in rules:
         hit = low.rlike(regex) & is_dir if directory else low.rlike(regex)
         out = F.when(hit, F.lit(not negated)).otherwise(out)
-    return out | low.rlike("(^|/)" + "|".join(x.replace(".", "\\.") for x in ALWAYS) + "(/|$)")
+    dots = lambda names: "|".join(x.replace(".", "\\.") for x in names)
+    return out | low.rlike(f"(^|/)({dots(ALWAYS)})(/|$)") | low.rlike(f"[^/]({dots(SIDECARS)})$")
 
 
 def judged(tree: DataFrame, ignore: list[Rule], view: list[Rule]) -> DataFrame:

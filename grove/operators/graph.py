@@ -57,29 +57,58 @@ def makes_cycle(deps: DataFrame, source: int, target: int) -> bool:
 
 
 def on_cycles(deps: DataFrame) -> DataFrame:
-    """(node): nodes that reach themselves.
+    """(node): nodes that reach themselves: those of strongly connected components of two nodes or more, and those with an edge to themselves.
 
-    Nodes without an edge in or out are peeled off until all have both; the rest is closed over by doubling paths.
+    Nodes without an edge in or out are peeled off. Each other node takes the least number of those that reach it; a node
+    that kept its own is one of its component, which are the nodes of its number that reach it. They go, and the rest is taken again. Only a
+    number a node is kept, never pairs; rounds follow the longest shortest path.
     """
     edges = checkpointed(deps.select("source", "target").distinct())
-    many = edges.count()
+    done = edges.where("source = target").select(F.col("source").alias("node"))
+    edges = edges.where("source <> target")
     while True:
-        edges = checkpointed(edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        if (now := edges.count()) == many:
-            break
-        many = now
-    paths = edges
-    while True:
-        longer = paths.select("source", F.col("target").alias("_m")).join(paths.select(F.col("source").alias("_m"), "target"), "_m").select("source", "target")
-        paths = checkpointed(paths.unionByName(longer).distinct())
-        if (now := paths.count()) == many:
-            break
-        many = now
-    return paths.where("source = target").select(F.col("source").alias("node"))
-
-
-def add(deps: DataFrame, new: DataFrame) -> DataFrame:
-    return deps.unionByName(new.select(*deps.columns)).distinct()
+        many = -1
+        while (now := edges.count()) != many:
+            many = now
+            heads, tails = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
+            edges = checkpointed(edges.join(heads, "source", "left_semi").join(tails, "target", "left_semi").select("source", "target"))
+        if not many:
+            return done.distinct()
+        color = checkpointed(edges.select(F.col("source").alias("node"), F.col("source").alias("color")).distinct())
+        while True:
+            came = edges.join(color.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("color").alias("came"))
+            new = color.join(came, "node", "left").select("node", F.least("color", F.coalesce("came", "color")).alias("color"), (F.col("came") < F.col("color")).alias("moved"))
+            new = checkpointed(new)
+            moved = not new.where("moved").isEmpty()
+            color = new.select("node", "color")
+            if not moved:
+                break
+        # Edges within one number: backwards from the node that gave it.
+        own = color.withColumnRenamed("node", "source")
+        inner = edges.join(own, "source").join(color.select(F.col("node").alias("target"), F.col("color").alias("to")), "target").where("color = to").select("source", "target")
+        inner = checkpointed(inner)
+        found = checkpointed(color.where("node = color"))
+        frontier = found
+        while True:
+            back = inner.join(frontier.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node"), "color").distinct().join(found.select("node"), "node", "left_anti")
+            frontier = checkpointed(back)
+            if frontier.isEmpty():
+                break
+            found = checkpointed(found.unionByName(frontier))
+        large = found.groupBy("color").agg(F.count("*").alias("n")).where("n > 1").select("color")
+        done = checkpointed(done.unionByName(found.join(large, "color", "left_semi").select("node")))
+        gone = found.select("node")
+        edges = checkpointed(edges.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+
+
+def add(deps: DataFrame, new: DataFrame, acyclic: bool = False) -> DataFrame:
+    """deps with new edges; with acyclic those that would lie on a cycle are refused, all of a cycle's new edges together."""
+    both = deps.unionByName(new.select(*deps.columns)).distinct()
+    if not acyclic:
+        return both
+    bad = on_cycles(both)
+    refused = new.join(bad.withColumnRenamed("node", "source"), "source", "left_semi").join(bad.withColumnRenamed("node", "target"), "target", "left_semi").select(*deps.columns)
+    return both.join(refused, list(deps.columns), "left_anti")
 
 
 def remove(deps: DataFrame, gone: DataFrame) -> DataFrame:

@@ -7,33 +7,35 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.session import checkpointed
 
 
-def jumps(revs: DataFrame) -> list[tuple[int, DataFrame]]:
-    """(step, (x, y)) for steps 1, 2, 4 ... : the revision y that many first parents before x. The last one is the longest there is."""
+def jumps(revs: DataFrame, most: int | None = None) -> list[tuple[int, DataFrame]]:
+    """(step, (x, y)) for steps 1, 2, 4 ... : the revision y that many first parents before x, for walks of `most` steps (none: of any number)."""
     out, step = [], 1
     table = checkpointed(revs.where("parent_self is not null").select(F.col("revision").alias("x"), F.col("parent_self").alias("y")))
-    while not table.isEmpty():
+    while (most is None or step <= most) and not table.isEmpty():
         out.append((step, table))
+        step *= 2
+        if most is not None and step > most:
+            break
         second = table.select(F.col("x").alias("y"), F.col("y").alias("z"))
         table = checkpointed(table.join(second, "y").select("x", F.col("z").alias("y")))
-        step *= 2
     return out
 
 
-def first_parents(revs: DataFrame, starts: DataFrame, tables: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
-    """(start, revision, distance): all revisions along first parents from each of starts (revision), itself at 0.
+def first_parents(revs: DataFrame, starts: DataFrame, tables: list[tuple[int, DataFrame]] | None = None, most: int | None = None) -> DataFrame:
+    """(start, revision, distance): all revisions along first parents from each of starts (revision), itself at 0, `most` steps away at most.
 
     tables: the jumps of revs, where several walks share them.
     """
     reach = starts.select(F.col("revision").alias("start"), "revision", F.lit(0).cast("long").alias("distance"))
-    for step, table in tables if tables is not None else jumps(revs):
+    for step, table in tables if tables is not None else jumps(revs, most):
         further = reach.join(table, reach["revision"] == table["x"]).select("start", F.col("y").alias("revision"), (F.col("distance") + step).alias("distance"))
-        reach = checkpointed(reach.unionByName(further))
+        reach = checkpointed(reach.unionByName(further if most is None else further.where(F.col("distance") <= most)))
     return reach
 
 
@@ -43,7 +45,7 @@ def history(revs: DataFrame, start: DataFrame, *, limit: int | None = 100, only_
     only_branch: up to and with the first revision of another branch. since: (times (revision, num), epoch ms) up to
     before the first revision that is older. limit: so many at most.
     """
-    walk = first_parents(revs, start).join(revs.select("revision", "number", "branch"), "revision")
+    walk = first_parents(revs, start, most=None if limit is None else max(0, limit - 1)).join(revs.select("revision", "number", "branch"), "revision")
     if only_branch:
         own = walk.where("distance = 0").select("start", F.col("branch").alias("own"))
         end = walk.join(own, "start").where("branch <> own").groupBy("start").agg(F.min("distance").alias("end"))
@@ -57,27 +59,29 @@ def history(revs: DataFrame, start: DataFrame, *, limit: int | None = 100, only_
 
 
 def nth_ancestor(revs: DataFrame, start: DataFrame, n: int) -> DataFrame:
-    return first_parents(revs, start).where(F.col("distance") == n).select("revision")
+    return first_parents(revs, start, most=n).where(F.col("distance") == n).select("revision")
 
 
 def ancestors(revs: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, revision): all revisions reachable over either parent, the start included.
 
-    A round goes along first parents from all new revisions at once, then over the merges found: as many rounds as merges nest.
+    A round goes along first parents from all new revisions at once, then over the merges found: as many rounds as merges nest. A start has a
+    row for each revision it reaches, however many ways there are.
     """
     tables = jumps(revs)
-    seen = checkpointed(first_parents(revs, starts, tables).select("start", "revision").distinct())
     merges = revs.where("parent_other is not null").select("revision", F.col("parent_other").alias("other"))
-    frontier = seen
+    seen, over = None, starts.select(F.col("revision").alias("start"), "revision").distinct()
     while True:
+        frontier = over
+        for _, table in tables:
+            further = frontier.join(table, frontier["revision"] == table["x"]).select("start", F.col("y").alias("revision"))
+            further = further if seen is None else further.join(seen, ["start", "revision"], "left_anti")
+            frontier = checkpointed(frontier.unionByName(further).distinct())
+        seen = frontier if seen is None else checkpointed(seen.unionByName(frontier))
         over = frontier.join(merges, "revision").select("start", F.col("other").alias("revision")).distinct().join(seen, ["start", "revision"], "left_anti")
         over = checkpointed(over)
         if over.isEmpty():
             return seen
-        walk = first_parents(revs, over.select("revision").distinct(), tables).select(F.col("start").alias("via"), "revision")
-        frontier = over.withColumnRenamed("revision", "via").join(walk, "via").select("start", "revision").distinct().join(seen, ["start", "revision"], "left_anti")
-        frontier = checkpointed(frontier)
-        seen = checkpointed(seen.unionByName(frontier))
 
 
 def common_ancestors(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -93,12 +97,30 @@ def merge_base(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return common_ancestors(revs, a, b).orderBy(F.desc("number"), "revision").limit(1)
 
 
-def divergence(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(revision, ahead, behind): the nearest revision on both first-parent chains with its distance from each."""
+def divergence(revs: DataFrame, a: DataFrame, b: DataFrame, *, most: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """(revision, ahead, behind): the nearest revision on both first-parent chains with its distance from each.
+
+    most: so many revisions of each side are looked at; where none is on both, the base (revision) with distances 0.
+    """
+    steps = None if most is None else most - 1
+    tables = jumps(revs, steps)
+    one, two = first_parents(revs, a, tables, steps), first_parents(revs, b, tables, steps)
+    met = one.select("revision", F.col("distance").alias("ahead")).join(two.select("revision", F.col("distance").alias("behind")), "revision")
+    found = met.orderBy("ahead", "behind").limit(1)
+    if base is None:
+        return found
+    none = base.select("revision", F.lit(0).cast("long").alias("ahead"), F.lit(0).cast("long").alias("behind"))
+    return found.withColumn("_o", F.lit(0)).unionByName(none.withColumn("_o", F.lit(1))).orderBy("_o").limit(1).drop("_o")
+
+
+def branch_point(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, revision, distance): the nearest revision on both chains (side `point`, distance 0), and those of each side before it."""
     tables = jumps(revs)
     one, two = first_parents(revs, a, tables), first_parents(revs, b, tables)
     met = one.select("revision", F.col("distance").alias("ahead")).join(two.select("revision", F.col("distance").alias("behind")), "revision")
-    return met.orderBy("ahead", "behind").limit(1)
+    point = F.broadcast(met.orderBy("ahead", "behind").limit(1).select(F.col("revision").alias("point"), "ahead", "behind"))
+    own = lambda walk, side, end: walk.join(point, F.col("distance") < F.col(end)).select(F.lit(side).alias("side"), "revision", "distance")
+    return own(one, "a", "ahead").unionByName(own(two, "b", "behind")).unionByName(point.select(F.lit("point").alias("side"), F.col("point").alias("revision"), F.lit(0).cast("long").alias("distance")))
 
 
 def bisect(revs: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
@@ -108,16 +130,6 @@ def bisect(revs: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
     return walk.join(F.broadcast(end.limit(1))).where(F.col("distance") == F.floor(F.col("steps") / 2)).select("revision", "steps", (F.col("steps") <= 1).alias("done"))
 
 
-def page(revs: DataFrame, branch: int, *, before: int | None = None, limit: int = 100) -> DataFrame:
-    """(revision, number, parent_number, has_more): a branch's revisions newest first below a number, 100 at most."""
-    own = revs.where(F.col("branch") == branch)
-    older = own if before is None else own.where(F.col("number") < before)
-    order = Window.orderBy(F.desc("number"))
-    top = older.orderBy(F.desc("number")).limit(min(limit, 100) + 1)
-    rows = top.select("revision", "number", F.lead("number").over(order).alias("parent_number"), F.row_number().over(order).alias("_n"), (F.count("*").over(Window.partitionBy()) > min(limit, 100)).alias("has_more"))
-    return rows.where(F.col("_n") <= min(limit, 100)).drop("_n")
-
-
 def segments(revs: DataFrame, step: int = 100) -> DataFrame:
     """(branch, segment, first, last, revisions): runs of `step` numbers, with the boundary each is keyed by."""
     segment = (F.ceil(F.col("number") / step) * step).cast("long")
@@ -200,7 +212,98 @@ def common_branch(branches: DataFrame, a: int, b: int) -> DataFrame:
     return met.orderBy("a_at", "b_at").limit(1).select("branch", "a_revision", "b_revision")
 
 
-def two_way(branches: DataFrame, a: int, b: int) -> DataFrame:
-    """(two_way): whether a diff of two branches' tips needs no base: one branch, or one tip is a point in the other's stack."""
-    x, y = (branches.where(F.col("id") == i).select(F.col("latest").alias(f"l{n}"), F.transform("stack", lambda s: s["revision"]).alias(f"s{n}")) for n, i in (("a", a), ("b", b)))
-    return x.join(y).select((F.lit(a == b) | F.array_contains("sb", F.col("la")) | F.array_contains("sa", F.col("lb"))).alias("two_way"))
+def two_way(branches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, two_way): whether a diff of two branches' tips (a, b) needs no base: one branch, none named on a side (null), or one tip is a point
+    in the other's stack."""
+    side = lambda n: branches.select(F.col("id").alias(n), F.col("latest").alias(f"l{n}"), F.transform("stack", lambda s: s["revision"]).alias(f"s{n}"))
+    met = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    plain = (F.col("a") == F.col("b")) | F.col("a").isNull() | F.col("b").isNull()
+    point = F.coalesce(F.array_contains("sb", F.col("la")), F.lit(False)) | F.coalesce(F.array_contains("sa", F.col("lb")), F.lit(False))
+    return met.select("a", "b", (F.coalesce(plain, F.lit(False)) | point).alias("two_way"))
+
+
+def page(revs: DataFrame, branch: int, *, at: int, step: int = 100, newer: bool = False) -> DataFrame:
+    """(revision, number, parent_number, next): a page of a branch's revisions, newest first, `step` at most: those of the segment of number `at` up to it.
+
+    Segments end at multiples of step. next is the number at which the page before (newer: after) begins, null at an end. With newer
+    the page is the rest of the segment from `at` on.
+    """
+    floor = max(-(-at // step) * step - step, 0) + 1
+    top = max(-(-at // step) * step, step)
+    low, high = (at, top) if newer else (floor, at)
+    own = revs.where(F.col("branch") == branch)
+    rows = own.where(F.col("number").between(low, high))
+    beyond = own.where(F.col("number") > top).agg(F.min("number").alias("next")) if newer else own.where(F.col("number") < floor).agg(F.max("number").alias("next"))
+    parents = own.select(F.col("revision").alias("p"), F.col("number").alias("parent_number"))
+    return rows.join(parents, rows["parent_self"] == parents["p"], "left").join(F.broadcast(beyond)).select("revision", "number", "parent_number", "next")
+
+
+def listed(revs: DataFrame, start: DataFrame, end: DataFrame, *, limit: int = 100) -> DataFrame:
+    """(revision, number, parent_number, other_number, has_more): revisions along first parents from start to before end (revision; none: to the root), newest first."""
+    walk = first_parents(revs, start, most=limit).join(revs, "revision")
+    stop = F.broadcast(walk.join(end.select("revision"), "revision", "left_semi").agg(F.min("distance").alias("stop")))
+    numbers = revs.select(F.col("revision").alias("p"), F.col("number").alias("n"))
+    one, two = numbers.select(F.col("p").alias("p1"), F.col("n").alias("parent_number")), numbers.select(F.col("p").alias("p2"), F.col("n").alias("other_number"))
+    rows = walk.join(stop).where("stop is null or distance < stop")
+    more = F.broadcast(rows.agg(F.coalesce(F.max("distance") >= limit, F.lit(False)).alias("has_more")))
+    kept = rows.where(F.col("distance") < limit).join(more)
+    return kept.join(one, kept["parent_self"] == one["p1"], "left").join(two, kept["parent_other"] == two["p2"], "left").select("revision", "number", "parent_number", "other_number", "has_more", "distance").orderBy("distance").drop("distance")
+
+
+def segment_lists(revs: DataFrame, step: int = 100) -> DataFrame:
+    """(branch, segment, revisions): each segment's revisions as a list, newest first: what a page cache holds. A list has `step` at most."""
+    segment = (F.ceil(F.col("number") / step) * step).cast("long")
+    entry = F.struct((-F.col("number")).alias("n"), F.col("revision"))
+    return revs.groupBy("branch", segment.alias("segment")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["revision"]).alias("revisions"))
+
+
+def latest_list(pointers: DataFrame, limit: int = 10) -> DataFrame:
+    """(branch, revision, number, back): the last `limit` values of each branch's pointer (branch, revision, number), newest first."""
+    return pointers.withColumn("back", F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("number")))).where(F.col("back") <= limit).select("branch", "revision", "number", "back")
+
+
+def newer(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(branch, revision, number, side): of a branch's local and remote pointers the one with the higher number, the local one of equals."""
+    both = local.select("branch", "revision", "number", F.lit("local").alias("side")).unionByName(remote.select("branch", "revision", "number", F.lit("remote").alias("side")))
+    best = both.groupBy("branch").agg(F.max_by(F.struct("revision", "number", "side"), F.struct("number", F.col("side") == "local")).alias("x"))
+    return best.select("branch", "x.*")
+
+
+def matched(revs: DataFrame, start: DataFrame, match: Column, *, abort: Column | None = None, limit: int | None = None) -> DataFrame:
+    """(revision, number, distance): the first revision along first parents that match holds for, if no earlier one says abort; both are conditions on a revision's columns."""
+    walk = first_parents(revs, start, most=None if limit is None else limit - 1).join(revs, "revision")
+    end = F.broadcast((walk.where(abort) if abort is not None else walk.limit(0)).agg(F.min("distance").alias("_end")))
+    return walk.where(match).join(end).where("_end is null or distance <= _end").orderBy("distance").limit(1).select("revision", "number", "distance")
+
+
+def file_chain(revs: DataFrame, deltas: DataFrame, start: DataFrame, paths: DataFrame) -> DataFrame:
+    """(asked, path, revision, number, action, back): the revisions along first parents from start that changed a file, newest first, up to its add.
+
+    deltas (revision, path, from_path, action) are what revisions changed; paths (path) are asked. A move goes on under the old path; a file
+    that is gone at start has its delete as the newest. A round a name that a file once had.
+    """
+    walk = checkpointed(first_parents(revs, start).select("revision", "distance").join(revs.select("revision", "number"), "revision").join(deltas, "revision"))
+    asked = paths.select(F.col("path").alias("asked"), "path", F.lit(-1).cast("long").alias("since")).distinct()
+    done = None
+    while True:
+        own = walk.join(asked, "path").where(F.col("distance") > F.col("since"))
+        ends = own.where("action in ('add', 'move')").groupBy("asked", "path").agg(F.min("distance").alias("end"))
+        rows = checkpointed(own.join(ends, ["asked", "path"], "left").where("end is null or distance <= end").select("asked", "path", "from_path", "revision", "number", "action", "distance"))
+        done = rows if done is None else checkpointed(done.unionByName(rows))
+        asked = checkpointed(rows.where("action = 'move'").select("asked", F.col("from_path").alias("path"), F.col("distance").alias("since")))
+        if asked.isEmpty():
+            back = F.row_number().over(Window.partitionBy("asked").orderBy("distance"))
+            return done.select("asked", "path", "revision", "number", "action", back.alias("back"))
+
+
+def delta_of(deltas: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (revision, path) with what the revision did to the path: (revision, path, action), null where nothing."""
+    return asked.select("revision", "path").join(deltas.select("revision", "path", "action"), ["revision", "path"], "left")
+
+
+def last_merged_files(revs: DataFrame, deltas: DataFrame, tip: DataFrame, source: int) -> DataFrame:
+    """(path, revision, number): the newest revision along first parents from tip that changed a file and merged a revision of the source branch; number is the merged one's."""
+    theirs = revs.where(F.col("branch") == source).select(F.col("revision").alias("parent_other"), F.col("number").alias("merged"))
+    walk = first_parents(revs, tip).select("revision", "distance").join(revs, "revision").join(theirs, "parent_other")
+    rows = walk.join(deltas.select("revision", "path"), "revision")
+    return rows.groupBy("path").agg(F.min_by("revision", "distance").alias("revision"), F.min_by("merged", "distance").alias("number"))

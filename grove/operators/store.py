@@ -48,13 +48,6 @@ def copy(store: DataFrame, part: str, to: str) -> DataFrame:
     return put(store, moved)
 
 
-def contents(refs: DataFrame, payloads: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, content): whole contents of lists of references (key, seq, hash), from payloads (hash, payload), in order."""
-    met = refs.select(key, "seq", "hash").join(payloads.select("hash", "payload"), "hash")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), "")
-    return met.groupBy(key).agg(joined.alias("content"))
-
-
 def expand(lists: DataFrame, root: str, most: int = 16) -> DataFrame:
     """(hash, depth): all fragments below a list, from references (list_hash, hash), lists within lists too."""
     level = lists.where(F.col("list_hash") == root).select("hash", F.lit(1).alias("depth")).distinct()
@@ -93,16 +86,67 @@ def valid_lists(refs: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("doc_id").agg((~F.bool_or("_bad") & (F.count("*") >= 2)).alias("valid"))
 
 
-def evictable(fragments: DataFrame, capacity: int, share: float = 0.7) -> DataFrame:
-    """Rows of fragments (bucket, hash, last_access, durable) to evict: buckets over capacity go down to a share of it.
+def evictable(fragments: DataFrame, capacity: int, share: float = 0.7, protect: bool = True) -> DataFrame:
+    """Rows of fragments (bucket, hash, last_access, durable) to evict, so that buckets go down to a share of their capacity.
 
-    The cutoff is the time of the last row that must go, and all rows up to it go, so ties over-evict. Rows that aren't durable
-    stay.
+    With protect rows that aren't durable stay and don't count. The cutoff is the time of the last row that must go, and all
+    rows that count up to it go, so ties over-evict.
     """
-    counted = fragments.withColumn("_n", F.count("*").over(Window.partitionBy("bucket")))
-    able = counted.where(F.col("durable") & (F.col("_n") > capacity))
+    target = int(capacity * share)
+    able = fragments.where("durable") if protect else fragments
+    counted = able.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("_n") > target)
     rank = F.rank().over(Window.partitionBy("bucket").orderBy("last_access"))
-    return able.withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - F.floor(F.lit(capacity * share))).drop("_n", "_r")
+    return counted.withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - target).drop("_n", "_r")
+
+
+def compacted(fragments: DataFrame, payloads: DataFrame) -> DataFrame:
+    """payloads (hash, payload) that some row of fragments (hash) still names, each once."""
+    return payloads.join(fragments.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+
+
+def collected_garbage(fragments: DataFrame, payloads: DataFrame, capacity: int, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(fragments, payloads) after compaction and eviction: payloads that nothing names go, then evicted rows and what only they named."""
+    gone = evictable(fragments, capacity, share).select("bucket", "hash")
+    left = fragments.join(gone, ["bucket", "hash"], "left_anti")
+    return left, compacted(left, compacted(fragments, payloads))
+
+
+def rebalanced(fragments: DataFrame, level: int) -> DataFrame:
+    """fragments with their bucket at a fan-out level: the leading bits of the digest's first three bytes (levels up to 2^24)."""
+    bits = level.bit_length() - 1
+    return fragments.withColumn("bucket", F.shiftright(F.conv(F.substr("hash", F.lit(1), F.lit(6)), 16, 10).cast("long"), 24 - bits))
+
+
+def made_durable(fragments: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """fragments flagged durable: those of hashes (hash), or all."""
+    if hashes is None:
+        return fragments.withColumn("durable", F.lit(True))
+    named = hashes.select("hash").distinct().withColumn("_d", F.lit(True))
+    return fragments.join(named, "hash", "left").withColumn("durable", F.col("durable") | F.coalesce("_d", F.lit(False))).drop("_d").select(*fragments.columns)
+
+
+def status(lists: DataFrame, root: str, local: DataFrame, durable: DataFrame) -> DataFrame:
+    """(hash, depth, status) of all fragments below a list: bit 1 if the local store has it, bit 2 if the durable one has (both: hash)."""
+    here, there = local.select("hash", F.lit(1).alias("_l")).distinct(), durable.select("hash", F.lit(2).alias("_d")).distinct()
+    met = expand(lists, root).join(here, "hash", "left").join(there, "hash", "left")
+    return met.select("hash", "depth", (F.coalesce("_l", F.lit(0)) + F.coalesce("_d", F.lit(0))).alias("status"))
+
+
+def point(store: DataFrame, hash_: str, part: str | None = None, context: int | None = None) -> DataFrame:
+    """A fragment's rows at a required match: of the hash, of its partition, of its context too. Each condition reaches the scan."""
+    out = store.where(F.col("hash") == hash_)
+    out = out if part is None else out.where(F.col("part") == part)
+    return out if context is None else out.where(F.col("doc_id") == context)
+
+
+#: Bits of a fragment's flags, those that say how it is stored and those that ask for a behaviour.
+STORED_FLAGS, ASKED_FLAGS = 0x0000FFFF, 0xFFFF0000
+
+
+def sanitised(fragments: DataFrame, flags: str = "flags") -> DataFrame:
+    """fragments with flags split: those of storage stay, those that ask for a behaviour are in `asked`."""
+    bits = F.col(flags).cast("long")
+    return fragments.withColumn("asked", bits.bitwiseAND(F.lit(ASKED_FLAGS))).withColumn(flags, bits.bitwiseAND(F.lit(STORED_FLAGS)))
 
 
 def reclaim(fragments: DataFrame, wanted: int) -> DataFrame:

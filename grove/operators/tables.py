@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grove.functions.paths import glob_regex
+
 
 def latest(writes: DataFrame, key: tuple[str, ...], order: str, value: str) -> DataFrame:
     """(key, value): the last value written; a null last value deletes the key. Aggregated, not sorted: no list by key."""
@@ -24,27 +26,27 @@ def upsert(table: DataFrame, new: DataFrame, key: tuple[str, ...], value: str) -
 def swaps(requests: DataFrame, key: str = "key") -> DataFrame:
     """(key, seq, swapped, previous) of compare-and-swap requests (key, seq, expected, value), in order of seq within a key.
 
-    A swap takes place where the current value is the expected one or the key is missing; a null value deletes the key. Requests of one
-    key depend on each other, so a key is one task's, streamed in order with one value kept.
+    A swap takes place where the current value is the expected one or the key is missing; a null value deletes the key. Values are of any
+    type that can be compared, and stay as they are; a null key is a key. Requests of one key depend on each other, so a key is one
+    task's, streamed in order with one value kept.
     """
-    kind = dict(requests.dtypes)[key]
+    kinds = dict(requests.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, now = object(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, None
         for rows in batches:
             done, previous = [], []
-            for k, expected, value in zip(rows["key"], rows["expected"], rows["value"], strict=True):
-                if k != at:
-                    at, now = k, None
-                expected, value = (None if pd.isna(x) else int(x) for x in (expected, value))
+            for k, expected, value in zip(*(rows.column(c).to_pylist() for c in ("key", "expected", "value")), strict=True):
+                if at != (k,):
+                    at, now = (k,), None
                 ok = now is None or now == expected
                 previous.append(now)
                 done.append(ok)
                 now = value if ok else now
-            yield pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "swapped": done, "previous": pd.array(previous, "Int64")})
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("seq"), pa.array(done, pa.bool_()), pa.array(previous, rows.schema.field("value").type)], ["key", "seq", "swapped", "previous"])
 
-    rows = requests.select(F.col(key).alias("key"), "seq", "expected", "value").repartition("key").sortWithinPartitions("key", "seq")
-    return rows.mapInPandas(run, f"key {kind}, seq long, swapped boolean, previous long").withColumnRenamed("key", key)
+    rows = requests.select(F.col(key).alias("key"), F.col("seq").cast("long").alias("seq"), F.col("expected").cast(kinds["value"]).alias("expected"), "value").repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInArrow(run, f"key {kinds[key]}, seq long, swapped boolean, previous {kinds['value']}").withColumnRenamed("key", key)
 
 
 def lock_state(events: DataFrame) -> DataFrame:
@@ -53,13 +55,14 @@ def lock_state(events: DataFrame) -> DataFrame:
     return last.where("e.kind = 'ResourceLocked'").select("repository", "branch", "resource", F.col("e.owner").alias("owner"), F.col("e.ts").alias("locked_at"))
 
 
-def query_locks(locks: DataFrame, *, branch: int | None = None, owner: int | None = None, resources: list[int] | None = None) -> DataFrame:
-    """Locks that all given conditions hold for."""
+def query_locks(locks: DataFrame, *, branch: int | None = None, owner: int | None = None, resources: list[int] | None = None, repository: int | None = None, like: str | None = None) -> DataFrame:
+    """Locks that all given conditions hold for; like: a glob of the resource's description. None: all."""
     out = locks
-    if branch is not None:
-        out = out.where(F.col("branch") == branch)
-    if owner is not None:
-        out = out.where(F.col("owner") == owner)
+    for column, value in (("repository", repository), ("branch", branch), ("owner", owner)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    if like is not None:
+        out = out.where(F.lower("description").rlike(glob_regex(like)))
     return out.where(F.col("resource").isin(*resources)) if resources is not None else out
 
 
@@ -114,11 +117,46 @@ def archived_branches(events: DataFrame) -> DataFrame:
     return known.join(live_branches(events), ["repository", "branch"], "left_anti")
 
 
-def fast_forward(pushes: DataFrame) -> DataFrame:
-    """(branch, seq, accepted) of pushes (branch, seq, parent, revision): one whose parent is the branch's latest at its turn."""
-    requests = pushes.select("branch", "seq", F.col("parent").alias("expected"), F.col("revision").alias("value"))
-    return swaps(requests, "branch").select("branch", "seq", F.col("swapped").alias("accepted"))
+def pushed(pushes: DataFrame) -> DataFrame:
+    """(branch, seq, result, head, number) of pushes (branch, seq, parent, revision, number, protected, service), in order of seq within a branch.
 
+    A push is a `noop` where the branch has the revision, `denied` where the branch is protected and it isn't a service account's,
+    `missing` where the branch isn't there and the push has a parent, `accepted` where its parent is the head and else `behind`. head is the branch's revision after it,
+    number its number: one more than that of the head before, whatever the pushed one says. A branch is one task's, streamed in order.
+    """
+    names = ["branch", "seq", "parent", "revision", "protected", "service"]
 
-def numbered(rows: DataFrame, partition: str, order: str) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(partition).orderBy(order)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head, number = None, None, 0
+        for rows in batches:
+            out: list[tuple] = []
+            for branch, seq, parent, revision, protected, service in zip(*(rows.column(c).to_pylist() for c in names), strict=True):
+                if at != (branch,):
+                    at, head, number = (branch,), None, 0
+                if protected and not service:
+                    result = "denied"
+                elif head == revision:
+                    result = "noop"
+                elif head is None and parent is not None:
+                    result = "missing"
+                elif head == parent:
+                    result, head, number = "accepted", revision, number + 1
+                else:
+                    result = "behind"
+                out.append((result, head, number))
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([rows.column("branch"), rows.column("seq"), *columns], ["branch", "seq", "result", "head", "number"])
+
+    rows = pushes.select("branch", F.col("seq").cast("long").alias("seq"), *names[2:]).repartition("branch").sortWithinPartitions("branch", "seq")
+    return rows.mapInArrow(run, f"branch {dict(pushes.dtypes)['branch']}, seq long, result string, head string, number long")
+
+
+#: Types of metadata values, as they are shown.
+SHOWN = {"numeric": "num", "bool": "flag", "string": "str", "hash": "str", "context": "str", "address": "str", "binary": "raw"}
+
+
+def shown(metadata: DataFrame) -> DataFrame:
+    """(revision, key, type, value): each entry's value as text by its type: numbers and truth values as they are, digests in lower case, bytes in hex."""
+    value = F.when(F.col("type") == "numeric", F.col("num").cast("string")).when(F.col("type") == "bool", F.col("flag").cast("string")).when(F.col("type") == "binary", F.lower(F.hex("raw")))
+    value = value.when(F.col("type").isin("hash", "context", "address"), F.lower("str")).otherwise(F.col("str"))
+    return metadata.select("revision", "key", "type", value.alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.functions.paths import ancestors, depth, name, parent, under
@@ -42,19 +42,23 @@ def counts(tree: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def dir_hashes(tree: DataFrame) -> DataFrame:
-    """(path, hash, size): a directory's digest is that of its children's names, digests and sizes, in order of name.
+    """(path, hash, size): a directory's digest is that of its children's names, digests and sizes.
 
-    One aggregation for each level, the deepest first; a level's directories join the level above as children.
+    Children are hashed in 4096 groups by a digest of their name, each in order, and a directory is the digest of its groups': no
+    task holds all of a large directory. One aggregation for each level, the deepest first; a level's directories join the level above as children.
     """
     rows = nodes(tree).select("path", "parent", "name", "kind", "depth", "hash", F.col("size").cast("long").alias("size"))
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     files, done = rows.where("kind = 'file'").drop("kind"), None
     record = F.concat_ws("|", F.lower("name"), "hash", F.col("size").cast("string"))
+    group = F.substr(F.sha2(F.lower("name"), 256), F.lit(1), F.lit(3))
     level = None
     for d in range(deepest, 1, -1):
         own = files.where(F.col("depth") == d)
         own = own if level is None else own.unionByName(level)
-        hashed = own.groupBy(F.col("parent").alias("path")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(record)), "\n"), 256).alias("hash"), F.sum("size").alias("size"))
+        groups = own.groupBy(F.col("parent").alias("path"), group.alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(record)), "\n"), 256).alias("d"), F.sum("size").alias("size"))
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "")
+        hashed = groups.groupBy("path").agg(F.sha2(whole, 256).alias("hash"), F.sum("size").alias("size"))
         level = checkpointed(hashed.select("path", parent("path").alias("parent"), name("path").alias("name"), F.lit(d - 1).alias("depth"), "hash", "size"))
         out = level.select("path", "hash", "size")
         done = out if done is None else done.unionByName(out)
@@ -120,8 +124,3 @@ def mounted(links: DataFrame, trees: DataFrame, most: int = 8) -> DataFrame:
         hops = hops.unionByName(level)
     files = trees.select(F.col("repository").alias("target"), "path")
     return hops.join(files, "target").select("repository", F.concat_ws("/", "mount", "path").alias("path"), "hops")
-
-
-def recased(tree: DataFrame) -> DataFrame:
-    """A file's place among its siblings, by lower name: (path, place)."""
-    return tree.select("path", F.row_number().over(Window.partitionBy(parent("path")).orderBy(F.lower(name("path")), "path")).alias("place"))

@@ -71,11 +71,13 @@ def committed(tree: DataFrame, working: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def tree_digest(tree: DataFrame) -> DataFrame:
-    """(digest): of all paths and digests, by way of 4096 buckets, so that no task holds all of a tree."""
-    bucket = F.substr(F.sha2("path", 256), F.lit(1), F.lit(3))
+    """(digest): of all paths and digests, by way of 2^24 buckets of 4096 groups, so that no task holds all of a tree."""
+    digest = F.sha2("path", 256)
     line = F.concat_ws("|", "path", "hash")
-    parts = tree.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    rows = tree.select(F.substr(digest, F.lit(1), F.lit(3)).alias("g"), F.substr(digest, F.lit(1), F.lit(6)).alias("b"), line.alias("line"))
+    parts = rows.groupBy("g", "b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
+    ordered = lambda n: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, "d"))), lambda x: x["d"]), ""), 256)
+    return parts.groupBy("g").agg(ordered("b").alias("d")).agg(ordered("g").alias("digest"))
 
 
 def revision(parents: DataFrame, tree: DataFrame, branch: int, message: str) -> DataFrame:
@@ -95,10 +97,56 @@ def moved_pointer(branches: DataFrame, branch: int, to: DataFrame) -> DataFrame:
     return branches.where(F.col("id") != branch).unionByName(rows.select(*branches.columns))
 
 
-def amended(revs: DataFrame, branch: int) -> DataFrame:
-    """revs without the newest of a branch: what takes its place has its parents."""
-    last = revs.where(F.col("branch") == branch).agg(F.max("number").alias("_n"))
-    return revs.join(last, (revs["branch"] == branch) & (revs["number"] == last["_n"]), "left_anti")
+def amended(revs: DataFrame, branch: int, message: str) -> DataFrame:
+    """revs with the newest of a branch replaced: the new one has its number and parents, and a name made of the old one and the message."""
+    last = F.broadcast(revs.where(F.col("branch") == branch).agg(F.max("number").alias("_n")))
+    newest = (F.col("branch") == branch) & (F.col("number") == F.col("_n"))
+    name = F.when(F.coalesce(newest, F.lit(False)), F.sha2(F.concat_ws("|", "revision", F.lit(message)), 256)).otherwise(F.col("revision"))
+    return revs.join(last).withColumn("revision", name).select(*revs.columns)
+
+
+def restored(current: DataFrame, old: DataFrame, branch: int, message: str) -> DataFrame:
+    """A new revision on the current one (revision, number) with an old snapshot: (branch, number, revision, parent_self, parent_other, message)."""
+    return revision(current.select(F.lit(0).alias("place"), "revision", "number"), old, branch, message)
+
+
+def switched(branches: DataFrame, to: int, working: DataFrame, trees: dict[int, DataFrame], current: int) -> tuple[DataFrame, DataFrame]:
+    """Moving a working copy from one branch's snapshot to another's: what synced() says of the two."""
+    return synced(trees[current], trees[to], working)
+
+
+def copied(working: DataFrame, moves: DataFrame, keep: bool = False) -> DataFrame:
+    """working with paths marked as moved, or (keep) copied: moves (path, to). What is told from outside is dirty, not staged."""
+    here = moves.select(F.col("path").alias("_p"), F.col("to").alias("_to"))
+    met = working.join(here, working["path"] == here["_p"], "left")
+    told = F.col("_to").isNotNull()
+    made = met.where(told).select(F.col("_to").alias("path"), F.col("path").alias("from_path"), "file_id", "hash", "size", _bits("copy" if keep else "move", "dirty").alias("flags"))
+    rest = met if keep else met.where(~told)
+    return rest.select(*WORKING).unionByName(made.select(*WORKING))
+
+
+def staged_from(working: DataFrame, source: DataFrame, prefix: str = "") -> DataFrame:
+    """working with another snapshot's files under the prefix staged over its own: those that differ, as adds or changes in place."""
+    theirs = source.where(under("path", F.lit(prefix))).select(F.col("path").alias("_p"), F.col("file_id").alias("_i"), F.col("hash").alias("_h"), F.col("size").alias("_s"))
+    met = working.join(theirs, working["path"] == theirs["_p"], "full_outer")
+    differs = F.col("_p").isNotNull() & ~F.col("hash").eqNullSafe(F.col("_h"))
+    take = lambda own, new: F.when(differs, F.col(new)).otherwise(F.col(own)).alias(own)
+    flags = F.when(differs & F.col("path").isNull(), _bits("add", "staged")).when(differs, F.coalesce("flags", F.lit(0)).bitwiseOR(_bits("staged"))).otherwise(F.col("flags"))
+    return met.select(F.coalesce("path", "_p").alias("path"), "from_path", take("file_id", "_i"), take("hash", "_h"), take("size", "_s"), flags.alias("flags"))
+
+
+def commit_counts(working: DataFrame) -> DataFrame:
+    """(added, deleted, moved, modified, bytes): counters of the staged files of a commit."""
+    rows = working.where(has_flag("flags", "staged")).withColumn("action", flag_action("flags"))
+    many = lambda a: F.count_if(F.col("action") == a)
+    size = F.coalesce(F.sum(F.when(F.col("action") != "delete", F.col("size"))), F.lit(0)).cast("long")
+    return rows.agg(many("add").alias("added"), many("delete").alias("deleted"), many("move").alias("moved"), many("keep").alias("modified"), size.alias("bytes"))
+
+
+def realise_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(added, deleted, retained, replaced): files of a folder that is brought from one snapshot to another, by path."""
+    met = before.select("path", F.col("hash").alias("_b")).join(after.select("path", F.col("hash").alias("_a")), "path", "full_outer")
+    return met.agg(F.count_if(F.col("_b").isNull()).alias("added"), F.count_if(F.col("_a").isNull()).alias("deleted"), F.count_if(F.col("_a") == F.col("_b")).alias("retained"), F.count_if(F.col("_a") != F.col("_b")).alias("replaced"))
 
 
 def created(branches: DataFrame, id_: int, name: str, origin: int) -> DataFrame:

@@ -50,8 +50,10 @@ Q["tree_dir_hash"] = lambda s, d: T.dir_hashes(X.tree(s, d, "base"))
 O["tree_dir_hash"] = sql(
     "base",
     """, f AS (SELECT string_split(path, '/')[1] AS a, string_split(path, '/')[2] AS b, string_split(path, '/')[3] AS c, hash, size FROM base),
-    l2 AS (SELECT a, b, sha256(string_agg(lower(c) || '|' || hash || '|' || size, chr(10) ORDER BY lower(c) || '|' || hash || '|' || size)) AS hash, CAST(sum(size) AS BIGINT) AS size FROM f GROUP BY a, b),
-    l1 AS (SELECT a, sha256(string_agg(lower(b) || '|' || hash || '|' || size, chr(10) ORDER BY lower(b) || '|' || hash || '|' || size)) AS hash, CAST(sum(size) AS BIGINT) AS size FROM l2 GROUP BY a)
+    g2 AS (SELECT a, b, substring(sha256(lower(c)), 1, 3) AS g, sha256(string_agg(lower(c) || '|' || hash || '|' || size, chr(10) ORDER BY lower(c) || '|' || hash || '|' || size)) AS d, sum(size) AS size FROM f GROUP BY a, b, g),
+    l2 AS (SELECT a, b, sha256(string_agg(d, '' ORDER BY g)) AS hash, CAST(sum(size) AS BIGINT) AS size FROM g2 GROUP BY a, b),
+    g1 AS (SELECT a, substring(sha256(lower(b)), 1, 3) AS g, sha256(string_agg(lower(b) || '|' || hash || '|' || size, chr(10) ORDER BY lower(b) || '|' || hash || '|' || size)) AS d, sum(size) AS size FROM l2 GROUP BY a, g),
+    l1 AS (SELECT a, sha256(string_agg(d, '' ORDER BY g)) AS hash, CAST(sum(size) AS BIGINT) AS size FROM g1 GROUP BY a)
     SELECT a || '/' || b AS path, hash, size FROM l2 UNION ALL SELECT a, hash, size FROM l1""",
 )
 Q["tree_case_collisions"] = lambda s, d: T.case_collisions(X.tree(s, d, "source")).select("parent", "lower", F.array_join("variants", ",").alias("variants"))
@@ -94,8 +96,8 @@ Q["filter_size"] = lambda s, d: X.tree(s, d, "source").where(~filters.excluded("
 O["filter_size"] = sql("source", f"SELECT CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM (SELECT size, lower(path) AS lp FROM source) WHERE NOT ({HITS})")
 Q["filter_from_changes"] = lambda s, d: filters.only_changed(X.tree(s, d, "target"), diff.diff2(*sides(s, d))).select("path")
 O["filter_from_changes"] = sql("target chg", "SELECT path FROM target WHERE lower(path) IN (SELECT lower(path) FROM chg)")
-Q["filter_prefix_superset"] = lambda s, d: filters.minimal(T.nodes(X.tree(s, d, "source")).where("kind = 'dir' and path <> 'moved'").select("path").unionByName(X.tree(s, d, "source").where("file_id % 3 = 0").select("path")))
-O["filter_prefix_superset"] = sql("dirs source", ", s AS (SELECT path FROM dirs WHERE path <> 'moved' UNION SELECT path FROM source WHERE file_id % 3 = 0) SELECT path FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE starts_with(s.path, t.path || '/'))")
+Q["filter_prefix_superset"] = lambda s, d: filters.minimal(T.nodes(X.tree(s, d, "source")).where("path like 'moved/%' or kind = 'file'").select("path"))
+O["filter_prefix_superset"] = sql("nodes", ", s AS (SELECT DISTINCT path FROM nodes WHERE starts_with(path, 'moved/') OR kind = 'file') SELECT path FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.path IN (regexp_extract(s.path, '^([^/]*)/', 1), regexp_extract(s.path, '^([^/]*/[^/]*)/', 1), regexp_extract(s.path, '^([^/]*/[^/]*/[^/]*)/', 1)))")
 Q["filter_name_glob"] = lambda s, d: filters.by_name(X.tree(s, d, "base"), "p?[13]*.txt").select("path")
 O["filter_name_glob"] = sql("base", "SELECT path FROM base WHERE regexp_matches(lower(path), '/p[^/][13][^/]*[.]txt$')")
 Q["layer_mask"] = lambda s, d: filters.in_layer(X.tree(s, d, "source"), ["moved"]).groupBy("masked").agg(F.count("*").alias("files"))
@@ -110,11 +112,19 @@ Q["hash_buckets"] = lambda s, d: X.tree(s, d, "base").groupBy(P.hash_bucket("has
 O["hash_buckets"] = sql("base", "SELECT CAST(((strpos('0123456789abcdef', substring(hash, 3, 1)) - 1) * 16 + strpos('0123456789abcdef', substring(hash, 4, 1)) - 1) // 4 AS INTEGER) AS bucket, count(*) AS n FROM base GROUP BY 1")
 
 
-@query("link_expand", "SELECT r_regionkey AS repository, 'region/' || r_name || '/' || n_name || '/c' || c_custkey AS path, 1 AS hops FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
+@query(
+    "link_expand",
+    """SELECT r_regionkey AS repository, 'region/' || r_name || '/' || n_name || '/c' || c_custkey AS path, 1 AS hops FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+    UNION ALL SELECT r_regionkey, 'region/' || r_name || '/' || n_name || '/suppliers/s' || s_suppkey, 2 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey""",
+)
 def _(s, d):
-    files = X.table(s, d, "customer").select(F.col("c_nationkey").alias("repository"), F.concat(F.lit("c"), "c_custkey").alias("path"))
-    own = X.links(s, d).select((F.col("repository") + 1000).alias("repository"), "mount", "target")
-    return T.mounted(own, files).select((F.col("repository") - 1000).cast("int").alias("repository"), "path", "hops")
+    """Regions mount nations, which mount their suppliers: links within links."""
+    own = X.links(s, d).select((F.col("repository") + 1000).cast("long").alias("repository"), "mount", F.col("target").cast("long").alias("target"))
+    inner = X.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("repository"), F.lit("suppliers").alias("mount"), (F.col("n_nationkey") + 5000).cast("long").alias("target"))
+    files = X.table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("repository"), F.concat(F.lit("c"), "c_custkey").alias("path"))
+    more = X.table(s, d, "supplier").select((F.col("s_nationkey") + 5000).cast("long").alias("repository"), F.concat(F.lit("s"), "s_suppkey").alias("path"))
+    found = T.mounted(own.unionByName(inner), files.unionByName(more)).where("repository between 1000 and 4999")
+    return found.select((F.col("repository") - 1000).cast("int").alias("repository"), "path", "hops")
 
 
 CHANGE = ["action", "path", "from_path", "file_id", "hash", "from_hash", "size"]
@@ -128,7 +138,7 @@ Q["diff2_prefix"] = lambda s, d: diff.diff2(*sides(s, d), prefix="Brand#12")
 O["diff2_prefix"] = sql("chg", "SELECT * FROM chg WHERE starts_with(lower(path), 'brand#12/')")
 Q["diff2_multi"] = lambda s, d: diff.multi(*sides(s, d), ["Brand#12", "Brand#13/PROMO", "moved"])
 O["diff2_multi"] = sql("chg", "SELECT * FROM chg WHERE starts_with(lower(path), 'brand#12/') OR starts_with(lower(path), 'brand#13/promo/') OR starts_with(path, 'moved/')")
-Q["diff2_reverse"] = lambda s, d: diff.reverse(diff.with_moves(diff.diff2(*sides(s, d))))
+Q["diff2_reverse"] = lambda s, d: diff.reverse(diff.with_moves(diff.diff2(*sides(s, d)))).orderBy(F.desc("path"))
 O["diff2_reverse"] = sql("moves", "SELECT CASE action WHEN 'add' THEN 'delete' WHEN 'delete' THEN 'add' ELSE action END AS action, CASE WHEN action = 'move' THEN from_path ELSE path END AS path, CASE WHEN action = 'move' THEN path END AS from_path, file_id, from_hash AS hash, hash AS from_hash, size FROM moves")
 Q["diff2_apply"] = lambda s, d: diff.apply(sides(s, d)[0], diff.with_moves(diff.diff2(*sides(s, d))))
 O["diff2_apply"] = sql("source", "SELECT path, file_id, hash, size FROM source")

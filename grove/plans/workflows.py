@@ -38,19 +38,23 @@ O["commit_tree"] = sql("moves base", "SELECT path, hash FROM base WHERE path NOT
 Q["commit_delta"] = lambda s, d: W.committed(X.tree(s, d, "base"), working(s, d))[1]
 O["commit_delta"] = sql("moves", "SELECT path, from_path, action FROM moves WHERE starts_with(path, 'moved/')")
 Q["commit_digest"] = lambda s, d: W.tree_digest(X.tree(s, d, "base"))
-O["commit_digest"] = sql("base", ", b AS (SELECT substring(sha256(path), 1, 3) AS b, sha256(string_agg(path || '|' || hash, chr(10) ORDER BY path || '|' || hash)) AS d FROM base GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b")
+DIGEST = ", b AS (SELECT substring(sha256(path), 1, 3) AS g, substring(sha256(path), 1, 6) AS b, sha256(string_agg(path || '|' || hash, chr(10) ORDER BY path || '|' || hash)) AS d FROM base GROUP BY 1, 2), g AS (SELECT g, sha256(string_agg(d, '' ORDER BY b)) AS d FROM b GROUP BY g), h AS (SELECT sha256(string_agg(d, '' ORDER BY g)) AS digest FROM g)"
+O["commit_digest"] = sql("base", DIGEST + " SELECT digest FROM h")
 
 
 def commit_revision(s, d):
     tips = X.branches(s, d).where("id in (0, 2)").select(F.when(F.col("id") == 2, 0).otherwise(1).alias("place"), F.col("latest").alias("revision"))
     parents = tips.join(X.revisions(s, d).select("revision", "number"), "revision")
-    return W.revision(parents, X.tree(s, d, "base"), 2, "merge").select("branch", "number", "parent_self", "parent_other", F.length("revision").alias("digits"))
+    return W.revision(parents, X.tree(s, d, "base"), 2, "merge").drop("message")
 
 
 Q["commit_revision"] = commit_revision
-O["commit_revision"] = sql("tips rev", "SELECT CAST(2 AS BIGINT) AS branch, (SELECT max(number) FROM rev WHERE revision IN (SELECT latest FROM tips WHERE branch IN (0, 2))) + 1 AS number, (SELECT latest FROM tips WHERE branch = 2) AS parent_self, (SELECT latest FROM tips WHERE branch = 0) AS parent_other, CAST(64 AS INTEGER) AS digits")
-Q["amend_latest"] = lambda s, d: W.amended(X.revisions(s, d), 1).groupBy("branch").agg(F.max("number").alias("last"))
-O["amend_latest"] = sql("rev", "SELECT branch, max(number) AS last FROM rev WHERE NOT (branch = 1 AND number = (SELECT max(number) FROM rev WHERE branch = 1)) GROUP BY branch")
+TWO = "(SELECT latest FROM tips WHERE branch = 2) AS a, (SELECT latest FROM tips WHERE branch = 0) AS b, (SELECT max(number) FROM rev WHERE revision IN (SELECT latest FROM tips WHERE branch IN (0, 2))) + 1 AS number"
+O["commit_revision"] = sql("tips rev base", DIGEST + f" SELECT CAST(2 AS BIGINT) AS branch, number, sha256(a || '|' || b || '|' || digest || '|merge') AS revision, a AS parent_self, b AS parent_other FROM (SELECT {TWO}, digest FROM h)")
+Q["restore_revision"] = lambda s, d: W.restored(X.branches(s, d).where("id = 2").select(F.col("latest").alias("revision")).join(X.revisions(s, d).select("revision", "number"), "revision"), X.tree(s, d, "base"), 2, "back").drop("message")
+O["restore_revision"] = sql("tips rev base", DIGEST + f" SELECT CAST(2 AS BIGINT) AS branch, (SELECT number FROM rev WHERE revision = a) + 1 AS number, sha256(a || '|' || digest || '|back') AS revision, a AS parent_self, NULL AS parent_other FROM (SELECT {TWO}, digest FROM h)")
+Q["amend_latest"] = lambda s, d: W.amended(X.revisions(s, d), 1, "new words")
+O["amend_latest"] = sql("rev", "SELECT branch, number, CASE WHEN branch = 1 AND number = (SELECT max(number) FROM rev WHERE branch = 1) THEN sha256(revision || '|new words') ELSE revision END AS revision, parent_self, parent_other FROM rev")
 Q["branch_create"] = lambda s, d: W.created(X.branches(s, d), 9, "topic", 2).select("id", "name", "latest", F.size("stack").alias("points"))
 O["branch_create"] = sql("tips", "SELECT branch AS id, 'b' || branch AS name, latest, CAST(CASE WHEN branch > 0 THEN 1 ELSE 0 END AS INTEGER) AS points FROM tips UNION ALL SELECT 9, 'topic', latest, 2 FROM tips WHERE branch = 2")
 Q["branch_reset"] = lambda s, d: W.moved_pointer(X.branches(s, d), 1, H.by_number(X.revisions(s, d), 1, 50)).select("id", "latest")
@@ -77,7 +81,7 @@ def by_request(s, d):
 
 Q["layer_match"] = by_request
 O["layer_match"] = sql(
-    "rev tips rk",
+    "rk",
     """SELECT l.revision, s.revision AS source_revision FROM rk l JOIN (SELECT o_orderpriority AS v, w.revision, row_number() OVER (PARTITION BY o_orderpriority ORDER BY distance, w.revision) AS n FROM w JOIN rk ON rk.revision = w.revision) s
     ON s.v = l.o_orderpriority AND s.n = 1 WHERE l.branch = 1""",
     walk(0),
@@ -91,4 +95,15 @@ O["history_woven"] = sql("rev", "SELECT number % 17 AS file, revision, lag(revis
 Q["last_merged"] = lambda s, d: checks.last_merged(X.revisions(s, d), 2, 0)
 O["last_merged"] = sql("rev", "SELECT revision, parent_other AS merged FROM rev WHERE branch = 2 AND parent_other IN (SELECT revision FROM rev WHERE branch = 0) ORDER BY number DESC LIMIT 1")
 
+Q["stage_from_source"] = lambda s, d: W.staged_from(X.tree(s, d, "target").withColumn("from_path", F.lit(None).cast("string")).withColumn("flags", F.lit(0)), X.tree(s, d, "base"), "Brand#12").where("flags <> 0").select("path", "hash", "flags")
+O["stage_from_source"] = sql("base target", "SELECT b.path, b.hash, CAST(CASE WHEN t.path IS NULL THEN 18 ELSE 16 END AS INTEGER) AS flags FROM base b LEFT JOIN target t ON t.path = b.path WHERE starts_with(b.path, 'Brand#12/') AND b.hash IS DISTINCT FROM t.hash")
+Q["dirty_moves"] = lambda s, d: W.copied(working(s, d), X.tree(s, d, "base").where("file_id % 13 = 0").select("path", F.concat(F.lit("to/"), "path").alias("to"))).where("from_path is not null and path like 'to/%'").select("path", "from_path", "flags")
+O["dirty_moves"] = sql("moves base", WORK + " SELECT 'to/' || b.path AS path, b.path AS from_path, CAST(36 AS INTEGER) AS flags FROM base b JOIN w ON w.path = b.path WHERE b.file_id % 13 = 0")
+Q["commit_counts"] = lambda s, d: W.commit_counts(W.stage(X.tree(s, d, "base"), X.tree(s, d, "source")))
+O["commit_counts"] = sql("moves", "SELECT count(*) FILTER (action = 'add') AS added, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'move') AS moved, count(*) FILTER (action = 'keep') AS modified, CAST(sum(size) FILTER (action <> 'delete') AS BIGINT) AS bytes FROM moves")
+Q["realise_counts"] = lambda s, d: W.realise_counts(X.tree(s, d, "base"), X.tree(s, d, "target"))
+O["realise_counts"] = sql("base target", "SELECT count(*) FILTER (a.path IS NULL) AS added, count(*) FILTER (b.path IS NULL) AS deleted, count(*) FILTER (a.hash = b.hash) AS retained, count(*) FILTER (a.hash <> b.hash) AS replaced FROM base a FULL JOIN target b ON a.path = b.path")
+Q["branch_switch"] = lambda s, d: W.switched(X.branches(s, d), 1, working(s, d), {0: X.tree(s, d, "base"), 1: X.tree(s, d, "target")}, 0)[0].where("action <> 'move'").select("action", "path")
+O["branch_switch"] = sql("base target", "SELECT CASE WHEN a.path IS NULL THEN 'add' WHEN b.path IS NULL THEN 'delete' ELSE 'keep' END AS action, coalesce(b.path, a.path) AS path FROM base a FULL JOIN target b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash")
+
 QUERIES, ORACLES = Q, O

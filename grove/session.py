@@ -23,10 +23,20 @@ def session(name: str = "grove", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='grove-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, which all executors reach; a temporary folder where none is set (one machine)."""
+    """df written to the checkpoint folder, which all executors reach; a temporary folder where none is set, on one machine alone."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grove-"))
+        context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grove.functions.paths import ancestors
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,17 +25,47 @@ def tree(spark: SparkSession, sf_dir: str, side: str = "base") -> DataFrame:
     return table(spark, sf_dir, "part").where(keep).select(path.alias("path"), k.alias("file_id"), F.sha2(body, 256).alias("hash"), F.length(body).alias("size"))
 
 
+def nodes(spark: SparkSession, sf_dir: str, side: str = "base") -> DataFrame:
+    """Files and directories of a snapshot, with modes: (path, kind, file_id, hash, size, mode).
+
+    In the source some files have become directories with a file in them, and some directories another mode; in the target some files have.
+    Of directories whose paths differ in case alone the first is taken.
+    """
+    k = F.col("file_id")
+    files = tree(spark, sf_dir, side)
+    if side == "source":
+        files = files.withColumn("path", F.when(k % 29 == 0, F.concat("path", F.lit("/inner.txt"))).otherwise(F.col("path"))).withColumn("file_id", F.when(k % 29 == 0, k + 1_000_000).otherwise(k))
+    mode = F.when((k % 31 == 0) & F.lit(side == "target"), 493).otherwise(420)
+    rows = files.select("path", F.lit("file").alias("kind"), "file_id", "hash", "size", mode.alias("mode"))
+    above = files.select(F.explode(ancestors("path")).alias("path")).groupBy(F.lower("path").alias("k")).agg(F.min("path").alias("path"))
+    own = F.when((F.length("path") % 5 == 0) & F.lit(side == "source"), 448).otherwise(493)
+    return rows.unionByName(above.select("path", F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("file_id"), F.lit("dir").alias("hash"), F.lit(0).alias("size"), own.alias("mode")))
+
+
+def contents(spark: SparkSession, sf_dir: str, side: str = "base") -> DataFrame:
+    """(path, text): files of four lines; the source changes the first line of some, the target the last or the first of others."""
+    k, first = F.col("p_partkey"), F.col("p_name")
+    last = F.col("p_size").cast("string")
+    if side == "source":
+        first = F.when(k % 7 == 0, F.upper(first)).otherwise(first)
+    if side == "target":
+        first = F.when(k % 35 == 0, F.concat(first, F.lit("!"))).otherwise(first)
+        last = F.when(k % 5 == 1, F.concat(last, F.lit(" more"))).otherwise(last)
+    path = F.concat(F.col("p_brand"), F.lit("/p"), k, F.lit(".txt"))
+    return table(spark, sf_dir, "part").select(path.alias("path"), F.concat(F.concat_ws("\n", first, "p_brand", "p_type", last), F.lit("\n")).alias("text"))
+
+
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four branches of up to 150 revisions: a trunk, branch points on it, and merges from it."""
-    ranked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("branch")).withColumn("n", F.row_number().over(Window.partitionBy("branch").orderBy("o_orderkey"))).where("n <= 150")
+    """Four branches of all orders: a trunk, branch points on it, and merges from it."""
+    ranked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("branch")).withColumn("n", F.row_number().over(Window.partitionBy("branch").orderBy("o_orderkey")))
     rows = ranked.select("branch", "n", (F.col("n") + 10 * F.col("branch")).cast("long").alias("number"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("revision"))
-    before = F.lag("revision").over(Window.partitionBy("branch").orderBy("n"))
-    trunk = F.broadcast(rows.where("branch = 0").select(F.col("n").alias("tn"), F.col("revision").alias("trunk")))
-    own = rows.withColumn("before", before).withColumn("tn", F.when((F.col("branch") > 0) & (F.col("n") == 1), 10 * F.col("branch")).when((F.col("branch") > 0) & (F.col("n") % 25 == 0), F.col("n")).cast("int"))
-    met = own.join(trunk, "tn", "left")
-    self_ = F.when((F.col("branch") > 0) & (F.col("n") == 1), F.col("trunk")).otherwise(F.col("before"))
-    other = F.when((F.col("branch") > 0) & (F.col("n") % 25 == 0), F.col("trunk"))
-    return met.select("branch", "number", "revision", self_.alias("parent_self"), other.alias("parent_other"))
+    own = rows.withColumn("before", F.lag("revision").over(Window.partitionBy("branch").orderBy("n")))
+    trunk = rows.where("branch = 0").select(F.col("n").alias("tn"), F.col("revision").alias("trunk"))
+    point, merge = (F.col("branch") > 0) & (F.col("n") == 1), (F.col("branch") > 0) & (F.col("n") % 25 == 0)
+    # Only rows that point at the trunk are joined with it.
+    met = own.where(point | merge).withColumn("tn", F.when(point, 10 * F.col("branch")).otherwise(F.col("n")).cast("int")).join(trunk, "tn", "left")
+    pointed = met.select("branch", "number", "revision", F.when(point, F.col("trunk")).otherwise(F.col("before")).alias("parent_self"), F.when(merge, F.col("trunk")).alias("parent_other"))
+    return own.where(~(point | merge)).select("branch", "number", "revision", F.col("before").alias("parent_self"), F.lit(None).cast("string").alias("parent_other")).unionByName(pointed)
 
 
 def revision_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +94,7 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, tag): edges between file numbers, cycles included."""
     many = table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").join(F.broadcast(many))
+    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(many))
     edges = rows.select(F.col("l_partkey").alias("source"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("parts")).alias("target"), F.col("l_returnflag").alias("tag"))
     return edges.where("source <> target").distinct()
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.session import shared_dir
 from grove.sources.fixtures import as_events
 
 
@@ -40,9 +41,23 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
     return timed.groupBy(F.window("ts", width), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that a stream gives until its source is read to the end, as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def published(events: DataFrame, path: str) -> None:
+    """Adds events to the files of a stream's source."""
+    events.write.mode("append").parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "complete", path: str | None = None) -> DataFrame:
+    """All that a stream gives until its source is read to the end, as a table of files in the shared folder.
+
+    With mode append rows are added to the files as they are final; a later call with the same path goes on behind what was
+    acknowledged. With mode complete each batch's whole result replaces the one before.
+    """
+    spark = stream.sparkSession
+    path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/acks").trigger(availableNow=True)
+    if mode == "append":
+        run = writer.format("parquet").option("path", f"{path}/rows").start()
+    else:
+        run = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/rows")).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
