@@ -139,7 +139,10 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def scanned(spark, folder: str, glob: str = "*") -> DataFrame:
-    """(path, size, mtime, hash, content): the files under a folder, as a tree's rows; path is relative to it. Columns that aren't asked for aren't read."""
+    """(path, size, mtime, hash, content): the files under a folder, as a tree's rows; path is relative to it.
+
+    Columns that aren't asked for aren't read. Empty files aren't among them, as the reader passes them over.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     root = folder.split("://")[-1].rstrip("/") + "/"
     path = F.regexp_replace("path", "^file:/*", "/")
