@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm._shared import releasing, shared_dir, table, text_batches
+from grove.llm._shared import releasing, shared_dir, spread, table, text_batches
 from grove.llm._tokenizer import encoder, file_digest
 
 CACHE_SCHEMA = "tokenizer_digest string, content_digest string, n_tokens long"
@@ -62,7 +62,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     # Where two runs have appended the same content, their counts are equal.
     counts = _cached(spark, cache, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     slim = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
-    return slim.join(counts, "content_digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Copies of one content are dealt to several tasks by their ids, or else by their places.
+    own = F.coalesce(F.xxhash64("id"), F.lit(0)) + F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    return spread(slim, counts, "content_digest", own, 8).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _piece_digest(path: str) -> str:
