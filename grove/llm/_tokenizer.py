@@ -92,8 +92,9 @@ class Encoder:
         odd = [p for p in pieces if p[0] == " "]
         for i in range(0, len(plain), 500):
             some = plain[i : i + 500]
-            joined = " ".join("".join(map(self.letters.__getitem__, p.encode())) for p in some)
-            ids = np.array(self.bare.encode(joined, add_special_tokens=False).ids, "<u4")
+            # Printing ASCII is written as it is. The fast batch makes no offsets.
+            joined = " ".join(p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in some)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(some):  # a vocabulary that doesn't end its words: each on its own
                 odd += [f" {p}" for p in some]
