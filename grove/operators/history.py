@@ -1,42 +1,99 @@
 """Revisions: walks along parents, ranges, pages, names of revisions, common ancestors.
 
-Walks double their step in each round, so a history of n revisions takes log2(n) joins, not n.
+Walks go by runs: revisions of a branch that follow each other, each the first parent of the next. A run is one row however long it is,
+walks over runs double their step in each round, and only what they reach is made into revisions again.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grove.session import checkpointed
+from grove.session import checkpointed, few, stored
 
+#: Numbers of a branch that a run spans at most, so that no task holds all of a branch.
+SPAN = 65536
 
-def jumps(revs: DataFrame, most: int | None = None) -> list[tuple[int, DataFrame]]:
-    """(step, (x, y)) for steps 1, 2, 4 ... : the revision y that many first parents before x, for walks of `most` steps (none: of any number)."""
-    out, step = [], 1
-    table = checkpointed(revs.where("parent_self is not null").select(F.col("revision").alias("x"), F.col("parent_self").alias("y")))
-    while (most is None or step <= most) and not table.isEmpty():
-        out.append((step, table))
-        step *= 2
-        if most is not None and step > most:
-            break
-        second = table.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        table = checkpointed(table.join(second, "y").select("x", F.col("z").alias("y")))
-    return out
 
+def key(revision: str) -> Column:
+    """A revision's name in few bytes, one for each name: the bytes that an even number of lower-case hex digits stands for, else the text's."""
+    raw = F.unhex(revision)
+    plain = F.concat(F.lit(b"\0"), F.encode(revision, "utf-8"))
+    return F.when(F.lower(F.hex(raw)) == F.col(revision), F.concat(F.lit(b"\1"), raw)).when(F.col(revision).isNotNull(), plain)
 
-def first_parents(revs: DataFrame, starts: DataFrame, tables: list[tuple[int, DataFrame]] | None = None, most: int | None = None) -> DataFrame:
+
+def named(key_: str) -> Column:
+    """The name that key() was made of."""
+    rest = F.substr(F.col(key_), F.lit(2))
+    return F.when(F.substr(F.col(key_), F.lit(1), F.lit(1)) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "utf-8"))
+
+
+class Runs(NamedTuple):
+    """Revisions by runs.
+
+    rows: (run, at, _key, branch, number, _up, more): revisions with the run that each is in and its place there; _up is the first parent of a run's first revision.
+    hops: for 1, 2, 4 ... runs: (run, head, run_to, at_to, far): from a run's first revision, at head, the place in another that is `far` first parents on.
+    lost: (run, head, _up): runs whose first revision has a parent that is no revision.
+    """
+
+    rows: DataFrame
+    hops: list[DataFrame]
+    lost: DataFrame
+
+
+def located(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """wanted with the place (run_to, at_to) of the revision whose key is in a column; without those that are none."""
+    return rows.select(F.col("_key").alias(by), F.col("run").alias("run_to"), F.col("at").alias("at_to")).join(wanted, by)
+
+
+def runs(revs: DataFrame, *more: Column) -> Runs:
+    """more: columns that rows keep beside the branch and number."""
+    order = Window.partitionBy("branch", "_block").orderBy("number", "_key")
+    rows = revs.select("branch", "number", F.floor(F.col("number") / SPAN).alias("_block"), key("revision").alias("_key"), key("parent_self").alias("_up"), *more)
+    rows = rows.withColumn("_first", ~F.coalesce(F.lag("_key").over(order) == F.col("_up"), F.lit(False))).withColumn("at", F.row_number().over(order).cast("long"))
+    part = F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = F.struct("branch", F.col("_block").alias("block"), part.alias("part"))
+    kept = [c for c in rows.columns if c not in ("_block", "_key", "_up", "_first", "at")]
+    rows = stored(rows.select(run.alias("run"), "at", "_key", F.when(F.col("_first"), F.col("_up")).alias("_up"), *kept), "runs")
+    heads = few(rows.where("_up is not null").select("run", F.col("at").alias("head"), "_up"))
+    table = checkpointed(located(rows, heads, "_up").select("run", "head", "run_to", "at_to", F.lit(1).cast("long").alias("far")))
+    lost = checkpointed(heads.join(table.select("run"), "run", "left_anti"))
+    hops = []
+    while not table.isEmpty():
+        hops.append(table)
+        second = table.select(F.col("run").alias("run_to"), F.col("head").alias("_h"), F.col("run_to").alias("_r"), F.col("at_to").alias("_a"), F.col("far").alias("_f"))
+        on = table.join(second, "run_to").select("run", "head", F.col("_r").alias("run_to"), F.col("_a").alias("at_to"), (F.col("far") + F.col("at_to") - F.col("_h") + F.col("_f")).alias("far"))
+        table = checkpointed(on)
+    return Runs(rows, hops, lost)
+
+
+def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool = False) -> DataFrame:
+    """(start, _key, distance and what rows of table have): all revisions along first parents from each of starts (revision), itself at 0,
+    `most` steps away at most. whole: with parents and starts that are no revisions, without branch and number."""
+    asked = few(starts.select(F.col("revision").alias("start"), key("revision").alias("_key")))
+    reach = located(table.rows, asked, "_key").select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"), F.lit(0).cast("long").alias("far"))
+    reach = checkpointed(reach)
+    for hop in table.hops:
+        further = reach.join(hop.withColumnRenamed("far", "_far"), "run").select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"), (F.col("far") + F.col("top") - F.col("head") + F.col("_far")).alias("far"))
+        reach = checkpointed(reach.unionByName(further if most is None else further.where(F.col("far") <= most)))
+    reach = few(reach)
+    rows = table.rows.join(reach, "run").where("at <= top").withColumn("distance", F.col("far") + F.col("top") - F.col("at")).drop("run", "at", "_up", "top", "far")
+    if whole:
+        up = table.lost.join(reach, "run").select("start", F.col("_up").alias("_key"), (F.col("far") + F.col("top") - F.col("head") + 1).alias("distance"))
+        none = asked.join(table.rows.join(asked.select("_key"), "_key", "left_semi").select("_key"), "_key", "left_anti").select("start", "_key", F.lit(0).cast("long").alias("distance"))
+        rows = rows.unionByName(up, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
+    return rows if most is None else rows.where(F.col("distance") <= most)
+
+
+def first_parents(revs: DataFrame, starts: DataFrame, table: Runs | None = None, most: int | None = None) -> DataFrame:
     """(start, revision, distance): all revisions along first parents from each of starts (revision), itself at 0, `most` steps away at most.
 
-    tables: the jumps of revs, where several walks share them.
+    table: the runs of revs, where several walks share them.
     """
-    reach = starts.select(F.col("revision").alias("start"), "revision", F.lit(0).cast("long").alias("distance"))
-    for step, table in tables if tables is not None else jumps(revs, most):
-        further = reach.join(table, reach["revision"] == table["x"]).select("start", F.col("y").alias("revision"), (F.col("distance") + step).alias("distance"))
-        reach = checkpointed(reach.unionByName(further if most is None else further.where(F.col("distance") <= most)))
-    return reach
+    return walked(table or runs(revs), starts, most, whole=True).select("start", named("_key").alias("revision"), "distance")
 
 
 def history(revs: DataFrame, start: DataFrame, *, limit: int | None = 100, only_branch: bool = False, since: tuple[DataFrame, int] | None = None) -> DataFrame:
@@ -45,16 +102,17 @@ def history(revs: DataFrame, start: DataFrame, *, limit: int | None = 100, only_
     only_branch: up to and with the first revision of another branch. since: (times (revision, num), epoch ms) up to
     before the first revision that is older. limit: so many at most.
     """
-    walk = first_parents(revs, start, most=None if limit is None else max(0, limit - 1)).join(revs.select("revision", "number", "branch"), "revision")
+    walk = walked(runs(revs), start, None if limit is None else max(0, limit - 1))
     if only_branch:
-        own = walk.where("distance = 0").select("start", F.col("branch").alias("own"))
-        end = walk.join(own, "start").where("branch <> own").groupBy("start").agg(F.min("distance").alias("end"))
+        own = few(walk.where("distance = 0").select("start", F.col("branch").alias("own")))
+        end = few(walk.join(own, "start").where("branch <> own").groupBy("start").agg(F.min("distance").alias("end")))
         walk = walk.join(end, "start", "left").where("end is null or distance <= end")
     if since is not None:
         times, least = since
-        older = walk.join(times.select("revision", "num"), "revision").where(F.col("num") < least).groupBy("start").agg(F.min("distance").alias("old"))
+        before = times.where(F.col("num") < least).select(key("revision").alias("_key"))
+        older = few(walk.select("start", "_key", "distance").join(before, "_key").groupBy("start").agg(F.min("distance").alias("old")))
         walk = walk.join(older, "start", "left").where("old is null or distance < old")
-    rows = walk.select("revision", "number", "branch", "distance").orderBy("distance")
+    rows = walk.select("_key", "number", "branch", "distance").orderBy("distance").select(named("_key").alias("revision"), "number", "branch", "distance")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -62,34 +120,55 @@ def nth_ancestor(revs: DataFrame, start: DataFrame, n: int) -> DataFrame:
     return first_parents(revs, start, most=n).where(F.col("distance") == n).select("revision")
 
 
-def ancestors(revs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, revision): all revisions reachable over either parent, the start included.
+def covered(table: Runs, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((start, run, top), (start, _key)): how far into each run each start (start, _key) reaches over either parent, and the parents reached that are no revisions.
 
-    A round goes along first parents from all new revisions at once, then over the merges found: as many rounds as merges nest. A start has a
-    row for each revision it reaches, however many ways there are.
+    rows of table have _other. A round goes along first parents from all that is new at once, then over the merges found there: as many rounds as merges nest.
     """
-    tables = jumps(revs)
-    merges = revs.where("parent_other is not null").select("revision", F.col("parent_other").alias("other"))
-    seen, over = None, starts.select(F.col("revision").alias("start"), "revision").distinct()
+    merges = table.rows.where("_other is not null").select("run", "at", "_other")
+    place = few(located(table.rows, few(merges.select("_other").distinct()), "_other"))
+    known = checkpointed(merges.join(place, "_other").select("run", "at", "run_to", "at_to"))
+    farthest = lambda df: df.groupBy("start", "run").agg(F.max("top").alias("top"))
+    reached = lambda df: df.select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"))
+    seen, over = None, checkpointed(farthest(reached(located(table.rows, few(starts), "_key"))))
     while True:
-        frontier = over
-        for _, table in tables:
-            further = frontier.join(table, frontier["revision"] == table["x"]).select("start", F.col("y").alias("revision"))
-            further = further if seen is None else further.join(seen, ["start", "revision"], "left_anti")
-            frontier = checkpointed(frontier.unionByName(further).distinct())
-        seen = frontier if seen is None else checkpointed(seen.unionByName(frontier))
-        over = frontier.join(merges, "revision").select("start", F.col("other").alias("revision")).distinct().join(seen, ["start", "revision"], "left_anti")
-        over = checkpointed(over)
+        for hop in table.hops:
+            over = checkpointed(farthest(over.unionByName(reached(over.join(hop, "run")))))
+        old = seen.withColumnRenamed("top", "old") if seen is not None else over.select("start", "run", F.col("top").alias("old")).limit(0)
+        new = few(over.join(old, ["start", "run"], "left").withColumn("old", F.coalesce("old", F.lit(0).cast("long"))).where("top > old"))
+        seen = new.drop("old") if seen is None else checkpointed(farthest(seen.unionByName(new.drop("old"))))
+        over = farthest(reached(known.join(new, "run").where("at <= top and at > old")))
+        over = checkpointed(over.join(seen.withColumnRenamed("top", "had"), ["start", "run"], "left").where("had is null or top > had").drop("had"))
         if over.isEmpty():
-            return seen
+            up = seen.join(table.lost, "run").select("start", F.col("_up").alias("_key"))
+            gone = merges.join(place.select("_other"), "_other", "left_anti").join(few(seen), "run").where("at <= top").select("start", F.col("_other").alias("_key"))
+            return seen, up.unionByName(gone)
+
+
+def ancestors(revs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, revision): all revisions reachable over either parent, the start included.
+
+    A start has a row for each revision it reaches, however many ways there are.
+    """
+    table = runs(revs, key("parent_other").alias("_other"))
+    asked = checkpointed(starts.select(F.col("revision").alias("start"), key("revision").alias("_key")).distinct())
+    reach, others = covered(table, asked)
+    rows = table.rows.join(few(reach), "run").where("at <= top").select("start", "_key")
+    # The start itself and parents that are no revisions have no place in a run.
+    alone = others.unionByName(asked).distinct()
+    alone = alone.join(table.rows.join(few(alone.select("_key").distinct()), "_key", "left_semi").select("_key"), "_key", "left_anti")
+    return rows.unionByName(alone.select("start", "_key")).select("start", named("_key").alias("revision"))
 
 
 def common_ancestors(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(revision, number) reachable from both."""
-    one, two = a.select("revision").distinct(), b.select("revision").distinct()
-    reach = ancestors(revs, one.unionByName(two).distinct())
-    own = lambda x: reach.join(x.select(F.col("revision").alias("start")), "start", "left_semi").select("revision")
-    return revs.join(own(one).intersect(own(two)), "revision", "left_semi").select("revision", "number")
+    table = runs(revs, key("parent_other").alias("_other"))
+    asked = lambda x: checkpointed(x.select(key("revision").alias("_key"), F.col("revision").alias("start")).distinct())
+    one, two = asked(a), asked(b)
+    reach, _ = covered(table, one.unionByName(two).distinct())
+    own = lambda x, n: reach.join(x.select("start"), "start", "left_semi").groupBy("run").agg(F.max("top").alias(n))
+    both = few(own(one, "_one").join(own(two, "_two"), "run").select("run", F.least("_one", "_two").alias("top")))
+    return table.rows.join(both, "run").where("at <= top").select(named("_key").alias("revision"), "number")
 
 
 def merge_base(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -103,31 +182,34 @@ def divergence(revs: DataFrame, a: DataFrame, b: DataFrame, *, most: int | None
     most: so many revisions of each side are looked at; where none is on both, the base (revision) with distances 0.
     """
     steps = None if most is None else most - 1
-    tables = jumps(revs, steps)
-    one, two = first_parents(revs, a, tables, steps), first_parents(revs, b, tables, steps)
-    met = one.select("revision", F.col("distance").alias("ahead")).join(two.select("revision", F.col("distance").alias("behind")), "revision")
-    found = met.orderBy("ahead", "behind").limit(1)
+    table = runs(revs)
+    found = nearest(walked(table, a, steps, whole=True), walked(table, b, steps, whole=True)).select("revision", "ahead", "behind")
     if base is None:
         return found
     none = base.select("revision", F.lit(0).cast("long").alias("ahead"), F.lit(0).cast("long").alias("behind"))
     return found.withColumn("_o", F.lit(0)).unionByName(none.withColumn("_o", F.lit(1))).orderBy("_o").limit(1).drop("_o")
 
 
+def nearest(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(revision, ahead, behind): the nearest revision that is on two walks (_key, distance), with its distance in each."""
+    met = one.select("_key", F.col("distance").alias("ahead")).join(two.select("_key", F.col("distance").alias("behind")), "_key")
+    return checkpointed(met.orderBy("ahead", "behind").limit(1).select(named("_key").alias("revision"), "ahead", "behind"))
+
+
 def branch_point(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, revision, distance): the nearest revision on both chains (side `point`, distance 0), and those of each side before it."""
-    tables = jumps(revs)
-    one, two = first_parents(revs, a, tables), first_parents(revs, b, tables)
-    met = one.select("revision", F.col("distance").alias("ahead")).join(two.select("revision", F.col("distance").alias("behind")), "revision")
-    point = F.broadcast(met.orderBy("ahead", "behind").limit(1).select(F.col("revision").alias("point"), "ahead", "behind"))
-    own = lambda walk, side, end: walk.join(point, F.col("distance") < F.col(end)).select(F.lit(side).alias("side"), "revision", "distance")
+    table = runs(revs)
+    one, two = walked(table, a, whole=True), walked(table, b, whole=True)
+    point = F.broadcast(nearest(one, two).withColumnRenamed("revision", "point"))
+    own = lambda walk, side, end: walk.join(point, F.col("distance") < F.col(end)).select(F.lit(side).alias("side"), named("_key").alias("revision"), "distance")
     return own(one, "a", "ahead").unionByName(own(two, "b", "behind")).unionByName(point.select(F.lit("point").alias("side"), F.col("point").alias("revision"), F.lit(0).cast("long").alias("distance")))
 
 
 def bisect(revs: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
     """(revision, steps, done): the revision half-way back from bad to good along first parents; none if good is no ancestor."""
-    walk = first_parents(revs, bad)
-    end = walk.join(good.select("revision"), "revision", "left_semi").select(F.col("distance").alias("steps"))
-    return walk.join(F.broadcast(end.limit(1))).where(F.col("distance") == F.floor(F.col("steps") / 2)).select("revision", "steps", (F.col("steps") <= 1).alias("done"))
+    walk = walked(runs(revs), bad, whole=True).select("_key", "distance")
+    end = walk.join(few(good.select(key("revision").alias("_key"))), "_key", "left_semi").select(F.col("distance").alias("steps"))
+    return walk.join(few(end.limit(1))).where(F.col("distance") == F.floor(F.col("steps") / 2)).select(named("_key").alias("revision"), "steps", (F.col("steps") <= 1).alias("done"))
 
 
 def segments(revs: DataFrame, step: int = 100) -> DataFrame:
@@ -190,15 +272,15 @@ def next_number(revs: DataFrame) -> DataFrame:
 
 def file_history(revs: DataFrame, changed: DataFrame, start: DataFrame) -> DataFrame:
     """(file, revision, number, back): revisions along first parents from start that changed each file (revision, file), newest first."""
-    walk = first_parents(revs, start).select("revision", "distance").join(revs.select("revision", "number"), "revision")
-    rows = walk.join(changed, "revision")
-    return rows.select("file", "revision", "number", F.row_number().over(Window.partitionBy("file").orderBy("distance")).alias("back"))
+    walk = walked(runs(revs), start).select("_key", "number", "distance")
+    rows = walk.join(changed.select(key("revision").alias("_key"), "file"), "_key")
+    return rows.select("file", "_key", "number", F.row_number().over(Window.partitionBy("file").orderBy("distance")).alias("back")).select("file", named("_key").alias("revision"), "number", "back")
 
 
 def last_modified(revs: DataFrame, changed: DataFrame, start: DataFrame) -> DataFrame:
     """(file, revision, number): the newest of those."""
-    rows = first_parents(revs, start).select("revision").join(revs.select("revision", "number"), "revision").join(changed, "revision")
-    return rows.groupBy("file").agg(F.max_by("revision", "number").alias("revision"), F.max("number").alias("number"))
+    rows = walked(runs(revs), start).select("_key", "number").join(changed.select(key("revision").alias("_key"), "file"), "_key")
+    return rows.groupBy("file").agg(F.max_by("_key", "number").alias("_key"), F.max("number").alias("number")).select("file", named("_key").alias("revision"), "number")
 
 
 def common_branch(branches: DataFrame, a: int, b: int) -> DataFrame:
@@ -271,9 +353,10 @@ def newer(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def matched(revs: DataFrame, start: DataFrame, match: Column, *, abort: Column | None = None, limit: int | None = None) -> DataFrame:
     """(revision, number, distance): the first revision along first parents that match holds for, if no earlier one says abort; both are conditions on a revision's columns."""
-    walk = first_parents(revs, start, most=None if limit is None else limit - 1).join(revs, "revision")
-    end = F.broadcast((walk.where(abort) if abort is not None else walk.limit(0)).agg(F.min("distance").alias("_end")))
-    return walk.where(match).join(end).where("_end is null or distance <= _end").orderBy("distance").limit(1).select("revision", "number", "distance")
+    table = runs(revs, match.alias("_match"), (abort if abort is not None else F.lit(False)).alias("_abort"))
+    walk = walked(table, start, None if limit is None else limit - 1)
+    end = few(walk.where("_abort").agg(F.min("distance").alias("_end")))
+    return walk.where("_match").join(end).where("_end is null or distance <= _end").orderBy("distance").limit(1).select(named("_key").alias("revision"), "number", "distance")
 
 
 def file_chain(revs: DataFrame, deltas: DataFrame, start: DataFrame, paths: DataFrame) -> DataFrame:
@@ -282,18 +365,19 @@ def file_chain(revs: DataFrame, deltas: DataFrame, start: DataFrame, paths: Data
     deltas (revision, path, from_path, action) are what revisions changed; paths (path) are asked. A move goes on under the old path; a file
     that is gone at start has its delete as the newest. A round a name that a file once had.
     """
-    walk = checkpointed(first_parents(revs, start).select("revision", "distance").join(revs.select("revision", "number"), "revision").join(deltas, "revision"))
+    changes = deltas.select(key("revision").alias("_key"), "path", "from_path", "action")
+    walk = stored(walked(runs(revs), start).select("_key", "number", "distance").join(changes, "_key"), "deltas")
     asked = paths.select(F.col("path").alias("asked"), "path", F.lit(-1).cast("long").alias("since")).distinct()
     done = None
     while True:
-        own = walk.join(asked, "path").where(F.col("distance") > F.col("since"))
+        own = walk.join(few(asked), "path").where(F.col("distance") > F.col("since"))
         ends = own.where("action in ('add', 'move')").groupBy("asked", "path").agg(F.min("distance").alias("end"))
-        rows = checkpointed(own.join(ends, ["asked", "path"], "left").where("end is null or distance <= end").select("asked", "path", "from_path", "revision", "number", "action", "distance"))
+        rows = checkpointed(own.join(ends, ["asked", "path"], "left").where("end is null or distance <= end").select("asked", "path", "from_path", "_key", "number", "action", "distance"))
         done = rows if done is None else checkpointed(done.unionByName(rows))
         asked = checkpointed(rows.where("action = 'move'").select("asked", F.col("from_path").alias("path"), F.col("distance").alias("since")))
         if asked.isEmpty():
             back = F.row_number().over(Window.partitionBy("asked").orderBy("distance"))
-            return done.select("asked", "path", "revision", "number", "action", back.alias("back"))
+            return done.select("asked", "path", named("_key").alias("revision"), "number", "action", back.alias("back"))
 
 
 def delta_of(deltas: DataFrame, asked: DataFrame) -> DataFrame:
@@ -303,7 +387,10 @@ def delta_of(deltas: DataFrame, asked: DataFrame) -> DataFrame:
 
 def last_merged_files(revs: DataFrame, deltas: DataFrame, tip: DataFrame, source: int) -> DataFrame:
     """(path, revision, number): the newest revision along first parents from tip that changed a file and merged a revision of the source branch; number is the merged one's."""
-    theirs = revs.where(F.col("branch") == source).select(F.col("revision").alias("parent_other"), F.col("number").alias("merged"))
-    walk = first_parents(revs, tip).select("revision", "distance").join(revs, "revision").join(theirs, "parent_other")
-    rows = walk.join(deltas.select("revision", "path"), "revision")
-    return rows.groupBy("path").agg(F.min_by("revision", "distance").alias("revision"), F.min_by("merged", "distance").alias("number"))
+    table = runs(revs, key("parent_other").alias("_other"))
+    merges = few(walked(table, tip).where("_other is not null").select("_key", "_other", "distance"))
+    theirs = table.rows.where(F.col("branch") == source).select(F.col("_key").alias("_other"), F.col("number").alias("merged"))
+    walk = few(theirs.join(merges, "_other").select("_key", "merged", "distance"))
+    rows = deltas.select(key("revision").alias("_key"), "path").join(walk, "_key")
+    best = rows.groupBy("path").agg(F.min_by("_key", "distance").alias("_key"), F.min_by("merged", "distance").alias("number"))
+    return best.select("path", named("_key").alias("revision"), "number")

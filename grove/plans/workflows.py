@@ -9,6 +9,7 @@ from grove.operators import history as H
 from grove.operators import workflow as W
 from grove.plans._sql import sql
 from grove.plans.histories import walk
+from grove.session import stored
 from grove.sources import fixtures as X
 
 Q, O = {}, {}
@@ -72,11 +73,13 @@ O["verify_parents"] = sql("rev", ", r AS (SELECT * FROM rev WHERE number % 10 <>
 
 
 def by_request(s, d):
-    meta, revs = X.revision_metadata(s, d).select("revision", "key", "str"), X.revisions(s, d)
-    layer = meta.join(revs.where("branch = 1").select("revision"), "revision", "left_semi")
+    """Entries of the layer's and the walk's revisions, found by one pass over the metadata."""
+    meta, revs = X.revision_metadata(s, d).where("key = 'change-request'").select(H.key("revision").alias("_key"), "key", "str"), X.revisions(s, d)
     tip = X.branches(s, d).where("id = 0").select(F.col("latest").alias("revision"))
-    source = meta.join(H.first_parents(revs, tip).select("revision", "distance"), "revision")
-    return checks.matched_by_metadata(layer, source, "change-request")
+    table = H.runs(revs)
+    layer = table.rows.where("branch = 1").select("_key", F.lit(None).cast("long").alias("distance"))
+    met = stored(meta.join(layer.unionByName(H.walked(table, tip).select("_key", "distance")), "_key"), "requests").select(H.named("_key").alias("revision"), "key", "str", "distance")
+    return checks.matched_by_metadata(met.where("distance is null"), met.where("distance is not null"), "change-request")
 
 
 Q["layer_match"] = by_request

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Adaptive execution re-plans joins, splits skewed partitions and merges small ones.
 SETTINGS = {
@@ -40,3 +42,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the checkpoint folder in columns, compressed, and read again: for tables whose size counts."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that are sent to all executors at most.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df checkpointed, and marked for a broadcast where it has no more than FEW rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= FEW else df
