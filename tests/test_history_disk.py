@@ -17,7 +17,7 @@ def written(spark) -> int:
     return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
 
 
-@pytest.mark.parametrize("name", ["history_linear", "last_modified", "layer_match", "bisect_midpoint", "branch_point_sides", "common_ancestors", "file_chain", "last_merged_files", "merge_base", "divergence_distance", "file_history", "history_only_branch", "history_since"])
+@pytest.mark.parametrize("name", ["history_linear", "last_modified", "layer_match", "bisect_midpoint", "branch_point_sides", "common_ancestors", "file_chain", "last_merged_files", "merge_base", "divergence_distance", "file_history", "history_only_branch", "history_since", "revision_matched"])
 def test_a_walk_writes_each_revision_about_once(spark, name):
     """A table of pairs for each power of two had over 100 bytes a revision and power."""
     before, many = written(spark), QUERIES["revision_rows"](spark, SF).count()
