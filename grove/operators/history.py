@@ -12,10 +12,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grove.session import checkpointed, few, stored
+from grove.session import FEW, checkpointed, few, stored, stored_parts
 
 #: Numbers of a branch that a run spans at most, so that no task holds all of a branch.
 SPAN = 65536
+#: Below every place in a run.
+LOWEST = -(1 << 63)
+#: Runs in SPAN numbers of a branch at most for which a revision's run is looked up by its number.
+DENSE = 256
+#: Parts in which large tables are joined by revision, one after the other.
+PARTS = 2
 
 
 def key(revision: str) -> Column:
@@ -50,15 +56,17 @@ def located(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
 
 
 def runs(revs: DataFrame, *more: Column) -> Runs:
-    """more: columns that rows keep beside the branch and number."""
-    order = Window.partitionBy("branch", "_block").orderBy("number", "_key")
-    rows = revs.select("branch", "number", F.floor(F.col("number") / SPAN).alias("_block"), key("revision").alias("_key"), key("parent_self").alias("_up"), *more)
-    rows = rows.withColumn("_first", ~F.coalesce(F.lag("_key").over(order) == F.col("_up"), F.lit(False))).withColumn("at", F.row_number().over(order).cast("long"))
-    part = F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = F.struct("branch", F.col("_block").alias("block"), part.alias("part"))
-    kept = [c for c in rows.columns if c not in ("_block", "_key", "_up", "_first", "at")]
-    rows = stored(rows.select(run.alias("run"), "at", "_key", F.when(F.col("_first"), F.col("_up")).alias("_up"), *kept), "runs")
-    heads = few(rows.where("_up is not null").select("run", F.col("at").alias("head"), "_up"))
+    """more: columns that rows keep beside the branch and number.
+
+    Where numbers of a branch are unique and runs are few, only the runs are written, with the numbers they begin at: rows are revs with the run that has
+    a revision's number, made anew from revs at each use. Else rows are stored.
+    """
+    block = F.floor(F.col("number") / SPAN).alias("_block")
+    rows = revs.select("branch", "number", block, key("revision").alias("_key"), key("parent_self").alias("_up"), *more)
+    ranges = ranged(rows.select("branch", "number", "_block", "_key", "_up"))
+    rows = placed(rows, ranges) if ranges is not None else numbered(rows)
+    heads = rows.select("run", F.col("at").alias("head"), "_up") if ranges is None else ranges.select(by_low(), F.col("low").alias("head"), "_up")
+    heads = few(heads.where("_up is not null"))
     table = checkpointed(located(rows, heads, "_up").select("run", "head", "run_to", "at_to", F.lit(1).cast("long").alias("far")))
     lost = checkpointed(heads.join(table.select("run"), "run", "left_anti"))
     hops = []
@@ -70,6 +78,48 @@ def runs(revs: DataFrame, *more: Column) -> Runs:
     return Runs(rows, hops, lost)
 
 
+def by_low() -> Column:
+    """A run that is known by the number it begins at."""
+    return F.struct("branch", F.col("_block").alias("block"), F.col("low").alias("part")).alias("run")
+
+
+def ranged(rows: DataFrame) -> DataFrame | None:
+    """(branch, _block, low, next, _up): runs whose numbers follow each other, by their first number and that of the next in the block; none if a branch has
+    a number twice or rows without one, or if runs are many."""
+    order = Window.partitionBy("branch", "_block").orderBy("number", "_key")
+    before = F.lag("number").over(order)
+    heads = rows.withColumn("_on", F.coalesce((F.lag("_key").over(order) == F.col("_up")) & (before + 1 == F.col("number")), F.lit(False)))
+    heads = heads.withColumn("_odd", F.coalesce(before == F.col("number"), F.lit(False)) | F.col("number").isNull())
+    heads = checkpointed(heads.where("not _on").select("branch", "_block", F.col("number").cast("long").alias("low"), "_up", "_odd").limit(FEW + 1))
+    if heads.count() > FEW or not heads.where("_odd").isEmpty() or not heads.groupBy("branch", "_block").count().where(F.col("count") > DENSE).isEmpty():
+        return None
+    return F.broadcast(checkpointed(heads.select("branch", "_block", "low", F.lead("low").over(Window.partitionBy("branch", "_block").orderBy("low")).alias("next"), "_up")))
+
+
+def placed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows with the run that has their number; a place in a run is the number."""
+    r = ranges.select(F.col("branch").alias("_b"), F.col("_block").alias("_n"), "low", "next")
+    within = F.col("branch").eqNullSafe(F.col("_b")) & (F.col("_block") == F.col("_n")) & (F.col("number") >= F.col("low")) & (F.col("next").isNull() | (F.col("number") < F.col("next")))
+    kept = [c for c in rows.columns if c not in ("_block", "_key", "_up")]
+    return rows.join(F.broadcast(r), within).select(by_low(), F.col("number").cast("long").alias("at"), "_key", F.when(F.col("number") == F.col("low"), F.col("_up")).alias("_up"), *kept)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows stored with the run that each is in and its place there, whatever their numbers are."""
+    order = Window.partitionBy("branch", "_block").orderBy("number", "_key")
+    rows = rows.withColumn("_first", ~F.coalesce(F.lag("_key").over(order) == F.col("_up"), F.lit(False))).withColumn("at", F.row_number().over(order).cast("long"))
+    part = F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = F.struct("branch", F.col("_block").alias("block"), part.alias("part"))
+    kept = [c for c in rows.columns if c not in ("_block", "_key", "_up", "_first", "at")]
+    return stored(rows.select(run.alias("run"), "at", "_key", F.when(F.col("_first"), F.col("_up")).alias("_up"), *kept), "runs")
+
+
+def met(one: DataFrame, two: DataFrame, name: str) -> DataFrame:
+    """one and two joined by _key and stored: in PARTS by a hash of the key, each of which reads both anew, so that a part's shuffle alone is on disk at a time."""
+    part = lambda df, i: df.where(F.pmod(F.xxhash64("_key"), F.lit(PARTS)) == i)
+    return stored_parts([part(one, i).join(part(two, i), "_key") for i in range(PARTS)], name)
+
+
 def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool = False) -> DataFrame:
     """(start, _key, distance and what rows of table have): all revisions along first parents from each of starts (revision), itself at 0,
     `most` steps away at most. whole: with parents and starts that are no revisions, without branch and number."""
@@ -135,7 +185,7 @@ def covered(table: Runs, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
         for hop in table.hops:
             over = checkpointed(farthest(over.unionByName(reached(over.join(hop, "run")))))
         old = seen.withColumnRenamed("top", "old") if seen is not None else over.select("start", "run", F.col("top").alias("old")).limit(0)
-        new = few(over.join(old, ["start", "run"], "left").withColumn("old", F.coalesce("old", F.lit(0).cast("long"))).where("top > old"))
+        new = few(over.join(old, ["start", "run"], "left").withColumn("old", F.coalesce("old", F.lit(LOWEST))).where("top > old"))
         seen = new.drop("old") if seen is None else checkpointed(farthest(seen.unionByName(new.drop("old"))))
         over = farthest(reached(known.join(new, "run").where("at <= top and at > old")))
         over = checkpointed(over.join(seen.withColumnRenamed("top", "had"), ["start", "run"], "left").where("had is null or top > had").drop("had"))
@@ -279,7 +329,7 @@ def file_history(revs: DataFrame, changed: DataFrame, start: DataFrame) -> DataF
 
 def last_modified(revs: DataFrame, changed: DataFrame, start: DataFrame) -> DataFrame:
     """(file, revision, number): the newest of those."""
-    rows = walked(runs(revs), start).select("_key", "number").join(changed.select(key("revision").alias("_key"), "file"), "_key")
+    rows = met(walked(runs(revs), start).select("_key", "number"), changed.select(key("revision").alias("_key"), "file"), "changed")
     return rows.groupBy("file").agg(F.max_by("_key", "number").alias("_key"), F.max("number").alias("number")).select("file", named("_key").alias("revision"), "number")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,20 +37,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries planned within leave no shuffle files. For what is written: a query that is run again would miss them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, which all executors reach; a temporary folder where none is set, on one machine alone."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    with cleaned(spark):
+        return df.select("*").checkpoint()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the checkpoint folder in columns, compressed, and read again: for tables whose size counts."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_parts([df], name)
+
+
+def stored_parts(parts: list[DataFrame], name: str) -> DataFrame:
+    """Tables of the same columns stored as one, one after the other, so that the shuffle of one alone is on disk at a time."""
+    spark = parts[0].sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for df in parts:
+        with cleaned(spark):
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
 
 
 #: Rows that are sent to all executors at most.

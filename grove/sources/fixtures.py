@@ -57,11 +57,13 @@ def contents(spark: SparkSession, sf_dir: str, side: str = "base") -> DataFrame:
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four branches of all orders: a trunk, branch points on it, and merges from it."""
-    ranked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("branch")).withColumn("n", F.row_number().over(Window.partitionBy("branch").orderBy("o_orderkey")))
-    rows = ranked.select("branch", "n", (F.col("n") + 10 * F.col("branch")).cast("long").alias("number"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("revision"))
-    own = rows.withColumn("before", F.lag("revision").over(Window.partitionBy("branch").orderBy("n")))
+    # One window over keys alone; names are made after it.
+    order = Window.partitionBy("branch").orderBy("o_orderkey")
+    ranked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("branch")).withColumn("n", F.row_number().over(order)).withColumn("_before", F.lag("o_orderkey").over(order))
+    name = lambda k: F.sha2(F.col(k).cast("string"), 256)
+    own = ranked.select("branch", "n", (F.col("n") + 10 * F.col("branch")).cast("long").alias("number"), name("o_orderkey").alias("revision"), name("_before").alias("before"))
     # Of the trunk only what others point at.
-    trunk = rows.where("branch = 0 and (n % 25 = 0 or n in (10, 20, 30))").select(F.col("n").alias("tn"), F.col("revision").alias("trunk"))
+    trunk = own.where("branch = 0 and (n % 25 = 0 or n in (10, 20, 30))").select(F.col("n").alias("tn"), F.col("revision").alias("trunk"))
     point, merge = (F.col("branch") > 0) & (F.col("n") == 1), (F.col("branch") > 0) & (F.col("n") % 25 == 0)
     # Only rows that point at the trunk are joined with it.
     met = own.where(point | merge).withColumn("tn", F.when(point, 10 * F.col("branch")).otherwise(F.col("n")).cast("int")).join(trunk, "tn", "left")

@@ -1,10 +1,13 @@
 """Walks along parents: what they write, and their results on odd histories against plain loops."""
 
 import random
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from grove import session
 from grove.operators import history
 from grove.plans.catalog import QUERIES
 
@@ -60,3 +63,55 @@ def test_walks_against_loops(spark, monkeypatch, seed, span):
     assert sorted(map(tuple, history.first_parents(revs, asked).collect())) == sorted(chain)
     assert sorted(map(tuple, history.first_parents(revs, asked, most=5).collect())) == sorted(x for x in chain if x[2] <= 5)
     assert sorted(map(tuple, history.ancestors(revs, asked).collect())) == sorted(reach)
+
+
+def numbered(seed: int) -> list:
+    """Revisions of four branches with unique numbers, with gaps between some, and parents that are mostly the one before."""
+    r, rows, last, at = random.Random(seed), [], {}, {}
+    for i in range(90):
+        branch, name, before = r.choice([0, 1, 2, None]), f"{i:02x}" * 3, [x[2] for x in rows]
+        at[branch] = at.get(branch, -3) + (1 if r.random() < 0.8 else r.randrange(2, 5))
+        up = last.get(branch) if r.random() < 0.8 else r.choice([*before, "lost", None])
+        rows.append((branch, at[branch], name, up, r.choice([*before, "gone"]) if r.random() < 0.2 else None))
+        last[branch] = name
+    return rows
+
+
+@pytest.mark.parametrize("span", [3, 65536])
+def test_walks_by_ranges_of_numbers_against_loops(spark, monkeypatch, span):
+    """Where numbers are unique, runs are found by number and no revision is stored."""
+    monkeypatch.setitem(globals(), "odd", numbered)
+    monkeypatch.setattr(history, "numbered", None)
+    test_walks_against_loops(spark, monkeypatch, 7, span)
+
+
+@pytest.mark.parametrize("name", ["last_modified"])
+def test_a_walk_stores_no_table_of_revisions(spark, name):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {*folder.glob("runs-*")}
+    assert QUERIES[name](spark, SF).count() > 0
+    assert {*folder.glob("runs-*")} == before
+
+
+def shuffled(spark) -> int:
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum("shuffle" in found.apply(i).getName() for i in range(found.length()))
+
+
+@pytest.mark.parametrize("write", [lambda df: session.stored(df, "t"), session.checkpointed])
+def test_what_is_written_leaves_no_shuffle(spark, write):
+    """Shuffle files stayed until the driver's garbage was collected."""
+    before = shuffled(spark)
+    out = write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if (left := shuffled(spark)) <= before:
+            break
+        time.sleep(0.1)
+    assert left <= before
+    assert out.count() == 7
+
+
+def test_parts_of_a_join_are_the_join(spark):
+    one = spark.range(100).select(F.encode(F.col("id").cast("string"), "utf-8").alias("_key"), "id")
+    two = one.where("id % 3 = 0").select("_key", F.lit(1).alias("x")).unionByName(spark.createDataFrame([(None, 2)], "_key binary, x int"))
+    assert sorted(x.id for x in history.met(one, two, "t").collect()) == [*range(0, 100, 3)]
