@@ -9,7 +9,6 @@ from grove.operators import history as H
 from grove.operators import workflow as W
 from grove.plans._sql import sql
 from grove.plans.histories import walk
-from grove.session import stored
 from grove.sources import fixtures as X
 
 Q, O = {}, {}
@@ -78,7 +77,7 @@ def by_request(s, d):
     tip = X.branches(s, d).where("id = 0").select(F.col("latest").alias("revision"))
     table = H.runs(revs)
     layer = table.rows.where("branch = 1").select("_key", F.lit(None).cast("long").alias("distance"))
-    met = stored(meta.join(layer.unionByName(H.walked(table, tip).select("_key", "distance")), "_key"), "requests").select(H.named("_key").alias("revision"), "key", "str", "distance")
+    met = H.met(meta, layer.unionByName(H.walked(table, tip).select("_key", "distance")), "requests").select(H.named("_key").alias("revision"), "key", "str", "distance")
     return checks.matched_by_metadata(met.where("distance is null"), met.where("distance is not null"), "change-request")
 
 
