@@ -416,7 +416,7 @@ def file_chain(revs: DataFrame, deltas: DataFrame, start: DataFrame, paths: Data
     that is gone at start has its delete as the newest. A round a name that a file once had.
     """
     changes = deltas.select(key("revision").alias("_key"), "path", "from_path", "action")
-    walk = stored(walked(runs(revs), start).select("_key", "number", "distance").join(changes, "_key"), "deltas")
+    walk = met(walked(runs(revs), start).select("_key", "number", "distance"), changes, "deltas")
     asked = paths.select(F.col("path").alias("asked"), "path", F.lit(-1).cast("long").alias("since")).distinct()
     done = None
     while True:
