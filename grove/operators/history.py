@@ -125,7 +125,7 @@ def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool
     `most` steps away at most. whole: with parents and starts that are no revisions, without branch and number."""
     asked = few(starts.select(F.col("revision").alias("start"), key("revision").alias("_key")))
     reach = located(table.rows, asked, "_key").select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"), F.lit(0).cast("long").alias("far"))
-    reach = checkpointed(reach)
+    here = reach = checkpointed(reach)
     for hop in table.hops:
         further = reach.join(hop.withColumnRenamed("far", "_far"), "run").select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"), (F.col("far") + F.col("top") - F.col("head") + F.col("_far")).alias("far"))
         reach = checkpointed(reach.unionByName(further if most is None else further.where(F.col("far") <= most)))
@@ -133,7 +133,7 @@ def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool
     rows = table.rows.join(reach, "run").where("at <= top").withColumn("distance", F.col("far") + F.col("top") - F.col("at")).drop("run", "at", "_up", "top", "far")
     if whole:
         up = table.lost.join(reach, "run").select("start", F.col("_up").alias("_key"), (F.col("far") + F.col("top") - F.col("head") + 1).alias("distance"))
-        none = asked.join(table.rows.join(asked.select("_key"), "_key", "left_semi").select("_key"), "_key", "left_anti").select("start", "_key", F.lit(0).cast("long").alias("distance"))
+        none = asked.join(here.select("start"), "start", "left_anti").select("start", "_key", F.lit(0).cast("long").alias("distance"))
         rows = rows.unionByName(up, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
     return rows if most is None else rows.where(F.col("distance") <= most)
 
