@@ -175,7 +175,7 @@ def covered(table: Runs, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rows of table have _other. A round goes along first parents from all that is new at once, then over the merges found there: as many rounds as merges nest.
     """
-    merges = table.rows.where("_other is not null").select("run", "at", "_other")
+    merges = stored(table.rows.where("_other is not null").select("run", "at", "_other"), "merges")
     place = few(located(table.rows, few(merges.select("_other").distinct()), "_other"))
     known = checkpointed(merges.join(place, "_other").select("run", "at", "run_to", "at_to"))
     farthest = lambda df: df.groupBy("start", "run").agg(F.max("top").alias("top"))
