@@ -323,7 +323,7 @@ def next_number(revs: DataFrame) -> DataFrame:
 def file_history(revs: DataFrame, changed: DataFrame, start: DataFrame) -> DataFrame:
     """(file, revision, number, back): revisions along first parents from start that changed each file (revision, file), newest first."""
     walk = walked(runs(revs), start).select("_key", "number", "distance")
-    rows = walk.join(changed.select(key("revision").alias("_key"), "file"), "_key")
+    rows = met(walk, changed.select(key("revision").alias("_key"), "file"), "changed")
     return rows.select("file", "_key", "number", F.row_number().over(Window.partitionBy("file").orderBy("distance")).alias("back")).select("file", named("_key").alias("revision"), "number", "back")
 
 
