@@ -85,7 +85,7 @@ def test_walks_by_ranges_of_numbers_against_loops(spark, monkeypatch, span):
     test_walks_against_loops(spark, monkeypatch, 7, span)
 
 
-@pytest.mark.parametrize("name", ["last_modified", "layer_match", "file_chain", "bisect_midpoint", "merge_base", "file_history", "history_since", "common_ancestors", "divergence_distance"])
+@pytest.mark.parametrize("name", ["last_modified", "layer_match", "file_chain", "bisect_midpoint", "merge_base", "file_history", "history_since", "common_ancestors", "divergence_distance", "history_only_branch"])
 def test_a_walk_stores_no_table_of_revisions(spark, name):
     folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
     before = {*folder.glob("runs-*")}
