@@ -7,10 +7,14 @@ walks over runs double their step in each round, and only what they reach is mad
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from grove.session import FEW, checkpointed, few, stored, stored_parts
 
@@ -83,14 +87,38 @@ def by_low() -> Column:
     return F.struct("branch", F.col("_block").alias("block"), F.col("low").alias("part")).alias("run")
 
 
+def stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Revisions (branch, _block, number, _key, _up) as stretches (branch, _block, low, high, _up, _key): numbers of a block that follow each other within a
+    batch, each the first parent of the next; _up is the first one's parent, _key the last one's key. A stretch has all numbers from low to high."""
+    for batch in batches:
+        rows = pa.table({name: batch.column(name) for name in batch.schema.names}).sort_by([("branch", "ascending"), ("number", "ascending")])
+        n = rows.num_rows
+        if not n:
+            continue
+        one, two = rows.slice(0, n - 1), rows.slice(1)
+        alike = pc.or_(pc.fill_null(pc.equal(one["branch"], two["branch"]), False), pc.and_(one["branch"].is_null(), two["branch"].is_null()))
+        for follows in (pc.equal(one["_block"], two["_block"]), pc.equal(pc.add(one["number"], 1), two["number"]), pc.equal(one["_key"], two["_up"])):
+            alike = pc.and_(alike, pc.fill_null(follows, False))
+        ends = pc.invert(alike).combine_chunks() if n > 1 else pa.array([], pa.bool_())
+        first, last = rows.filter(pa.concat_arrays([pa.array([True]), ends])), rows.filter(pa.concat_arrays([ends, pa.array([True])]))
+        out = pa.table({"branch": first["branch"], "_block": first["_block"], "low": first["number"], "high": last["number"], "_up": first["_up"], "_key": last["_key"]})
+        yield from out.combine_chunks().to_batches()
+
+
 def ranged(rows: DataFrame) -> DataFrame | None:
     """(branch, _block, low, next, _up): runs whose numbers follow each other, by their first number and that of the next in the block; none if a branch has
-    a number twice or rows without one, or if runs are many."""
-    order = Window.partitionBy("branch", "_block").orderBy("number", "_key")
-    before = F.lag("number").over(order)
-    heads = rows.withColumn("_on", F.coalesce((F.lag("_key").over(order) == F.col("_up")) & (before + 1 == F.col("number")), F.lit(False)))
-    heads = heads.withColumn("_odd", F.coalesce(before == F.col("number"), F.lit(False)) | F.col("number").isNull())
-    heads = checkpointed(heads.where("not _on").select("branch", "_block", F.col("number").cast("long").alias("low"), "_up", "_odd").limit(FEW + 1))
+    a number twice or rows without one, or if runs are many.
+
+    Only stretches are shuffled: far fewer than revisions where these come in the order of their numbers. Two stretches of a branch overlap only if it has a number twice.
+    """
+    order = Window.partitionBy("branch", "_block").orderBy("low", "high")
+    rows = rows.select("branch", "_block", F.col("number").cast("long").alias("number"), "_key", "_up")
+    kinds = rows.schema
+    heads = rows.mapInArrow(stretches, StructType([kinds["branch"], kinds["_block"], *(StructField(c, LongType()) for c in ("low", "high")), kinds["_up"], kinds["_key"]]))
+    before = F.lag("high").over(order)
+    heads = heads.withColumn("_on", F.coalesce((F.lag("_key").over(order) == F.col("_up")) & (before + 1 == F.col("low")), F.lit(False)))
+    heads = heads.withColumn("_odd", F.coalesce(before >= F.col("low"), F.lit(False)) | F.col("low").isNull())
+    heads = checkpointed(heads.where("not _on").select("branch", "_block", "low", "_up", "_odd").limit(FEW + 1))
     if heads.count() > FEW or not heads.where("_odd").isEmpty() or not heads.groupBy("branch", "_block").count().where(F.col("count") > DENSE).isEmpty():
         return None
     return F.broadcast(checkpointed(heads.select("branch", "_block", "low", F.lead("low").over(Window.partitionBy("branch", "_block").orderBy("low")).alias("next"), "_up")))

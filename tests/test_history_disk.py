@@ -115,3 +115,62 @@ def test_parts_of_a_join_are_the_join(spark):
     one = spark.range(100).select(F.encode(F.col("id").cast("string"), "utf-8").alias("_key"), "id")
     two = one.where("id % 3 = 0").select("_key", F.lit(1).alias("x")).unionByName(spark.createDataFrame([(None, 2)], "_key binary, x int"))
     assert sorted(x.id for x in history.met(one, two, "t").collect()) == [*range(0, 100, 3)]
+
+
+def shuffled_bytes(spark) -> int:
+    """Of all stages so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+
+def chains(spark):
+    """Two branches of 20,000 revisions in the order of their numbers, the second from the first's revision 10,000 on, with a merge from it at every 1000th."""
+    name = lambda i: F.sha2(i.cast("string"), 256)
+    i, n = F.col("id"), F.col("id") % 20000
+    up = F.when(i == 20000, name(F.lit(10000))).when(i > 0, name(i - 1))
+    other = F.when((i > 20000) & (n % 1000 == 0), name(n))
+    return spark.range(0, 40000, 1, 4).select((i / 20000).cast("long").alias("branch"), n.alias("number"), name(i).alias("revision"), up.alias("parent_self"), other.alias("parent_other"))
+
+
+def of_chains(spark, name: str):
+    revs = chains(spark)
+    at = lambda b, n: history.by_number(revs, b, n)
+    times = revs.select("revision", (F.col("number") - F.col("branch") + 1).alias("num"))
+    return {
+        "revision_matched": lambda: history.matched(revs, at(1, 19999), F.col("parent_other").isNotNull()),
+        "branch_point_sides": lambda: history.branch_point(revs, at(0, 19999), at(1, 19999)).groupBy("side").count(),
+        "divergence_distance": lambda: history.divergence(revs, at(0, 19999), at(1, 19999)),
+        "common_ancestors": lambda: history.common_ancestors(revs, at(0, 19999), at(1, 19999)),
+        "last_merged_files": lambda: history.last_merged_files(revs, revs.select("revision", F.lit("f").alias("path")), at(1, 19999), 0),
+        "history_only_branch": lambda: history.history(revs, at(1, 19999), only_branch=True),
+        "history_since": lambda: history.history(revs, at(1, 19999), since=(times, 2)),
+    }[name]()
+
+
+@pytest.mark.parametrize("name, rows", [("revision_matched", 1)])
+def test_a_walk_shuffles_no_names_of_all_revisions(spark, name, rows):
+    """To find its runs it had the names of each revision and its parent in a shuffle; 66 bytes that hardly compress."""
+    before = shuffled_bytes(spark)
+    assert of_chains(spark, name).count() == rows
+    assert shuffled_bytes(spark) - before < 20 * 40000
+
+
+@pytest.mark.parametrize("at", range(6))
+def test_stretches_of_any_batches_make_the_same_runs(spark, at):
+    """Dealt over batches in any order, with a number that is there twice, one that is null, a branch that is null, and branches by name."""
+    rows = [(b, i, f"{b}{i:03x}", None if i == 0 or i % 40 == 0 else f"{b}{i - 1:03x}") for b in ("a", "b", None) for i in range(100) if i != 55]
+    rows += [("a", 7, "twice", "a006")] if at == 4 else [("a", None, "none", None)] if at == 5 else []
+    if at:
+        random.Random(at).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", (10_000, 10_000, 7, 1, 7, 7)[at])
+    try:
+        df = spark.createDataFrame(rows, "branch string, number long, revision string, parent_self string").repartition(3) if at % 2 else spark.createDataFrame(rows, "branch string, number long, revision string, parent_self string")
+        table = history.ranged(df.select("branch", "number", F.floor(F.col("number") / history.SPAN).alias("_block"), history.key("revision").alias("_key"), history.key("parent_self").alias("_up")))
+        if at > 3:
+            assert table is None
+        else:
+            assert sorted((x.branch or "", x.low, x.next) for x in table.collect()) == [(b, *x) for b in ("", "a", "b") for x in ((0, 40), (40, 56), (56, 80), (80, None))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
