@@ -148,9 +148,19 @@ def met(one: DataFrame, two: DataFrame, name: str) -> DataFrame:
     return stored_parts([part(one, i).join(part(two, i), "_key") for i in range(PARTS)], name)
 
 
-def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool = False) -> DataFrame:
-    """(start, _key, distance and what rows of table have): all revisions along first parents from each of starts (revision), itself at 0,
-    `most` steps away at most. whole: with parents and starts that are no revisions, without branch and number."""
+class Reach(NamedTuple):
+    """What walks along first parents from starts go through.
+
+    runs: (start, run, top, far): the runs, each from `top` down, which is `far` steps from the start.
+    none: (start, _key, distance): where a walk meets what is no revision, as a parent or as its start.
+    """
+
+    runs: DataFrame
+    none: DataFrame
+
+
+def reached(table: Runs, starts: DataFrame, most: int | None = None) -> Reach:
+    """The runs along first parents from each of starts (revision), those `most` steps away at most."""
     asked = few(starts.select(F.col("revision").alias("start"), key("revision").alias("_key")))
     reach = located(table.rows, asked, "_key").select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"), F.lit(0).cast("long").alias("far"))
     here = reach = checkpointed(reach)
@@ -158,12 +168,23 @@ def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool
         further = reach.join(hop.withColumnRenamed("far", "_far"), "run").select("start", F.col("run_to").alias("run"), F.col("at_to").alias("top"), (F.col("far") + F.col("top") - F.col("head") + F.col("_far")).alias("far"))
         reach = checkpointed(reach.unionByName(further if most is None else further.where(F.col("far") <= most)))
     reach = few(reach)
-    rows = table.rows.join(reach, "run").where("at <= top").withColumn("distance", F.col("far") + F.col("top") - F.col("at")).drop("run", "at", "_up", "top", "far")
-    if whole:
-        up = table.lost.join(reach, "run").select("start", F.col("_up").alias("_key"), (F.col("far") + F.col("top") - F.col("head") + 1).alias("distance"))
-        none = asked.join(here.select("start"), "start", "left_anti").select("start", "_key", F.lit(0).cast("long").alias("distance"))
-        rows = rows.unionByName(up, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
-    return rows if most is None else rows.where(F.col("distance") <= most)
+    up = table.lost.join(reach, "run").select("start", F.col("_up").alias("_key"), (F.col("far") + F.col("top") - F.col("head") + 1).alias("distance"))
+    none = asked.join(here.select("start"), "start", "left_anti").select("start", "_key", F.lit(0).cast("long").alias("distance"))
+    none = up.unionByName(none)
+    return Reach(reach, none if most is None else none.where(F.col("distance") <= most))
+
+
+def walked(table: Runs, starts: DataFrame, most: int | None = None, whole: bool = False) -> DataFrame:
+    """(start, _key, distance and what rows of table have): all revisions along first parents from each of starts (revision), itself at 0,
+    `most` steps away at most. whole: with parents and starts that are no revisions, without branch and number."""
+    return listed_from(table, reached(table, starts, most), most, whole)
+
+
+def listed_from(table: Runs, reach: Reach, most: int | None = None, whole: bool = False) -> DataFrame:
+    """The revisions of walked()."""
+    rows = table.rows.join(reach.runs, "run").where("at <= top").withColumn("distance", F.col("far") + F.col("top") - F.col("at")).drop("run", "at", "_up", "top", "far")
+    rows = rows if most is None else rows.where(F.col("distance") <= most)
+    return rows.unionByName(reach.none, allowMissingColumns=True) if whole else rows
 
 
 def first_parents(revs: DataFrame, starts: DataFrame, table: Runs | None = None, most: int | None = None) -> DataFrame:
@@ -261,25 +282,36 @@ def divergence(revs: DataFrame, a: DataFrame, b: DataFrame, *, most: int | None
     """
     steps = None if most is None else most - 1
     table = runs(revs)
-    found = nearest(walked(table, a, steps, whole=True), walked(table, b, steps, whole=True)).select("revision", "ahead", "behind")
+    found = nearest(table, reached(table, a, steps), reached(table, b, steps), steps)
     if base is None:
         return found
     none = base.select("revision", F.lit(0).cast("long").alias("ahead"), F.lit(0).cast("long").alias("behind"))
     return found.withColumn("_o", F.lit(0)).unionByName(none.withColumn("_o", F.lit(1))).orderBy("_o").limit(1).drop("_o")
 
 
-def nearest(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(revision, ahead, behind): the nearest revision that is on two walks (_key, distance), with its distance in each."""
-    met = one.select("_key", F.col("distance").alias("ahead")).join(two.select("_key", F.col("distance").alias("behind")), "_key")
-    return checkpointed(met.orderBy("ahead", "behind").limit(1).select(named("_key").alias("revision"), "ahead", "behind"))
+def nearest(table: Runs, one: Reach, two: Reach, most: int | None = None) -> DataFrame:
+    """(revision, ahead, behind): the nearest revision that is on two walks, with its distance in each, `most` at most.
+
+    In a run that both go through it is where the later of them comes in, so only runs are compared, and one revision is looked up.
+    """
+    there = two.runs.select("run", F.col("top").alias("_top"), F.col("far").alias("_far"))
+    at = F.least("top", "_top")
+    met = one.runs.join(there, "run").select("run", at.alias("at"), F.lit(None).cast("binary").alias("_none"), (F.col("far") + F.col("top") - at).alias("ahead"), (F.col("_far") + F.col("_top") - at).alias("behind"))
+    none = one.none.select("_key", F.col("distance").alias("ahead")).join(two.none.select("_key", F.col("distance").alias("behind")), "_key")
+    met = met.unionByName(none.select(F.col("_key").alias("_none"), "ahead", "behind"), allowMissingColumns=True)
+    met = met if most is None else met.where((F.col("ahead") <= most) & (F.col("behind") <= most))
+    best = few(met.orderBy("ahead", "behind").limit(1))
+    rows = table.rows.select("run", "at", "_key").join(best, ["run", "at"]).select("_key", "ahead", "behind")
+    rows = rows.unionByName(best.where("_none is not null").select(F.col("_none").alias("_key"), "ahead", "behind"))
+    return checkpointed(rows.select(named("_key").alias("revision"), "ahead", "behind"))
 
 
 def branch_point(revs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, revision, distance): the nearest revision on both chains (side `point`, distance 0), and those of each side before it."""
     table = runs(revs)
-    one, two = walked(table, a, whole=True), walked(table, b, whole=True)
-    point = F.broadcast(nearest(one, two).withColumnRenamed("revision", "point"))
-    own = lambda walk, side, end: walk.join(point, F.col("distance") < F.col(end)).select(F.lit(side).alias("side"), named("_key").alias("revision"), "distance")
+    one, two = reached(table, a), reached(table, b)
+    point = F.broadcast(nearest(table, one, two).withColumnRenamed("revision", "point"))
+    own = lambda reach, side, end: listed_from(table, reach, whole=True).join(point, F.col("distance") < F.col(end)).select(F.lit(side).alias("side"), named("_key").alias("revision"), "distance")
     return own(one, "a", "ahead").unionByName(own(two, "b", "behind")).unionByName(point.select(F.lit("point").alias("side"), F.col("point").alias("revision"), F.lit(0).cast("long").alias("distance")))
 
 

@@ -149,7 +149,7 @@ def of_chains(spark, name: str):
     }[name]()
 
 
-@pytest.mark.parametrize("name, rows", [("revision_matched", 1)])
+@pytest.mark.parametrize("name, rows", [("revision_matched", 1), ("branch_point_sides", 3), ("divergence_distance", 1), ("common_ancestors", 19001), ("last_merged_files", 1), ("history_only_branch", 100), ("history_since", 100)])
 def test_a_walk_shuffles_no_names_of_all_revisions(spark, name, rows):
     """To find its runs it had the names of each revision and its parent in a shuffle; 66 bytes that hardly compress."""
     before = shuffled_bytes(spark)
