@@ -174,3 +174,10 @@ def test_stretches_of_any_batches_make_the_same_runs(spark, at):
             assert sorted((x.branch or "", x.low, x.next) for x in table.collect()) == [(b, *x) for b in ("", "a", "b") for x in ((0, 40), (40, 56), (56, 80), (80, None))]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_divergence_where_chains_meet_in_what_is_no_revision(spark):
+    rows = [(0, i, f"{i:04x}", f"{i - 1:04x}" if i else "lost", None) for i in range(30)] + [(1, i, f"1{i:03x}", f"1{i - 1:03x}" if i > 11 else "000a", None) for i in range(11, 40)]
+    revs = spark.createDataFrame([*rows, (2, 5, "2005", "lost", None), (2, 6, "2006", "2005", None)], REVISION)
+    for a, b, found in (("001d", "1027", ("000a", 19, 29)), ("2006", "0002", ("lost", 2, 3)), ("zz", "zz", ("zz", 0, 0)), ("0005", "0005", ("0005", 0, 0))):
+        assert [tuple(x) for x in history.divergence(revs, *(spark.createDataFrame([(x,)], "revision string") for x in (a, b))).collect()] == [found]
