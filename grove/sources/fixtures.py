@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grove.functions.paths import ancestors
@@ -55,20 +55,25 @@ def contents(spark: SparkSession, sf_dir: str, side: str = "base") -> DataFrame:
     return table(spark, sf_dir, "part").select(path.alias("path"), F.concat(F.concat_ws("\n", first, "p_brand", "p_type", last), F.lit("\n")).alias("text"))
 
 
+def named(k: str) -> Column:
+    """The revision that an order's key stands for."""
+    return F.sha2(F.col(k).cast("string"), 256)
+
+
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four branches of all orders: a trunk, branch points on it, and merges from it."""
-    # One window over keys alone; names are made after it.
+    # One window over keys alone; names are made last.
     order = Window.partitionBy("branch").orderBy("o_orderkey")
     ranked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("branch")).withColumn("n", F.row_number().over(order)).withColumn("_before", F.lag("o_orderkey").over(order))
-    name = lambda k: F.sha2(F.col(k).cast("string"), 256)
-    own = ranked.select("branch", "n", (F.col("n") + 10 * F.col("branch")).cast("long").alias("number"), name("o_orderkey").alias("revision"), name("_before").alias("before"))
-    # Of the trunk only what others point at.
-    trunk = own.where("branch = 0 and (n % 25 = 0 or n in (10, 20, 30))").select(F.col("n").alias("tn"), F.col("revision").alias("trunk"))
-    point, merge = (F.col("branch") > 0) & (F.col("n") == 1), (F.col("branch") > 0) & (F.col("n") % 25 == 0)
+    # Of the trunk only what others point at. Conditions on the branch alone would go below the window, and each would have a shuffle of its own.
+    of_trunk, off_trunk = F.when(F.col("branch") == 0, F.col("n")), F.when(F.col("branch") > 0, F.col("n"))
+    trunk = ranked.where((of_trunk % 25 == 0) | of_trunk.isin(10, 20, 30)).select(F.col("n").alias("tn"), F.col("o_orderkey").alias("trunk"))
+    point, merge = F.coalesce(off_trunk == 1, F.lit(False)), F.coalesce(off_trunk % 25 == 0, F.lit(False))
     # Only rows that point at the trunk are joined with it.
-    met = own.where(point | merge).withColumn("tn", F.when(point, 10 * F.col("branch")).otherwise(F.col("n")).cast("int")).join(trunk, "tn", "left")
-    pointed = met.select("branch", "number", "revision", F.when(point, F.col("trunk")).otherwise(F.col("before")).alias("parent_self"), F.when(merge, F.col("trunk")).alias("parent_other"))
-    return own.where(~(point | merge)).select("branch", "number", "revision", F.col("before").alias("parent_self"), F.lit(None).cast("string").alias("parent_other")).unionByName(pointed)
+    met = ranked.where(point | merge).withColumn("tn", F.when(point, 10 * F.col("branch")).otherwise(F.col("n")).cast("int")).join(trunk, "tn", "left")
+    pointed = met.select("branch", "n", "o_orderkey", F.when(point, F.col("trunk")).otherwise(F.col("_before")).alias("up"), F.when(merge, F.col("trunk")).alias("other"))
+    rows = ranked.where(~(point | merge)).select("branch", "n", "o_orderkey", F.col("_before").alias("up"), F.lit(None).cast("long").alias("other")).unionByName(pointed)
+    return rows.select("branch", (F.col("n") + 10 * F.col("branch")).cast("long").alias("number"), named("o_orderkey").alias("revision"), named("up").alias("parent_self"), named("other").alias("parent_other"))
 
 
 def revision_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

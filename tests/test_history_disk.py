@@ -181,3 +181,17 @@ def test_divergence_where_chains_meet_in_what_is_no_revision(spark):
     revs = spark.createDataFrame([*rows, (2, 5, "2005", "lost", None), (2, 6, "2006", "2005", None)], REVISION)
     for a, b, found in (("001d", "1027", ("000a", 19, 29)), ("2006", "0002", ("lost", 2, 3)), ("zz", "zz", ("zz", 0, 0)), ("0005", "0005", ("0005", 0, 0))):
         assert [tuple(x) for x in history.divergence(revs, *(spark.createDataFrame([(x,)], "revision string") for x in (a, b))).collect()] == [found]
+
+
+def bytes_of(spark, df) -> int:
+    """What a query shuffles, its making included."""
+    before = shuffled_bytes(spark)
+    df().write.format("noop").mode("overwrite").save()
+    return shuffled_bytes(spark) - before
+
+
+def test_common_ancestors_shuffles_keys_once(spark):
+    """Orders were shuffled three times by branch, and names of all that point at the trunk: 11.5 bytes a revision to list them, 74 in this query."""
+    many = QUERIES["revision_rows"](spark, SF).count()
+    assert bytes_of(spark, lambda: QUERIES["revision_rows"](spark, SF)) < 9 * many
+    assert bytes_of(spark, lambda: QUERIES["common_ancestors"](spark, SF)) < 55 * many
