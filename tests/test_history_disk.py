@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grove import session
 from grove.operators import history
 from grove.plans.catalog import QUERIES
+from grove.sources import fixtures
 
 SF = "/root/testdata/sf0.01"
 REVISION = "branch long, number long, revision string, parent_self string, parent_other string"
@@ -195,3 +196,15 @@ def test_common_ancestors_shuffles_keys_once(spark):
     many = QUERIES["revision_rows"](spark, SF).count()
     assert bytes_of(spark, lambda: QUERIES["revision_rows"](spark, SF)) < 9 * many
     assert bytes_of(spark, lambda: QUERIES["common_ancestors"](spark, SF)) < 55 * many
+
+
+def test_divergence_distance_finds_tips_without_revisions(spark):
+    """All revisions were made and shuffled to find the last of each branch: 172,330 bytes here."""
+    assert bytes_of(spark, lambda: fixtures.branches(spark, SF)) < 5000
+    rows = fixtures.revisions(spark, SF)
+    tips = {x.branch: x.latest for x in rows.groupBy("branch").agg(F.max_by("revision", "number").alias("latest")).collect()}
+    points = {x.number // 10: x.revision for x in rows.where("branch = 0 and number in (10, 20, 30)").collect()}
+    found = fixtures.branches(spark, SF).collect()
+    assert {x.id: x.latest for x in found} == tips and len(found) == len(tips)
+    assert {x.id: [tuple(y) for y in x.stack] for x in found} == {b: [(0, points[b])] if b else [] for b in tips}
+    assert bytes_of(spark, lambda: QUERIES["divergence_distance"](spark, SF)) < 50 * 15000
