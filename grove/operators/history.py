@@ -201,10 +201,14 @@ def history(revs: DataFrame, start: DataFrame, *, limit: int | None = 100, only_
     only_branch: up to and with the first revision of another branch. since: (times (revision, num), epoch ms) up to
     before the first revision that is older. limit: so many at most.
     """
-    walk = walked(runs(revs), start, None if limit is None else max(0, limit - 1))
+    table, most = runs(revs), None if limit is None else max(0, limit - 1)
+    reach = reached(table, start, most)
+    walk = listed_from(table, reach, most)
     if only_branch:
-        own = few(walk.where("distance = 0").select("start", F.col("branch").alias("own")))
-        end = few(walk.join(own, "start").where("branch <> own").groupBy("start").agg(F.min("distance").alias("end")))
+        # A run is of one branch, so where another comes in is known from the runs.
+        entered = reach.runs.select("start", F.col("run.branch").alias("branch"), "far")
+        own = entered.where("far = 0").select("start", F.col("branch").alias("own"))
+        end = few(entered.join(own, "start").where("branch <> own").groupBy("start").agg(F.min("far").alias("end")))
         walk = walk.join(end, "start", "left").where("end is null or distance <= end")
     if since is not None:
         times, least = since

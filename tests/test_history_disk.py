@@ -208,3 +208,22 @@ def test_divergence_distance_finds_tips_without_revisions(spark):
     assert {x.id: x.latest for x in found} == tips and len(found) == len(tips)
     assert {x.id: [tuple(y) for y in x.stack] for x in found} == {b: [(0, points[b])] if b else [] for b in tips}
     assert bytes_of(spark, lambda: QUERIES["divergence_distance"](spark, SF)) < 50 * 15000
+
+
+def records_read(spark) -> int:
+    """By all stages so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).inputRecords() for i in range(stages.length()))
+
+
+def test_history_only_branch_reads_no_revisions_to_find_its_end(spark, tmp_path):
+    """Before its result it read all revisions five times, two of them for the first revision of another branch, which the runs have."""
+    chains(spark).write.parquet(str(tmp_path / "revs"))
+    revs = spark.read.parquet(str(tmp_path / "revs"))
+    start = spark.createDataFrame(history.by_number(revs, 1, 19999).collect(), "revision string")
+    before = records_read(spark)
+    rows = history.history(revs, start, limit=None, only_branch=True)
+    assert records_read(spark) - before < 4 * 40000
+    assert rows.count() == 20001
