@@ -26,6 +26,8 @@ LOWEST = -(1 << 63)
 DENSE = 256
 #: Parts in which large tables are joined by revision, one after the other.
 PARTS = 2
+#: Revisions of a walk that are looked up first.
+NEAR = 65536
 
 
 def key(revision: str) -> Column:
@@ -212,13 +214,30 @@ def history(revs: DataFrame, start: DataFrame, *, limit: int | None = 100, only_
         walk = walk.join(end, "start", "left").where("end is null or distance <= end")
     if since is not None:
         times, least = since
-        before = times.where(F.col("num") < least).select(key("revision").alias("_key"))
-        older = few(walk.select("start", "_key", "distance").join(before, "_key").groupBy("start").agg(F.min("distance").alias("old")))
+        older = first_of(table, reach, times.where(F.col("num") < least).select(key("revision").alias("_key")), most)
         walk = walk.join(older, "start", "left").where("old is null or distance < old")
     rows = walk.select("_key", "number", "branch", "distance").orderBy("distance").select(named("_key").alias("revision"), "number", "branch", "distance")
     return rows if limit is None else rows.limit(limit)
 
 
+def first_of(table: Runs, reach: Reach, marked: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, old): the distance of the first revision of each walk that is marked (_key), those `most` steps away at most; no row where none is.
+
+    The first NEAR revisions of a walk are sent to where marked is. Only of walks that have none there is the rest joined, in PARTS by a hash of the key.
+    """
+    least = lambda walk, some: walk.join(some, "_key").groupBy("start").agg(F.min("distance").alias("old"))
+    near = few(listed_from(table, reach, NEAR - 1 if most is None else min(most, NEAR - 1)).select("start", "_key", "distance"))
+    found = few(least(near, marked))
+    on = few(near.where(F.col("distance") == NEAR - 1).select("start").distinct().join(found, "start", "left_anti"))
+    if (most is not None and most < NEAR) or on.isEmpty():
+        return found
+    rest = listed_from(table, reach, most).where(F.col("distance") >= NEAR).join(on, "start", "left_semi").select("start", "_key", "distance")
+    part = lambda df, i: df.where(F.pmod(F.xxhash64("_key"), F.lit(PARTS)) == i)
+    for i in range(PARTS):
+        found = found.unionByName(checkpointed(least(part(rest, i), part(marked, i))))
+    return few(found.groupBy("start").agg(F.min("old").alias("old")))
+
+
 def nth_ancestor(revs: DataFrame, start: DataFrame, n: int) -> DataFrame:
     return first_parents(revs, start, most=n).where(F.col("distance") == n).select("revision")
 

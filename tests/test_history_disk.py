@@ -227,3 +227,34 @@ def test_history_only_branch_reads_no_revisions_to_find_its_end(spark, tmp_path)
     rows = history.history(revs, start, limit=None, only_branch=True)
     assert records_read(spark) - before < 4 * 40000
     assert rows.count() == 20001
+
+
+def test_history_since_shuffles_no_names_of_what_is_older(spark):
+    """Names of the walk and of all that is older met in a shuffle."""
+    revs = chains(spark)
+    times = revs.select("revision", (F.col("number") - F.col("branch") + 1).alias("num"))
+    start = spark.createDataFrame(history.by_number(revs, 1, 19999).collect(), "revision string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert bytes_of(spark, lambda: history.history(revs, start, limit=None, since=(times, 19900))) < 10 * 40000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("near", [1, 4, 65536])
+def test_first_of_a_walk_against_loops(spark, monkeypatch, near):
+    """The first marked revision is near for some walks, far for others, and nowhere."""
+    monkeypatch.setattr(history, "NEAR", near)
+    rows = [(b, i, f"{b}{i:03x}", f"{b}{i - 1:03x}" if i else None, None) for b in range(4) for i in range(40)]
+    marked = {"0026", "0003", "1005", "1004", "2027"}
+    starts = ["0027", "1027", "2027", "3027", "100a", "absent"]
+    revs, asked = spark.createDataFrame(rows, REVISION), spark.createDataFrame([(x,) for x in starts], "revision string")
+    table, some = history.runs(revs), spark.createDataFrame([(x,) for x in marked], "revision string").select(history.key("revision").alias("_key"))
+    for most in (None, 3, 20):
+        expected = set()
+        for s in starts[:-1]:
+            b, n = int(s[0]), int(s[1:], 16)
+            hits = [n - i for i in range(n + 1) if f"{b}{i:03x}" in marked and (most is None or n - i <= most)]
+            expected |= {(s, min(hits))} if hits else set()
+        found = history.first_of(table, history.reached(table, asked, most), some, most).collect()
+        assert len(found) == len(expected) and {tuple(x) for x in found} == expected
