@@ -258,3 +258,8 @@ def test_first_of_a_walk_against_loops(spark, monkeypatch, near):
             expected |= {(s, min(hits))} if hits else set()
         found = history.first_of(table, history.reached(table, asked, most), some, most).collect()
         assert len(found) == len(expected) and {tuple(x) for x in found} == expected
+
+
+def test_last_merged_files_shuffles_keys_once(spark):
+    """It had 59 bytes a revision."""
+    assert bytes_of(spark, lambda: QUERIES["last_merged_files"](spark, SF)) < 50 * 15000
